@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rhoscape.llm import fingerprint, language_id, piece_tokens, secret_scan, sharding, token_count, toxicity
+from rhoscape.llm import decontamination, fingerprint, language_id, near_dedup, piece_tokens, secret_scan, sharding, suffix_dedup, token_count, toxicity
 from rhoscape.llm.common import table
 
 SHARDS = 40
@@ -28,11 +28,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep="none")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score_documents(docs, toxicity.fit(docs, labels))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = {s: 1.0 for s in range(SHARDS)}
     return sharding.shard_documents(table(spark, sf_dir, "documents"), before, before | {SHARDS: 1.0})
@@ -55,20 +63,45 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_toxicity": op3_toxicity,
+        "op4_decontamination": op4_decontamination,
         "op5_sharding": op5_sharding,
         "op6_piece_tokens": op6_piece_tokens,
         "op7_language_id": op7_language_id,
         "op8_fingerprint": op8_fingerprint,
         "op9_token_count": op9_token_count,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": _sharding_sql()}
+    return {"op4_decontamination": _decontamination_sql(), "op5_sharding": _sharding_sql()}
+
+
+def _decontamination_sql() -> str:
+    def words(name: str, key: str) -> str:
+        return f"""SELECT row_number() OVER () AS r, {key},
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM {name}"""
+
+    size = decontamination.WORDS
+    return f"""
+        WITH b AS ({words("benchmark", "item_id")}), d AS ({words("documents", "doc_id")}),
+        bs AS (SELECT DISTINCT r, item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (
+            SELECT r, item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(len(w), {size}) AS n FROM b WHERE len(w) > 0))),
+        ds AS (SELECT DISTINCT r, doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (
+            SELECT r, doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bs) WHERE len(w) >= n)),
+        q AS (SELECT r, count(*) AS n_item FROM bs GROUP BY r)
+        SELECT doc_id, item_id, shared, n_item, shared / n_item::DOUBLE AS containment FROM (
+            SELECT ds.r, doc_id, bs.r AS q, item_id, count(*) AS shared FROM ds JOIN bs USING (n, s) GROUP BY ALL
+        ) JOIN q ON q.r = q WHERE 100 * shared >= {decontamination.PERCENT} * n_item"""
 
 
 def _sharding_sql() -> str:
@@ -76,7 +109,7 @@ def _sharding_sql() -> str:
     entries = ", ".join(str(_crc_entry(i)) for i in range(256))
     crc = f"""(SELECT xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(b)), lambda k: ('0x' || hex(b[k + 1 : k + 1]))::BIGINT)),
         lambda c, x: xor(c >> 8, ([{entries}]::BIGINT[])[(xor(c, x) & 255) + 1])), 4294967295::BIGINT))"""
-    rank = lambda n: f"list_reduce(list_transform(range(0, {n}), lambda s: {{'score': -ln((('0x' || substr(md5(k || ':' || s), 1, {sharding.DIGITS}))::BIGINT + 1) / {float(16**sharding.DIGITS)!r}), 'shard': s}}), lambda a, b: CASE WHEN b.score < a.score THEN b ELSE a END).shard::INTEGER"
+    rank = lambda n: f"list_min(list_transform(range(0, {n}), lambda s: {{'score': -ln((('0x' || substr(md5(k || ':' || s), 1, {sharding.DIGITS}))::BIGINT + 1) / {float(16**sharding.DIGITS)!r}), 'shard': s}})).shard::INTEGER"
     return f"""
         WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(text, '') AS t, encode(coalesce(text, '')) AS b FROM documents),
         r AS (SELECT doc_id, k, (octet_length(b) + 16)::BIGINT AS size, {crc} AS text_crc32, {rank(SHARDS)} AS shard, {rank(SHARDS + 1)} AS grown_shard FROM d)
