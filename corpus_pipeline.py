@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rhoscape.llm import language_id, piece_tokens, secret_scan
+from rhoscape.llm import decontamination, language_id, near_dedup, piece_tokens, secret_scan
 from rhoscape.llm.common import materialise, table
 from rhoscape.llm.queries import tokenizer
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a language (no letter in the text) go."""
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays."""
+    return near_dedup.drop_duplicates(docs, percent=80)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a placeholder."""
     return secret_scan.redact(docs)
@@ -26,6 +36,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
     ("secret_scan", redact_secrets),
     ("piece_tokens", encode_pieces),
 ]
