@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rhoscape.llm.common import U64, cuts, map_batches, materialise, mix, raw, shingles, word_hashes
@@ -364,6 +364,12 @@ def deduplicate(docs: DataFrame, percent: int = 85, size: int = WORDS) -> DataFr
 
 
 def drop_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
-    """docs, all columns, without the rows whose component has a smaller doc_id; repeated rows of the kept one stay one."""
+    """docs, all columns, without the rows whose component has a smaller doc_id; of rows with one doc_id one stays.
+
+    Rows with a null doc_id can't be told apart and stay.
+    """
     dropped = deduplicate(docs, percent, size).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    left = docs.where(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    once = left.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
