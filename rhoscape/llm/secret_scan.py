@@ -33,7 +33,7 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Fa-f])")
-LONG_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}(?:\r?\n|\\n))*[A-Za-z0-9+/_-]{32,}(?:(?:\r?\n|\\n)[A-Za-z0-9+/_-]{2,})*={0,2}")
+LONG_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:(?:\r?\n|\\n)(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
 _CLASS = np.zeros(256, np.uint8)
@@ -41,17 +41,45 @@ _CLASS[list(b"0123456789abcdef")] |= 1
 _CLASS[list(b"0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/_-")] |= 2
 
 
+_FILLER = re.compile(r"\\n|\s|=")
+_URL_SAFE = str.maketrans("-_", "+/")
+
+
 def decode_base64(candidate: str) -> bytes | None:
-    """Bytes of a base64 or base64url text, with or without padding and line ends."""
-    body = re.sub(r"\\n|\s|=", "", candidate).translate(str.maketrans("-_", "+/"))
-    if len(body) % 4 == 1:
-        return None
+    """Bytes of a base64 or base64url text, with or without padding and line ends; a loose last character is left out."""
+    body = _FILLER.sub("", candidate).translate(_URL_SAFE)
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def encoded_key(candidate: str) -> tuple[str, int] | None:
+    """Kind of the key that a base64 text starts with, and where in the text its encoding ends."""
+    data = decode_base64(candidate)
+    if data is None:
+        return None
+    kind, size = "der", 0
+    outer = _tlv(data, 0, len(data))
+    if outer is not None and is_der_key(data[: outer[2]]):
+        size = outer[2]
+    elif data.startswith(OPENSSH):
+        kind, size = "openssh", openssh_size(data)
+    if not size:
+        return None
+    left, at = -(-size * 8 // 6), 0  # characters that carry the key
+    while left:
+        filler = _FILLER.match(candidate, at)
+        if filler:
+            at = filler.end()
+        else:
+            at, left = at + 1, left - 1
+    while at < len(candidate) and candidate[at] == "=":
+        at += 1
+    return kind, at
+
+
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, content start and content end of the element at a place, or None if its length doesn't fit."""
     if at + 2 > end:
@@ -113,27 +141,31 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Whether bytes are an OpenSSH private key container whose length-prefixed fields fill it."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at, fields = len(magic), 0
-    while fields < 3:  # cipher, key derivation and its options
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        fields += 1
-    if at + 4 > len(data):
-        return False
+OPENSSH = b"openssh-key-v1\0"
+
+
+def openssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH private key container that data starts with, by its length-prefixed fields; 0 if it is none."""
+    at = len(OPENSSH)
+    if not data.startswith(OPENSSH):
+        return 0
+
+    def field(at: int) -> int:
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        return end if at + 4 <= len(data) and end <= len(data) else -1
+
+    for _ in range(3):  # cipher, key derivation and its options
+        at = field(at)
+        if at < 0:
+            return 0
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    if not 1 <= keys <= 16:
-        return False
+    if at > len(data) or not 1 <= keys <= 16:
+        return 0
     for _ in range(keys + 1):  # public keys and the private block
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+        at = field(at)
+        if at < 0:
+            return 0
+    return at
 
 
 def is_signed_token(candidate: str) -> bool:
@@ -155,13 +187,9 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
     for m in LONG_BASE64.finditer(text):
-        data = decode_base64(m.group())
-        if data is None:
-            continue
-        if is_der_key(data):
-            spans.append(("der", m.start(), m.end()))
-        elif is_openssh_key(data):
-            spans.append(("openssh", m.start(), m.end()))
+        found = encoded_key(m.group())
+        if found:
+            spans.append((found[0], m.start(), m.start() + found[1]))
     spans += [("derhex", m.start(), m.end()) for m in LONG_HEX.finditer(text) if not (m.end() - m.start()) % 2 and is_der_key(bytes.fromhex(m.group()))]
     spans += [("jwt", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_token(m.group())]
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
