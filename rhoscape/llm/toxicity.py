@@ -25,6 +25,8 @@ SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 #: Bounds: labelled rows used of each label, terms, exception phrases.
 SAMPLE_ROWS, TERMS, EXCEPTIONS = 6_000, 4_000, 2_000
 LEAST_TOXIC, STARTS = 5, (5, 6, 7, 8)
+#: Least log odds of a term before and after its exceptions are taken off.
+FIRST_ODDS, LAST_ODDS = 1.0, 3.0
 
 #: Look-alike letters and digit substitutions (fixed values).
 LOOKALIKES = {
@@ -71,8 +73,8 @@ def fold(text: str) -> str:
         if not word.isalpha():
             letters = sum(map(str.isalpha, word))
             core = word.strip("!|$€£@")
-            # Substitutes stand for letters where a word has letters on the whole; else they are what they are.
-            if letters and letters * 2 >= len(core):
+            # Substitutes stand for letters in a word that has letters, a third at least; else they are what they are.
+            if letters and letters * 3 >= len(core):
                 word = core.translate(_DIGITS)
             else:
                 words.extend(word.translate(_PLAIN).split())
@@ -108,24 +110,30 @@ class Matcher:
                 self.automaton.add_word(phrase, (len(phrase), 0.0))
             self.automaton.make_automaton()
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Weight found (each word once, by its heaviest term), damped, and its share of the words."""
-        folded = fold(text or "")
-        if self.automaton is None:
-            return 0.0, 0.0
-        hits: dict[int, float] = {}
+    def hits(self, folded: str) -> dict[int, tuple[float, int]]:
+        """Heaviest term (weight, size) at each place where one matches outside exception phrases."""
+        found: dict[int, tuple[float, int]] = {}
         spared: list[tuple[int, int]] = []
-        for end, (size, weight) in self.automaton.iter(folded):
+        for end, (size, weight) in self.automaton.iter(folded) if self.automaton else ():
             start = end - size + 1
             if weight:
-                if weight > hits.get(start, 0.0):
-                    hits[start] = weight
+                found[start] = max(found.get(start, (0.0, 0)), (weight, size))
             else:
                 spared.append((start, end))
-        for start, end in spared:
-            for k in [k for k in hits if start <= k < end]:
-                del hits[k]
-        total = sum(sorted(hits.values()))
+        for start, end in spared if found else ():
+            for k in [k for k in found if start <= k < end]:
+                del found[k]
+        return found
+
+    def left(self, text: str | None) -> set[str]:
+        """Terms that match outside exception phrases."""
+        folded = fold(text or "")
+        return {folded[k : k + size] for k, (_, size) in self.hits(folded).items()}
+
+    def features(self, text: str | None) -> tuple[float, float]:
+        """Weight found (each word once, by its heaviest term), damped, and its share of the words."""
+        folded = fold(text or "")
+        total = sum(sorted(weight for weight, _ in self.hits(folded).values()))
         return math.log1p(total), math.log1p(100.0 * total / (folded.count(" ") + 20.0))
 
     def score(self, text: str | None) -> float:
@@ -180,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold_count: int = 5, held_out: int =
         if r["term"] == "\0rows":
             continue
         odds = math.log((r["toxic"] + 0.5) / (n1 + 1.0)) - math.log((r["clean"] + 0.5) / (n0 + 1.0))
-        if odds >= 3.0:
+        if odds >= FIRST_ODDS:
             terms[r["term"]] = odds
     # A longer start or word adds nothing to a shorter start of nearly the same weight.
     for term in sorted(terms, key=len, reverse=True):
@@ -214,7 +222,25 @@ def fit(docs: DataFrame, labels: DataFrame, fold_count: int = 5, held_out: int =
         map_batches(sample, around, "phrase string, toxic bigint, clean bigint").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("clean") >= 3) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(EXCEPTIONS).collect()
     )
-    lexicon = Lexicon(terms, {r["phrase"] for r in phrases})
+    spared = Lexicon(terms, {r["phrase"] for r in phrases})
+    trial = docs.sparkSession.sparkContext.broadcast(spared)
+
+    def count_left():
+        matcher = trial.value.compile()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            by = {0: Counter(), 1: Counter()}
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                by[toxic].update(matcher.left(text))
+            names = list(by[0] | by[1])
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([by[1][t] for t in names], pa.int64()), pa.array([by[0][t] for t in names], pa.int64())], ["term", "toxic", "clean"])
+
+        return step
+
+    left = map_batches(sample, count_left, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
+    odds = {r["term"]: math.log((r["toxic"] + 0.5) / (n1 + 1.0)) - math.log((r["clean"] + 0.5) / (n0 + 1.0)) for r in left if r["toxic"] >= LEAST_TOXIC}
+    terms = {t: o for t, o in odds.items() if o >= LAST_ODDS}
+    lexicon = Lexicon(terms, {e for e in spared.exceptions if any(t in e for t in terms)})
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure():
@@ -226,7 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold_count: int = 5, held_out: int =
 
         return step
 
-    points = map_batches(sample, measure, "a double, b double, toxic int").orderBy("toxic", "a", "b").collect()
+    points = map_batches(sample, measure, "a double, b double, toxic int").collect()
+    points.sort()
     # The sample balances labels differently from the corpus; rows are weighted back to the labels' true shares.
     shares = {r["toxic"]: r["count"] for r in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     weight = {t: shares.get(t, 1) / max(1, n) for t, n in ((1, n1), (0, n0))}
