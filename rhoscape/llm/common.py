@@ -53,8 +53,20 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
+#: Rows of an Arrow batch; texts and sets of some kilobytes each make batches of some megabytes on either side.
+BATCH_ROWS = 256
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with a per-task set-up: make() runs once in each task and returns the batch function."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -80,6 +92,27 @@ def raw(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.nda
     return buffer[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+class Generations:
+    """A bounded cache of two generations: when the new one is full it becomes the old one, and what is used moves on."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+    def find(self, key):
+        """The value of a key in either generation, or None."""
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising scrambler on unsigned 64-bit values."""
     x = x ^ (x >> U64(31))

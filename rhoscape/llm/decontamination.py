@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import U64, cuts, map_batches, materialise, raw, shingles, word_hashes
+from rhoscape.llm.common import U64, bound_batches, cuts, map_batches, materialise, raw, shingles, word_hashes
 
 WORDS, PERCENT, MISS = 5, 80, 1e-6
 #: Bins are at least twice the shingles of any document of a partition.
@@ -248,6 +248,7 @@ def _search(docs: DataFrame, shared: _Shared) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, percent: int = PERCENT, limit: int = BLOCK_WORDS) -> DataFrame:
     """docs, all columns, without the documents that contain a benchmark item."""
     spark = docs.sparkSession
+    bound_batches(spark)
     for items in blocks(benchmark, limit):
         shared = _Shared(spark.sparkContext.broadcast((items, size, percent)))
         docs = docs.where(_clean(shared)(F.col("text")))

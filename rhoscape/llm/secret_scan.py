@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import map_batches, raw
+from rhoscape.llm.common import bound_batches, map_batches, raw
 
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, n_confirmed bigint, spans string"
 #: Kinds in the order in which spans with one start are listed.
@@ -289,6 +289,7 @@ def redact(docs: DataFrame) -> DataFrame:
             out[i] = redact_text(out[i]) if out[i] else out[i]
         return pa.array(out, pa.string())
 
+    bound_batches(docs.sparkSession)
     fresh = docs.withColumn("__redacted", cleaned(F.col("text")))
     columns = [F.col("__redacted").alias("text") if c == "text" else F.when(F.col("__redacted") == F.col("text"), F.col("n_chars")).otherwise(F.length("__redacted").cast("bigint")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return fresh.select(*columns)
