@@ -65,3 +65,58 @@ def featurize_batch(spark: SparkSession, path: str, pattern: str = "CHG*", optio
     spread = max(1, min(10_000, files.select("path").count()))
     ordered = files.repartition(spread, "path").sortWithinPartitions(F.desc("length"))
     return featurize(read_densities(ordered), options, on_error).orderBy("path")
+
+
+def sweep(packed: DataFrame, factors: list[tuple[float, float]], options: Options | None = None) -> DataFrame:
+    """The region-dependent descriptors of each structure for sphere factors (a, b), pairs with a >= b left out.
+
+    All factors of a structure are worked off in one task, so its grid is read and its geometry found once.
+    """
+    from dataclasses import replace
+
+    from rhoscape.kernels.features import Density
+    from rhoscape.plans.registry import Fallback
+
+    options = options or Options()
+    chosen = [d for d in selected(options.domains) if "shells" in d.requires]
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["grid"] is None:
+                    continue
+                base = Density(np.frombuffer(r["grid"], "<f8").reshape(r["shape"]), r["lattice"], r["species"], r["frac"], options)
+                rows = []
+                for a, b in factors:
+                    if a >= b:
+                        continue
+                    base.options = replace(options, shells=(a, b))
+                    for made in ("regions", "eigenvalues", "ghosts", "sphere_sums", "shared_sums"):
+                        base.__dict__.pop(made, None)
+                    values = [d.function(base) for d in chosen]
+                    rows.append((r["path"], a, b, *(float(v.value if isinstance(v, Fallback) else v) for v in values)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "a", "b", *(d.name for d in chosen)])
+
+    return packed.mapInArrow(run, "path string, a double, b double, " + ", ".join(f"`{d.name}` double" for d in chosen))
+
+
+def grid_convergence(packed: DataFrame, scales: tuple[float, ...] = (0.9, 0.8), options: Options | None = None) -> DataFrame:
+    """Every descriptor on the full grid and on band-limited resampled grids, with the relative change, long form."""
+    from rhoscape.kernels.features import featurize_grid
+    from rhoscape.kernels.spectral import fourier_resample
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["grid"] is None:
+                    continue
+                grid = np.frombuffer(r["grid"], "<f8").reshape(r["shape"])
+                full, _ = featurize_grid(grid, r["lattice"], r["species"], r["frac"], options)
+                rows = []
+                for s in scales:
+                    found, _ = featurize_grid(fourier_resample(grid, [max(4, int(round(n * s))) for n in grid.shape]), r["lattice"], r["species"], r["frac"], options)
+                    rows += [(r["path"], k, s, v, found[k], abs(found[k] - v) / max(abs(v), 1e-300)) for k, v in full.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "descriptor", "scale", "full", "scaled", "rel_change"])
+
+    return packed.mapInArrow(run, "path string, descriptor string, scale double, full double, scaled double, rel_change double")

@@ -86,5 +86,5 @@ def catalogue(spark: SparkSession) -> DataFrame:
     """One row a descriptor."""
     from rhoscape.options import DOMAINS
 
-    rows = [(d.name, d.domain, d.source, ",".join(d.requires), d.units, d.range[0], d.range[1], d.intensive, ";".join(f"{k}={v}" for k, v in d.cases.items()), d.formula) for d in selected(DOMAINS)]
+    rows = [(d.name, d.domain, d.source, ",".join(d.requires), d.units, float(d.range[0]), float(d.range[1]), d.intensive, ";".join(f"{k}={v}" for k, v in d.cases.items()), d.formula) for d in selected(DOMAINS)]
     return spark.createDataFrame(rows, CATALOGUE)

@@ -1,19 +1,628 @@
-"""Queries of the analytics engine over the driver's tables, and their SQL equivalents."""
+"""Queries of the analytics engine over the driver's tables; oracles.py has their SQL equivalents.
+
+The tables hold no crystals, so line items are summed into one periodic grid a return flag and the first suppliers
+stand for its atoms (operators.grid.voxelize, operators.geometry.bind_atoms).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rhoscape.constants import MAP_RHO, MAP_S, VALUE_BINS
+from rhoscape.functions.chemistry import chemical_system, elements_of, has_f_element, parent_directory, reduced_counts, species
+from rhoscape.functions.linear import eigenvalues, erf
+from rhoscape.operators import compare, geometry, grid, metrics, models, profiles, reduce, spectral, stencil, tabular, topology
+from rhoscape.operators.grid import CELL, SCALE, SIZE
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.voxelize(table(spark, sf_dir, "lineitem"))
+
+
+def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.bind_atoms(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"))
+
+
+def positions(spark: SparkSession) -> DataFrame:
+    return grid.voxel_grid(spark)
+
+
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.nearest_atoms(positions(spark), atoms(spark, sf_dir))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.sphere_regions(positions(spark), atoms(spark, sf_dir))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels with nearest atom and region; the geometry has one row a voxel index, whatever the input."""
+    return voxels(spark, sf_dir).join(F.broadcast(nearest(spark, sf_dir)), "vox").join(F.broadcast(regions(spark, sf_dir)), "vox")
+
+
+def derived(spark: SparkSession, sf_dir: str, order: int = 4, hessian: bool = True) -> DataFrame:
+    return stencil.cartesian(stencil.fractional_derivatives(voxels(spark, sf_dir), order, SIZE, hessian), CELL, hessian)
+
+
+def full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir).join(F.broadcast(nearest(spark, sf_dir)), "vox").join(F.broadcast(regions(spark, sf_dir)), "vox")
+
+
+def curved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels with Hessian eigenvalues and atomic units, rounded where a threshold looks at them."""
+    with_l = eigenvalues(full(spark, sf_dir), "hxx", "hyy", "hzz", "hxy", "hxz", "hyz", ("l1", "l2", "l3"))
+    rounded = with_l.select("*").withColumns({n: F.round(n, 6) for n in ("l1", "l2", "l3")})
+    return reduce.atomic_units(rounded)
+
+
+def rounded(frame: DataFrame, digits: int = 6, but: tuple = ()) -> DataFrame:
+    """Floating-point columns rounded, negative zero made zero."""
+    return frame.select(*((F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" and c not in but else F.col(c) for c, t in frame.dtypes))
+
+
+# grids ----------------------------------------------------------------------------------------------------------------
+
+
+def grid_integrate(spark, sf_dir):
+    return rounded(reduce.integrals(voxels(spark, sf_dir)))
+
+
+def slab_profiles(spark, sf_dir):
+    return grid.slab_profiles(voxels(spark, sf_dir))
+
+
+def roll_neighbors(spark, sf_dir):
+    offsets = spark.createDataFrame([(1, 0, 0, "i"), (0, 1, 0, "j"), (0, 0, 1, "k")], "di int, dj int, dk int, axis string")
+    return grid.neighbour(voxels(spark, sf_dir), offsets).groupBy("structure_id", "vox").pivot("axis", ["i", "j", "k"]).agg(F.max("there")).select("structure_id", "vox", F.col("i").alias("ahead_i"), F.col("j").alias("ahead_j"), F.col("k").alias("ahead_k"))
+
+
+def slice_plane(spark, sf_dir):
+    return grid.slice_plane(voxels(spark, sf_dir), "k", 0.3).select("structure_id", "vox", "rho")
+
+
+def preview(spark, sf_dir):
+    return grid.preview(voxels(spark, sf_dir), SIZE, 4).select("structure_id", "vox", "rho")
+
+
+def translate_invariance(spark, sf_dir):
+    """Extent and moments of the grid and of its translate: equal rows, so no difference stays."""
+    base = voxels(spark, sf_dir)
+    sums = lambda v: v.groupBy("structure_id").agg(F.sum("rho").alias("total"), F.sum(F.col("rho") * F.col("rho")).alias("square"), F.max("rho").alias("top"))
+    before, after = sums(base), sums(grid.translate(base, (3, 5, 7)))
+    return before.exceptAll(after).agg(F.count("*").alias("differing"))
+
+
+def supercell_invariance(spark, sf_dir):
+    base = voxels(spark, sf_dir)
+    mean = lambda v, n: v.groupBy("structure_id").agg((F.sum("rho") / n).cast("bigint").alias("total"), F.max("rho").alias("top"), F.min("rho").alias("low"))
+    return mean(grid.supercell(base, (2, 1, 2)), 4).select("structure_id", "total", "top", "low")
+
+
+def grid_sizes(spark, sf_dir):
+    lengths = table(spark, sf_dir, "part").select("p_partkey", *((F.col("p_size") / F.lit(k) + 2.0).alias(f"l{a}") for a, k in ((1, 4.0), (2, 7.0), (3, 3.0))))
+    return grid.grid_sizes(lengths).select("p_partkey", "n1", "n2", "n3")
+
+
+# derivatives ----------------------------------------------------------------------------------------------------------
+
+
+def fd_gradient(spark, sf_dir):
+    made = None
+    for order in (2, 4, 6, 8):
+        part = stencil.fractional_derivatives(voxels(spark, sf_dir), order, SIZE, False).select("structure_id", "vox", F.lit(order).alias("accuracy"), "g1", "g2", "g3")
+        made = part if made is None else made.unionByName(part)
+    return rounded(made, 5)
+
+
+def fd_hessian(spark, sf_dir):
+    return rounded(stencil.fractional_derivatives(voxels(spark, sf_dir)).select("structure_id", "vox", "h11", "h22", "h33", "h12", "h13", "h23"), 4)
+
+
+def fd_laplacian(spark, sf_dir):
+    return rounded(derived(spark, sf_dir).select("structure_id", "vox", "lap", "lap_diagonal"), 4)
+
+
+def laplacian_shares(spark, sf_dir):
+    return rounded(reduce.laplacian_shares(full(spark, sf_dir)))
+
+
+def gradient_shape(spark, sf_dir):
+    shape = reduce.gradient_shape(full(spark, sf_dir))
+    return rounded(shape.select("structure_id", "zeta", "t1", "t2", "t3", "charge_FA"))
+
+
+def hessian_eigen(spark, sf_dir):
+    return rounded(eigenvalues(derived(spark, sf_dir), "hxx", "hyy", "hzz", "hxy", "hxz", "hyz", ("l1", "l2", "l3")).select("structure_id", "vox", "l1", "l2", "l3"), 3)
+
+
+def curvature(spark, sf_dir):
+    return rounded(reduce.curvature(curved(spark, sf_dir), s_max=3.0))
+
+
+def nci_map(spark, sf_dir):
+    signed = curved(spark, sf_dir).withColumn("x", F.round(F.signum("l2") * F.col("rho_au"), 9)).withColumn("y", F.round("s", 9))
+    return profiles.histogram_2d(signed, "x", "y", (120, 80), (-MAP_RHO, MAP_RHO, 0.0, MAP_S), ["structure_id"])
+
+
+def hartree_potential(spark, sf_dir):
+    points = positions(spark).select("vox", "u1", "u2", "u3")
+    return rounded(spectral.synthesise(spectral.hartree(voxels(spark, sf_dir), scale=SCALE), points, ["vox"]).withColumnRenamed("value", "v"))
+
+
+def potential_spread(spark, sf_dir):
+    """V at the sites and over the interstitial voxels, from one set of amplitudes."""
+    amplitudes = spectral.hartree(voxels(spark, sf_dir), scale=SCALE)
+    field = spectral.synthesise(amplitudes, positions(spark).select("vox", "u1", "u2", "u3"), ["vox"])
+    sites = atoms(spark, sf_dir).select("atom", ((F.round(F.col("fx") * SIZE) * SIZE + F.round(F.col("fy") * SIZE)) * SIZE + F.round(F.col("fz") * SIZE)).cast("bigint").alias("vox"))
+    spread = field.join(F.broadcast(sites), "vox").groupBy("structure_id").agg(F.stddev_pop("value").alias("V_spread"))
+    low = field.join(F.broadcast(regions(spark, sf_dir)), "vox").groupBy("structure_id").agg(F.coalesce(F.min(F.when(F.col("region") == "int", F.col("value"))), F.lit(0.0)).alias("V_int_min"))
+    return rounded(spread.join(low, "structure_id"))
+
+
+def midpoint_density(spark, sf_dir):
+    base = atoms(spark, sf_dir)
+    ends = lambda side: base.select(F.col("atom").alias(side), *(F.col(f"f{c}").alias(f"{side}{c}") for c in "xyz"))
+    bonds = geometry.bond_census(base).join(F.broadcast(ends("i")), "i").join(F.broadcast(ends("j")), "j")
+    points = bonds.select("i", "j", "t1", "t2", "t3", *((0.5 * (F.col(f"i{c}") + F.col(f"j{c}") + F.col(f"t{a}"))).alias(f"u{a}") for a, c in enumerate("xyz", start=1)))
+    values = spectral.synthesise(spectral.transform(voxels(spark, sf_dir)), points, ["i", "j", "t1", "t2", "t3"])
+    return rounded(values.groupBy("structure_id").agg(F.avg("value").alias("rho_mid_mean"), F.stddev_pop("value").alias("rho_mid_std"), F.count("*").alias("bonds")))
+
+
+# geometry -------------------------------------------------------------------------------------------------------------
+
+
+def nearest_atom(spark, sf_dir):
+    return rounded(nearest(spark, sf_dir).select("vox", "atom", "element", "r"))
+
+
+def sphere_regions(spark, sf_dir):
+    return rounded(regions(spark, sf_dir).select("vox", F.col("sphere_atom").alias("atom"), F.col("rs").alias("r"), "region"))
+
+
+def bond_census(spark, sf_dir):
+    return rounded(geometry.bond_census(atoms(spark, sf_dir)))
+
+
+def neighbor_edges(spark, sf_dir):
+    return rounded(geometry.neighbour_edges(atoms(spark, sf_dir), 4.05))
+
+
+def becke_weights(spark, sf_dir):
+    return rounded(geometry.becke_weights(positions(spark), atoms(spark, sf_dir)))
+
+
+def periodic_images(spark, sf_dir):
+    return rounded(geometry.images(atoms(spark, sf_dir), 2.0).select("atom", "t1", "t2", "t3", "px", "py", "pz"))
+
+
+# descriptors ----------------------------------------------------------------------------------------------------------
+
+
+def moments(spark, sf_dir):
+    return rounded(reduce.moments(placed(spark, sf_dir)).select("structure_id", "m1", "m2", "sigma_r2", "f_core", "f_bond", "f_int"))
+
+
+def information(spark, sf_dir):
+    return rounded(reduce.information(voxels(spark, sf_dir)))
+
+
+def site_values(spark, sf_dir):
+    return rounded(reduce.site_values(full(spark, sf_dir)).select("structure_id", "atom", "element", "m1", "f_bond", "zeta", "charge"))
+
+
+def site_statistics(spark, sf_dir):
+    sites = reduce.site_values(full(spark, sf_dir))
+    out = None
+    for value in ("m1", "f_bond", "zeta"):
+        part = reduce.site_statistics(sites, value)
+        out = part if out is None else out.join(part, "structure_id")
+    return rounded(out)
+
+
+def anova_parts(spark, sf_dir):
+    """Within and between variance of line prices: parts as sites of their brand."""
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    sites = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("x")).join(parts.select("p_partkey", F.col("p_brand").alias("element")), "p_partkey").withColumn("structure_id", F.lit("all"))
+    return rounded(reduce.site_statistics(sites, "x").select("x_site_std", "x_site_range", "x_within_element_var", "x_between_element_var"))
+
+
+def sensitivity_sweep(spark, sf_dir):
+    factors = [(a, b) for a in (0.6, 0.79, 1.0) for b in (0.9, 1.14, 1.4)]
+    return rounded(reduce.sensitivity_sweep(placed(spark, sf_dir), factors))
+
+
+def nmape(spark, sf_dir):
+    base = voxels(spark, sf_dir)
+    return rounded(reduce.nmape(base.where("structure_id = 'N'"), base.where("structure_id = 'R'")))
+
+
+def renormalised(spark, sf_dir):
+    electrons = reduce.valence_electrons(atoms(spark, sf_dir))
+    each = voxels(spark, sf_dir).select("structure_id").distinct().join(F.broadcast(electrons))
+    made = reduce.renormalised(voxels(spark, sf_dir), each)
+    return rounded(made.groupBy("structure_id").agg((F.avg("rho") * F.lit(CELL.volume)).alias("electrons"), F.max("rho").alias("top")))
+
+
+def extremum_census(spark, sf_dir):
+    return topology.extremum_census(voxels(spark, sf_dir)).select("structure_id", "n_max", "n_min", "n_saddle1", "n_saddle2", "euler")
+
+
+def lower_mask(spark, sf_dir):
+    return topology.lower_bits(voxels(spark, sf_dir))
+
+
+def ascent_basins(spark, sf_dir):
+    return topology.ascent_basins(voxels(spark, sf_dir)).select("structure_id", "vox", F.col("to").alias("basin"))
+
+
+def non_nuclear_maxima(spark, sf_dir):
+    """Maxima outside every core and the charge share of their basins."""
+    base = voxels(spark, sf_dir)
+    peaks = topology.lower_bits(base).where(F.col("bits") == (1 << 26) - 1).join(F.broadcast(regions(spark, sf_dir)), "vox").where(F.col("region") != "core").select("structure_id", F.col("vox").alias("to"))
+    held = base.join(topology.ascent_basins(base), ["structure_id", "vox"]).join(F.broadcast(peaks.withColumn("ghost", F.lit(1))), ["structure_id", "to"], "left")
+    charge = held.groupBy("structure_id").agg(reduce.share(reduce.where(F.col("ghost") == 1, "rho"), F.sum("rho")).alias("Q_NNM"))
+    count = peaks.groupBy("structure_id").agg(F.count("*").alias("ghosts"))
+    return rounded(charge.join(count, "structure_id", "left").select("structure_id", (F.coalesce("ghosts", F.lit(0)) / F.lit(CELL.volume)).alias("n_NNM"), "Q_NNM"))
+
+
+def basin_charges(spark, sf_dir):
+    base = voxels(spark, sf_dir)
+    return rounded(profiles.basin_charges(base, topology.ascent_basins(base)).select("structure_id", "basin", "charge", "share", "rank"))
+
+
+def percolation(spark, sf_dir):
+    return rounded(topology.percolation(voxels(spark, sf_dir)))
+
+
+# profiles -------------------------------------------------------------------------------------------------------------
+
+
+def radial_profile(spark, sf_dir):
+    return rounded(profiles.radial_profile(full(spark, sf_dir).withColumn("lap", F.round("lap", 4)), CELL.volume / SIZE**3), 3)
+
+
+def region_profile(spark, sf_dir):
+    return rounded(profiles.region_profile(placed(spark, sf_dir), CELL.volume / SIZE**3))
+
+
+def hist_1d(spark, sf_dir):
+    return profiles.histogram(table(spark, sf_dir, "events"), "value", VALUE_BINS, ["event_type"])
+
+
+def hist_weighted(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    return profiles.histogram(lines, "l_quantity", 50, ["l_returnflag"], "cents")
+
+
+def support_range(spark, sf_dir):
+    return profiles.support_range(hist_1d(spark, sf_dir), 0.5, ["event_type"])
+
+
+def site_labels(spark, sf_dir):
+    """Occurrence numbers within groups, in order."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("N"), F.col("s_nationkey"), F.lit("-"), rank).alias("label"))
+
+
+# tables ---------------------------------------------------------------------------------------------------------------
+
+
+def etl_targets(spark, sf_dir):
+    """Left-joined, tolerance-checked and masked targets."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    spent = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.max("o_totalprice"), 2).alias("top"), F.count("*").alias("orders"))
+    base = tabular.reindexed(customers.select("c_custkey", "c_acctbal", "c_nationkey"), {"spend": spent}, "c_custkey")
+    sane = F.col("c_acctbal").between(0, 5000)
+    return base.select("c_custkey", tabular.masked("spend_top", sane).alias("top"), "spend_orders", sane.cast("int").alias("sane"), tabular.agree("c_acctbal", "spend_top", 1000.0).cast("int").alias("near"))
+
+
+def _systems(spark, sf_dir) -> DataFrame:
+    """Customers with the set of order priorities as a system and a split by key."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.substring("o_orderpriority", 1, 1))), "-").alias("system"))
+    split = F.when(F.col("o_custkey") % 10 == 0, "test").when(F.col("o_custkey") % 10 == 1, "val").otherwise("train")
+    return orders.withColumn("split", split)
+
+
+def held_out_systems(spark, sf_dir):
+    return tabular.held_out_systems(_systems(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("system").alias("systems"), F.sum("o_custkey").alias("keys"))
+
+
+def control_split(spark, sf_dir):
+    return tabular.size_matched_control(_systems(spark, sf_dir), "o_custkey").groupBy("split").agg(F.count("*").alias("n"))
+
+
+def coverage(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"), F.lit(1.0).alias("one"))
+    split = F.when(F.col("c_custkey") % 10 == 0, "test").when(F.col("c_custkey") % 10 == 1, "val").otherwise("train")
+    return tabular.coverage(rows.withColumn("split", split), ["balance", "one"])
+
+
+def inconsistent_keys(spark, sf_dir):
+    return tabular.inconsistent(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linestatus")
+
+
+def repeated_keys(spark, sf_dir):
+    return tabular.duplicates(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
+def formula_parse(spark, sf_dir):
+    """Element symbols of names read as formulas."""
+    names = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.initcap("p_name"), F.lit("Fe2O"), F.col("p_size")).alias("formula"))
+    return names.select("p_partkey", chemical_system(F.col("formula")).alias("system"), F.size(elements_of(F.col("formula"))).alias("elements"), has_f_element(F.col("formula")).cast("int").alias("f_element"))
+
+
+def species_expand(spark, sf_dir):
+    labels = F.array(F.lit("Fe_pv"), F.lit("O/abc"), F.lit("Ni"))
+    counts = F.array(*((F.col("p_size") % k + 1).cast("bigint") for k in (3, 4, 2)))
+    parts = table(spark, sf_dir, "part")
+    return parts.select("p_partkey", F.array_join(species(labels, counts), ",").alias("species"), F.array_join(reduced_counts(F.transform(counts, lambda n: n * 6)), ",").alias("reduced"))
+
+
+def run_dir_pick(spark, sf_dir):
+    """Directory and file of each page's address; the least file of a directory is taken."""
+    pages = table(spark, sf_dir, "pages").select("page_id", parent_directory(F.col("url")).alias("directory"), F.element_at(F.split("url", "/"), -1).alias("file"))
+    return pages.groupBy("directory").agg(F.min("file").alias("file"), F.count("*").alias("files"))
+
+
+def metrics_regression(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("guess", F.col("p_retailprice") * F.col("l_quantity"))
+    return rounded(metrics.regression_scores(lines, "l_extendedprice", "guess", ["l_returnflag"]), 4)
+
+
+def metrics_classification(spark, sf_dir):
+    scored = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source"), "doc_id").withColumn("p", F.col("n_chars") / (F.col("n_chars") + 2000.0)).withColumn("all", F.lit("all"))
+    return rounded(metrics.classification_scores(scored, "quality", "p", ["all"]))
+
+
+def _numbers(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return table(spark, sf_dir, "lineitem").select(*columns), columns
+
+
+def spearman_matrix(spark, sf_dir):
+    return rounded(metrics.spearman(*_numbers(spark, sf_dir)))
+
+
+def redundant_pairs(spark, sf_dir):
+    return rounded(metrics.redundant_pairs(metrics.spearman(*_numbers(spark, sf_dir)), 0.5))
+
+
+def most_similar(spark, sf_dir):
+    return rounded(metrics.most_similar(metrics.spearman(*_numbers(spark, sf_dir))))
+
+
+def complete_linkage(spark, sf_dir):
+    frame, columns = _numbers(spark, sf_dir)
+    found = metrics.complete_linkage(metrics.spearman(frame, columns), columns, 0.5)
+    return spark.createDataFrame(sorted(found.items()), "name string, cluster int")
+
+
+def bootstrap_interval(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), F.col("l_extendedprice").alias("y"), (F.col("p_retailprice") * F.col("l_quantity")).alias("p"), (F.col("l_quantity") * 1500.0).alias("q"))
+    return metrics.bootstrap_difference(rows, "key", "y", "p", "q", 50)
+
+
+def seed_summary(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").select("event_type", "value")
+    return rounded(metrics.seed_summary(runs, ["event_type"], "value"))
+
+
+def best_by(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_name", "c_acctbal")
+    return metrics.best_by(rows, ["c_mktsegment"], "c_name", "c_acctbal")
+
+
+def importance_shares(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").cast("bigint").alias("gain"))
+    return rounded(metrics.importance_shares(rows, "l_returnflag", "l_suppkey", "gain", 10))
+
+
+def _features(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    names = [f"x{k}" for k in range(8)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names))), names
+
+
+def feature_range(spark, sf_dir):
+    return rounded(compare.feature_range(*_features(spark, sf_dir)))
+
+
+def outside_range(spark, sf_dir):
+    frame, names = _features(spark, sf_dir)
+    return rounded(compare.outside_range(frame, "vec_id", names, compare.feature_range(frame, names)))
+
+
+def tolerant_match(spark, sf_dir):
+    frame, names = _features(spark, sf_dir)
+    moved = frame.where("vec_id % 3 = 0").select("vec_id", *(F.when(F.col("vec_id") % 2 == 0, F.col(n) * (1 + 1e-7)).otherwise(F.col(n) + 1.0).alias(n) for n in names))
+    return compare.tolerant_match(moved, frame, "vec_id", names)
+
+
+def compare_rows(spark, sf_dir):
+    base = voxels(spark, sf_dir)
+    side = lambda s, n: base.where(F.col("structure_id") == s).select(F.col("vox").alias("name"), F.col("rho").cast("double").alias(n))
+    met = side("N", "a").join(side("R", "b"), "name").withColumn("scale", F.lit(1000.0)).withColumn("spearman", F.col("name") / 512.0)
+    return rounded(compare.compare_rows(met))
+
+
+def compare_summary(spark, sf_dir):
+    base = voxels(spark, sf_dir)
+    side = lambda s, n: base.where(F.col("structure_id") == s).select(F.col("vox").alias("name"), F.col("rho").cast("double").alias(n))
+    met = side("N", "a").join(side("A", "b"), "name").withColumn("scale", F.lit(1000.0)).withColumn("spearman", F.lit(0.9))
+    return rounded(compare.compare_summary(compare.compare_rows(met)))
+
+
+def inverse_transform(spark, sf_dir):
+    z = F.col("p_retailprice") / 1000.0
+    parts = table(spark, sf_dir, "part")
+    return rounded(parts.select("p_partkey", compare.inverse_transform(z, "log10", 20.0).alias("log10"), compare.inverse_transform(z, "log1p", None).alias("log1p"), compare.inverse_transform(z - 1.5, None, 0.0).alias("plain"), compare.decimals(z).alias("decimals")))
+
+
+def json_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name", F.when(F.col("r_regionkey") == 2, F.lit(float("nan"))).otherwise(F.col("r_regionkey") / 2.0).alias("x"))
+    return compare.json_rows(rows, ["r_regionkey", "r_name", "x"])
+
+
+def error_function(spark, sf_dir):
+    """erf of a range of values against their Gaussian sums."""
+    x = (F.col("p_size") - 25) / 10.0
+    return rounded(table(spark, sf_dir, "part").select("p_partkey", erf(x).alias("erf")))
+
+
+def catalogue(spark, sf_dir):
+    from rhoscape.plans.registry import catalogue as made
+
+    return made(spark)
+
+
+def element_table(spark, sf_dir):
+    from rhoscape.elements import elements
+
+    return elements(spark).select("z", "symbol", "covalent_radius", F.col("zval").cast("double").alias("zval"))
+
+
+# whole plans ----------------------------------------------------------------------------------------------------------
+
+
+def packed_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids as packed structures, for the kernels' path."""
+    import numpy as np
+
+    base = voxels(spark, sf_dir)
+    sites = atoms(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("atom", "element", "fx", "fy", "fz"))).alias("sites"))
+    grids = base.groupBy("structure_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vox", "rho"))), lambda v: v.rho * F.lit(SCALE)).alias("values"))
+    rows = grids.join(F.broadcast(sites))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["structure_id"]]), pa.array([CELL.rows.ravel().tolist()]), pa.array([[s["element"] for s in r["sites"]]]), pa.array([[s[c] for s in r["sites"] for c in ("fx", "fy", "fz")]]), pa.array([[SIZE] * 3], pa.list_(pa.int32())), pa.array([np.array(r["values"], "<f8").tobytes()]), pa.array([""])],
+                    ["path", "lattice", "species", "frac", "shape", "grid", "error"],
+                )
+
+    from rhoscape.sources.density import PACKED
+
+    return rows.mapInArrow(pack, PACKED)
+
+
+def featurize_packed(spark, sf_dir):
+    from rhoscape.options import Options
+    from rhoscape.plans.featurize import featurize
+
+    return featurize(packed_structures(spark, sf_dir), Options(derivative_backend="fd")).drop("wall_time_s")
+
+
+def featurize_spectral(spark, sf_dir):
+    from rhoscape.options import Options
+    from rhoscape.plans.featurize import featurize
+
+    return featurize(packed_structures(spark, sf_dir), Options(partition="becke")).drop("wall_time_s")
+
+
+def featurize_relational(spark, sf_dir):
+    """The relational descriptors side by side: one wide row a structure."""
+    out = moments(spark, sf_dir)
+    for part in (laplacian_shares, gradient_shape, information, site_statistics, non_nuclear_maxima):
+        out = out.join(part(spark, sf_dir), "structure_id")
+    return out
+
+
+def sweep_packed(spark, sf_dir):
+    from rhoscape.plans.featurize import sweep
+
+    return sweep(packed_structures(spark, sf_dir), [(0.6, 1.0), (0.79, 1.14), (1.2, 1.0)])
+
+
+def grid_convergence(spark, sf_dir):
+    from rhoscape.plans.featurize import grid_convergence as made
+
+    return made(packed_structures(spark, sf_dir))
+
+
+def density_round_trip(spark, sf_dir):
+    """Structures written as volumetric files, read back and held against the originals."""
+    from rhoscape.sources.density import read_densities
+
+    def text(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from rhoscape.sources.density import format_density
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                made = format_density(r["lattice"], r["species"], r["frac"], [np.frombuffer(r["grid"], "<f8").reshape(r["shape"])])
+                yield pa.RecordBatch.from_arrays([pa.array([r["path"]]), pa.array([made.encode()])], ["path", "content"])
+
+    packed = packed_structures(spark, sf_dir)
+    back = read_densities(packed.mapInArrow(text, "path string, content binary"))
+    return back.select("path", F.size("species").alias("n_atoms"), "shape", "error")
+
+
+def _training(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    frame, names = _features(spark, sf_dir)
+    return frame.withColumn("y", F.exp(F.col("x0") + 0.5 * F.col("x1"))).withColumn("label", (F.col("x2") > F.col("x3")).cast("int")), names
+
+
+def score_linear(spark, sf_dir):
+    rows, names = _training(spark, sf_dir)
+    model = models.fit(rows.where("vec_id % 5 > 0"), names, "y", "linear", "log10", penalty=1e-3)
+    return rounded(metrics.regression_scores(models.predict(model, rows.where("vec_id % 5 = 0"), "p", "log10", 0.0).withColumn("set", F.lit("test")), "y", "p", ["set"]), 4)
+
+
+def score_boosted(spark, sf_dir):
+    rows, names = _training(spark, sf_dir)
+    model = models.fit(rows.where("vec_id % 5 > 0"), names, "label", "boosted", None, True, seed=1)
+    return rounded(metrics.classification_scores(models.predict(model, rows.where("vec_id % 5 = 0"), "p", None, None, True).withColumn("set", F.lit("test")), "label", "p", ["set"]), 4)
+
+
+def predict_density(spark, sf_dir):
+    """Density by an atom-centred model over voxel-image pairs, renormalised to the valence electrons."""
+    points, sites = positions(spark), geometry.with_radius(atoms(spark, sf_dir))
+    met = points.join(F.broadcast(geometry.images(sites, 4.0))).withColumn("d", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 + (F.col("z") - F.col("pz")) ** 2)).where("d <= 4.0")
+    raw = met.groupBy("vox").agg(F.sum(F.exp(-((F.col("d") / F.col("radius")) ** 2))).alias("rho")).withColumn("structure_id", F.lit("model"))
+    electrons = reduce.valence_electrons(atoms(spark, sf_dir)).withColumn("structure_id", F.lit("model"))
+    return rounded(reduce.renormalised(raw, electrons).select("vox", "rho"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return moments(spark, sf_dir)
+
+
+#: Queries in the order of the inventory.
+QUERIES: list[Callable] = [
+    voxels, grid_integrate, slab_profiles, roll_neighbors, slice_plane, preview, translate_invariance, supercell_invariance, grid_sizes,
+    fd_gradient, fd_hessian, fd_laplacian, laplacian_shares, gradient_shape, hessian_eigen, curvature, nci_map, hartree_potential, potential_spread, midpoint_density,
+    nearest_atom, sphere_regions, bond_census, neighbor_edges, becke_weights, periodic_images,
+    moments, information, site_values, site_statistics, anova_parts, sensitivity_sweep, nmape, renormalised,
+    extremum_census, lower_mask, ascent_basins, non_nuclear_maxima, basin_charges, percolation,
+    radial_profile, region_profile, hist_1d, hist_weighted, support_range, site_labels,
+    etl_targets, held_out_systems, control_split, coverage, inconsistent_keys, repeated_keys, formula_parse, species_expand, run_dir_pick,
+    metrics_regression, metrics_classification, spearman_matrix, redundant_pairs, most_similar, complete_linkage, bootstrap_interval, seed_summary, best_by, importance_shares,
+    feature_range, outside_range, tolerant_match, compare_rows, compare_summary, inverse_transform, json_rows, error_function, catalogue, element_table,
+    featurize_packed, featurize_spectral, featurize_relational, sweep_packed, grid_convergence, density_round_trip, score_linear, score_boosted, predict_density,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {("voxelize" if f is voxels else f.__name__): f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from rhoscape.oracles import ORACLES
+
+    return dict(ORACLES)
+
+
