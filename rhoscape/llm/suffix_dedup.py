@@ -292,7 +292,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     """
     all_ = anchors(docs, length, gram)
     repeated = all_.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    places = materialise(all_.join(repeated.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchor"), "places")
+    # A table of its own, so that the join shuffles both sides and splits a hot anchor's rows.
+    repeated = materialise(repeated.select("anchor", (F.col("low") == F.col("high")).alias("same")), "repeated")
+    places = materialise(all_.join(repeated, "anchor"), "places")
     mixed = places.drop("same") if keep == "first" else places.where("NOT same").drop("same")
     distinct = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", _mark(), "place")).alias("first"))
     distinct = materialise(distinct, "distinct")
