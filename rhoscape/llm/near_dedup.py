@@ -330,6 +330,7 @@ def link(docs: DataFrame, percent: int = 85, size: int = WORDS) -> tuple[DataFra
     least = threshold(percent / 100)
     posted = post(classes, entry_sketch(classes), COORDINATES - least + 1)
     hubs = posted.groupBy("entry").agg(F.count("*").alias("size"), F.max_by("id", "rank").alias("hub"), F.max_by("k", "rank").alias("hub_k")).where("size > 1").drop("size")
+    hubs = materialise(hubs, "hubs")  # so that the join shuffles both sides and splits a hot entry's rows
     stars = posted.join(hubs, "entry").where((F.col("id") != F.col("hub")) | (F.col("k") != F.col("hub_k"))).groupBy("id", "k", "hub", "hub_k").agg(F.count("*").alias("shared"))
     stars = materialise(stars, "stars")
     close = materialise(collide(stars, classes, least, percent), "close")
@@ -357,6 +358,7 @@ def deduplicate(docs: DataFrame, percent: int = 85, size: int = WORDS) -> DataFr
     """
     prepared, labels = link(docs, percent, size)
     copies = prepared.where("n > 0").groupBy("k", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1").drop("copies")
+    copies = materialise(copies, "copies")  # so that the join shuffles both sides and splits a hot class
     least = prepared.join(copies, ["k", "k2"], "left").withColumn("first", F.coalesce("first", "id"))
     found = least.join(labels.withColumnRenamed("id", "first"), "first", "left").withColumn("component", F.coalesce("label", "first"))
     component = F.when(F.col("component") < NO_ID, F.col("component"))
