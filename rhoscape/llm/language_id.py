@@ -13,20 +13,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import crc_mod, map_batches
+from rhoscape.llm.common import Generations, bound_batches, crc_mod, map_batches
 
 UNDETERMINED = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
-#: Bounds of the labelled sample: rows a language, characters a row, characters a language.
-SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS = 64, 2_000, 40_000
+#: Bounds of the labelled sample: rows a language, characters a row, characters a language and in all.
+SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS, ALL_CHARS = 64, 2_000, 20_000, 320_000
 #: Labels beyond the most frequent ones are not learned.
 LANGUAGES = 64
-CACHE_ENTRIES = 250_000
-CACHED_CHARS = 48
+#: Entries of a cache generation, of which there are two, and the longest stretch that is kept.
+CACHE_ENTRIES, CACHED_CHARS = 150_000, 48
+#: Bits of a packed count.
 LANE = 40
 
 
@@ -36,7 +38,7 @@ def words_of(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """Transitions of the minimal automaton of all substrings, in one flat dictionary."""
+    """Transitions of the minimal automaton of all substrings of a text."""
 
     def __init__(self, text: str) -> None:
         step: list[dict[str, int]] = [{}]
@@ -64,18 +66,16 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        self.step = {(s << 21) + ord(c): t for s, d in enumerate(step) for c, t in d.items()}
+        self.step = step
 
     def phrases(self, word: str) -> int:
         """Number of longest-match phrases that the word falls into; a letter unknown to the sample is one."""
         step, state, count = self.step, 0, 0
         for c in word:
-            code = ord(c)
-            to = step.get((state << 21) + code)
+            to = step[state].get(c)
             if to is None:
-                if state:
-                    count += 1
-                to = step.get(code)
+                count += state > 0
+                to = step[0].get(c)
                 if to is None:
                     count += 1
                     to = 0
@@ -84,43 +84,111 @@ class SuffixAutomaton:
 
 
 class CrossParser:
-    """One automaton a language, and the weight of a phrase in it."""
+    """The languages' samples; automata and word cache are made in the process that uses them."""
 
     def __init__(self, samples: dict[str, list[str]], chars: int = LANGUAGE_CHARS) -> None:
         self.languages = list(samples)
-        joined = [" ".join(w for t in samples[k] for w in words_of(t))[:chars] for k in self.languages]
-        self.automata = [SuffixAutomaton(" " + t + " ") for t in joined]
-        self.weights = [math.log2(len(t) + 2) for t in joined]
-        self.cache: dict[str, tuple[int, int]] = {}
-
-    def entry(self, token: str) -> tuple[int, int]:
-        """Phrase counts of all languages, packed, and the letters of a stretch without white space."""
-        packed = letters = 0
-        for word in words_of(token):
-            letters += len(word)
-            spaced = f" {word} "
-            for k, automaton in enumerate(self.automata):
-                packed += automaton.phrases(spaced) << (LANE * k)
-        if len(token) <= CACHED_CHARS:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[token] = (packed, letters)
-        return packed, letters
-
-    def classify(self, text: str | None) -> tuple[str, float]:
-        """The language and how much fewer phrases it needs than the next one, from 0 to 1."""
-        get, entry = self.cache.get, self.entry
-        made = [get(t) or entry(t) for t in (text or "").split()]
-        letters = sum([m[1] for m in made])
-        if not letters or not self.languages:
-            return UNDETERMINED, 0.0
-        packed, mask = sum([m[0] for m in made]), (1 << LANE) - 1
-        costs = [((packed >> (LANE * k)) & mask) * w / letters for k, w in enumerate(self.weights)]
-        order = sorted(range(len(costs)), key=lambda k: (costs[k], k))
-        if len(order) == 1:
-            return self.languages[0], 1.0
-        best, second = costs[order[0]], costs[order[1]]
-        return self.languages[order[0]], (second - best) / second if second else 0.0
+        chars = min(chars, ALL_CHARS // max(1, len(self.languages)))
+        self.texts = [f" {' '.join(w for t in samples[k] for w in words_of(t))[:chars]} " for k in self.languages]
+        self.weights = [math.log2(len(t)) for t in self.texts]
+        self._made: dict = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_made": {}}
+
+    def _tables(self):
+        """Letter numbers by code point, and a dense transition table (state, letter) for each language; -1: none."""
+        if "tables" not in self._made:
+            letters = sorted({c for t in self.texts for c in t})
+            number = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)
+            for k, c in enumerate(letters, start=1):
+                number[ord(c)] = k
+            tables = []
+            for text in self.texts:
+                step = SuffixAutomaton(text).step
+                dense = np.full((len(step), len(letters) + 1), -1, np.int32)
+                for state, to in enumerate(step):
+                    for c, target in to.items():
+                        dense[state, number[ord(c)]] = target
+                tables.append(dense)
+            self._made["tables"] = number, tables
+        return self._made["tables"]
+
+    def phrases(self, words: list[str]) -> np.ndarray:
+        """(languages, words) phrase counts of words, each parsed with a space at either end, all words in step."""
+        number, tables = self._tables()
+        sizes = np.array([len(w) + 2 for w in words])
+        order = np.argsort(-sizes, kind="stable")
+        codes = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), np.uint32)
+        codes = number[np.minimum(codes, len(number) - 1)]
+        starts = (np.cumsum(sizes) - sizes)[order]
+        # Words still parsed at each place, the longest first.
+        active = np.searchsorted(-sizes[order], -np.arange(1, sizes.max() + 1), "right")
+        out = np.zeros((len(tables), len(words)), np.int64)
+        for table, row in zip(tables, out):
+            first = table[0]
+            state, count = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
+            for place, n in enumerate(active.tolist()):
+                letter = codes[starts[:n] + place]
+                to = table[state[:n], letter]
+                ended = np.flatnonzero(to < 0)
+                if len(ended):
+                    again = first[letter[ended]]
+                    count[ended] += (state[ended] > 0).astype(np.int64) + (again < 0)
+                    to[ended] = np.maximum(again, 0)
+                state[:n] = to
+            row[order] = count + (state > 0)
+        return out
+
+    def _learn(self, tokens: list[str]) -> dict[str, int]:
+        """Packed phrase counts of all languages, and letters, of stretches without white space."""
+        words, owners = [], []
+        for k, token in enumerate(tokens):
+            word = token.lower().strip(".,;:!?")
+            if word.isalpha():
+                words.append(word), owners.append(k)
+            else:
+                for part in words_of(token):
+                    words.append(part), owners.append(k)
+        n = len(self.languages)
+        totals = np.zeros((n + 1, len(tokens)), np.int64)
+        for a in range(0, len(words), 50_000):
+            part, owner = words[a : a + 50_000], np.array(owners[a : a + 50_000])
+            for lane, values in enumerate([*self.phrases(part), np.array([len(w) for w in part])]):
+                totals[lane] += np.bincount(owner, values, len(tokens)).astype(np.int64)
+        made = {}
+        for token, values in zip(tokens, totals.T.tolist()):
+            packed = 0
+            for value in reversed(values):
+                packed = packed << LANE | value
+            made[token] = packed
+        return made
+
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of each text and how much fewer phrases it needs than the next one, from 0 to 1."""
+        cache = self._made.setdefault("cache", Generations(CACHE_ENTRIES))
+        split = [(t or "").split() for t in texts]
+        known = {t: cache.find(t) for t in set().union(*split)}
+        fresh = [t for t, v in known.items() if v is None]
+        if fresh:
+            learned = self._learn(fresh)
+            known.update(learned)
+            for token, value in learned.items():
+                if len(token) <= CACHED_CHARS:
+                    cache.put(token, value)
+        n, mask, get = len(self.languages), (1 << LANE) - 1, known.__getitem__
+        out = []
+        for tokens in split:
+            packed = sum(map(get, tokens))
+            letters = packed >> (LANE * n)
+            if not letters or not n:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            costs = [((packed >> (LANE * k)) & mask) * w / letters for k, w in enumerate(self.weights)]
+            order = sorted(range(n), key=lambda k: (costs[k], k))
+            best, second = costs[order[0]], costs[order[min(1, n - 1)]]
+            out.append((self.languages[order[0]], 1.0 if n == 1 else (second - best) / second if second else 0.0))
+        return out
 
 
 def fit(docs: DataFrame, fold: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> CrossParser:
@@ -170,7 +238,7 @@ def identify(docs: DataFrame, model: CrossParser, fold: int = 4, held_out: int =
         parser = _worker_model(shared)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [parser.classify(t) for t in batch.column("text").to_pylist()]
+            found = parser.classify(batch.column("text").to_pylist())
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
@@ -188,11 +256,12 @@ def identify(docs: DataFrame, model: CrossParser, fold: int = 4, held_out: int =
 
 def keep_identified(docs: DataFrame, model: CrossParser) -> DataFrame:
     """The rows of docs, all columns, whose text has a language; texts that are "und" go."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
     def has_language(values: pa.Array) -> pa.Array:
         parser = _worker_model(shared)
-        return pa.array([parser.classify(t)[0] != UNDETERMINED for t in values.to_pylist()], pa.bool_())
+        return pa.array([found != UNDETERMINED for found, _ in parser.classify(values.to_pylist())], pa.bool_())
 
     return docs.where(has_language(F.col("text")))
