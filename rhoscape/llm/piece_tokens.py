@@ -7,7 +7,7 @@ these two. Ids are then recovered from the end of the text backwards. Characters
 become byte pieces.
 
 Before the table is built a text is cut where no piece can reach across: before the space mark that follows another
-character. Cuts are independent, so a bounded per-worker cache of cuts makes common words cheap; a long cut runs in
+character, and before line ends. Cuts are independent, so a bounded per-worker cache of cuts makes common words cheap; a long cut runs in
 time linear in its length and is not cached.
 """
 
@@ -19,11 +19,12 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rhoscape.llm.common import map_batches, texts
+from rhoscape.llm.common import Generations, map_batches, texts
 
 MARK = "▁"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-CACHE_ENTRIES = 200_000
+#: Entries of a cache generation, of which there are two.
+CACHE_ENTRIES = 120_000
 CACHED_CHARS = 48
 PAIRS = 1_500_000
 #: Piece types of the model format (fixed values).
@@ -96,7 +97,7 @@ class PieceModel:
                 raise ValueError("user-defined and unused pieces are not supported")
         self.rank = {i: r for r, i in enumerate(sorted(self.ids.values(), key=lambda i: (-scores[i], i)))}
         # No piece may cross a cut.
-        self.cuttable = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        self.cuttable = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.ids)
         self.split: dict[int, tuple[int, int]] = {}
         self.own: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
@@ -106,7 +107,9 @@ class PieceModel:
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.shown = [p.replace(MARK, " ") for p in self.pieces]
+        #: What a piece shows, None where the neighbours matter (byte pieces) or nothing ordinary is shown.
+        self.shown = [p.replace(MARK, " ") if t == NORMAL else None for p, t in zip(self.pieces, self.types)]
+        self.names = [str(i) for i in range(len(self.pieces))]
 
     def _merge(self, parts: list[str]) -> list[str]:
         """Pieces left when neighbours are merged in rank order, the leftmost first among equals."""
@@ -163,20 +166,41 @@ class PieceModel:
         return out
 
     def cut(self, text: str) -> list[str]:
-        """The normalised text in independent parts; their concatenation is the normalised text."""
+        """Names of the independent parts of the normalised text; part() gives their text.
+
+        Most words stand between single spaces, and their name is the word itself, without its space mark.
+        """
         if not text:
             return []
-        whole = MARK + text.replace(" ", MARK)
         if not self.cuttable:
-            return [whole]
-        parts = re.split(f"(?<=[^{MARK}])(?={MARK})", whole)
-        return parts
+            return [MARK + text.replace(" ", MARK)]
+        words = text.split(" ")
+        if "" in words or MARK in text:
+            return re.split(f"(?<=[^{MARK}])(?={MARK})", MARK + text.replace(" ", MARK))
+        if "\n" in text:
+            out = []
+            for word in words:
+                if "\n" in word:
+                    first, *rest = word.split("\n")
+                    out.append(first or MARK)
+                    out += ["\n" + line for line in rest]
+                else:
+                    out.append(word)
+            return out
+        return words
+
+    @staticmethod
+    def part(name: str) -> str:
+        return name if name[0] in MARK + "\n" else MARK + name
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.cut(text) for i in self.encode_part(part)]
+        return [i for name in self.cut(text) for i in self.encode_part(self.part(name))]
 
     def decode_part(self, ids: list[int]) -> str:
         """Text of ids without regard to the dummy prefix; runs of byte pieces are read as UTF-8."""
+        plain = [self.shown[i] for i in ids]
+        if None not in plain:
+            return "".join(plain)
         out: list[str] = []
         run = bytearray()
         for i in ids:
@@ -199,13 +223,13 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
-_models: dict[str, tuple[PieceModel, dict]] = {}
+_models: dict[str, tuple[PieceModel, Generations]] = {}
 
 
-def load(path: str) -> tuple[PieceModel, dict]:
+def load(path: str) -> tuple[PieceModel, Generations]:
     """The model of a file and its cache of cuts, once in each process."""
     if path not in _models:
-        _models[path] = (PieceModel(path), {})
+        _models[path] = (PieceModel(path), Generations(CACHE_ENTRIES))
     return _models[path]
 
 
@@ -219,24 +243,25 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def make():
         model, cache = load(path)
-
-        def entry(part: str) -> tuple[str, int, str]:
-            ids = model.encode_part(part)
-            made = (",".join(map(str, ids)), len(ids), model.decode_part(ids))
-            if len(part) <= CACHED_CHARS:
-                if len(cache) >= CACHE_ENTRIES:
-                    cache.clear()
-                cache[part] = made
+        names = model.names
+
+        def entry(name: str) -> tuple[str, int, str]:
+            made = cache.find(name)
+            if made is None:
+                ids = model.encode_part(model.part(name))
+                made = (",".join([names[i] for i in ids]), len(ids), model.decode_part(ids))
+                if len(name) <= CACHED_CHARS:
+                    cache.put(name, made)
             return made
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, encoded, decoded = [], [], []
-            get = cache.get
             for text in texts(batch):
-                made = [get(p) or entry(p) for p in model.cut(text)]
-                counts.append(sum([m[1] for m in made]))
-                encoded.append(hashlib.sha256(",".join([m[0] for m in made]).encode()).hexdigest())
-                back = "".join([m[2] for m in made])
+                get = cache.new.get
+                ids, sizes, shown = zip(*[get(p) or entry(p) for p in model.cut(text)]) if text else ((), (), ())
+                counts.append(sum(sizes))
+                encoded.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                back = "".join(shown)
                 decoded.append(hashlib.sha256((back[1:] if back.startswith(" ") else back).encode()).hexdigest())
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
