@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Hexadecimal digits of the digest that make the uniform draw: 52 bits, exact in a double.
 DIGITS = 13
 #: Hexadecimal digits of the digest that names a bucket within a shard.
-BUCKET_DIGITS = 3
+BUCKET_DIGITS = 2
 
 
 def score(key: Column, shard: int, weight: float) -> Column:
