@@ -39,7 +39,7 @@ def eigenvalues(frame: DataFrame, xx: str, yy: str, zz: str, xy: str, xz: str, y
 
 
 def erf(x: Column) -> Column:
-    """Error function by its Maclaurin series; good to 1e-9 for |x| up to 3, 1 beyond 6."""
-    terms = [F.lit((-1) ** n / (math.factorial(n) * (2 * n + 1))) * F.pow(x, 2 * n + 1) for n in range(40)]
+    """Error function by its Maclaurin series; good to 1e-7; beyond 4 it is the sign."""
+    terms = [F.lit((-1) ** n / (math.factorial(n) * (2 * n + 1))) * F.pow(x, 2 * n + 1) for n in range(60)]
     series = F.lit(2 / math.sqrt(math.pi)) * sum(terms[1:], terms[0])
-    return F.when(F.abs(x) > 3.5, F.signum(x)).otherwise(series)
+    return F.when(F.abs(x) > 4.0, F.signum(x)).otherwise(series)

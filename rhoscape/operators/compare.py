@@ -84,8 +84,8 @@ def forward_transform(y: Column, transform: str | None) -> Column:
 
 
 def decimals(error: Column) -> Column:
-    """Decimals worth showing beside a typical error."""
-    return F.when(error > 0, F.greatest(F.lit(0), F.least(F.lit(4), 1 - F.floor(F.log10(error)).cast("int")))).otherwise(F.lit(2))
+    """Decimals worth showing beside a typical error: one past its leading digit; 3 where it is unknown."""
+    return F.when(error > 0, F.greatest(F.lit(0), 1 - F.floor(F.log10(error)).cast("int"))).otherwise(F.lit(3))
 
 
 def long_results(wide: DataFrame, key: str, columns: list[str], catalogue: DataFrame) -> DataFrame:

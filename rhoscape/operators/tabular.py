@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,6 @@ def masked(value: str, condition: Column) -> Column:
 
 def born_stable(stiffness: Column, least: float = 1.0):
     """Whether the symmetric part of a 6x6 matrix has its smallest eigenvalue above a bound; null without a matrix."""
-    import numpy as np
-    import pyarrow as pa
 
     @F.arrow_udf("boolean")
     def stable(values: pa.Array) -> pa.Array:

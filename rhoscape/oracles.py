@@ -282,7 +282,7 @@ ORACLES: dict[str, str] = {
     "best_by": "SELECT c_mktsegment, arg_max(c_name, (c_acctbal, c_name)) AS best, max(c_acctbal) AS score FROM customer GROUP BY 1",
     "importance_shares": f"WITH g AS (SELECT l_returnflag, l_suppkey, sum(l_quantity)::BIGINT AS gain FROM lineitem GROUP BY ALL) SELECT *, {r6('gain / sum(gain) OVER (PARTITION BY l_returnflag) AS share')}, row_number() OVER (PARTITION BY l_returnflag ORDER BY gain DESC, l_suppkey)::INT AS rank FROM g QUALIFY rank <= 10",
     "element_table": "SELECT z, symbol, covalent_radius, zval::DOUBLE AS zval FROM " + values([(z, f"'{s}'", num(COVALENT_RADIUS[s]) if s in COVALENT_RADIUS else "NULL", ZVAL.get(s, "NULL")) for z, s in enumerate(SYMBOLS, 1)], "z, symbol, covalent_radius, zval"),
-    "inverse_transform": f"SELECT p_partkey, {r6('greatest(pow(10.0, z), 20.0) AS log10', 'exp(z) - 1 AS log1p', 'greatest(z - 1.5, 0.0) AS plain')}, CASE WHEN z > 0 THEN greatest(0, least(4, 1 - floor(log10(z))::INT)) ELSE 2 END::INT AS decimals FROM (SELECT p_partkey, p_retailprice / 1000.0 AS z FROM part)",
+    "inverse_transform": f"SELECT p_partkey, {r6('greatest(pow(10.0, z), 20.0) AS log10', 'exp(z) - 1 AS log1p', 'greatest(z - 1.5, 0.0) AS plain')}, CASE WHEN z > 0 THEN greatest(0, 1 - floor(log10(z))::INT) ELSE 3 END::INT AS decimals FROM (SELECT p_partkey, p_retailprice / 1000.0 AS z FROM part)",
 }
 RANKED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 _RANKS = "rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in RANKED) + " FROM lineitem)"
@@ -316,3 +316,29 @@ ORACLES |= {
     "compare_rows": f"WITH {_compared('R', 'p.vox / 512.0')} SELECT name, a, b, {r6('d AS difference')}, note, transfer FROM cm",
     "compare_summary": f"WITH {_compared('A', '0.9')} SELECT {r6('median(d) FILTER (NOT isnan(d)) AS median')}, count(*) FILTER ((NOT isnan(d) AND d <= 0.01) OR note = 'zero in both') AS close, count(*) FILTER (NOT isnan(d) AND d > 0.05) AS far, count(*) AS n FROM cm",
 }
+
+_PLANES = " UNION ALL ".join(
+    f"""SELECT atom, element, {a} AS axis, unnest(CASE WHEN {u} < 0.02 THEN [{u}, {u} + 1.0] ELSE [{u}] END)::DOUBLE AS u, {v} AS v0 FROM atom WHERE abs({w} - 0.25 - round({w} - 0.25)) * {num(CELL.heights[a])} <= 1.2"""
+    for a, (w, u, v) in enumerate((("fx", "fy", "fz"), ("fy", "fx", "fz"), ("fz", "fx", "fy")))
+)
+_FORMULA = lambda by: f"string_agg(element || CASE WHEN n // {by} > 1 THEN (n // {by})::VARCHAR ELSE '' END, '' ORDER BY f)"
+ORACLES |= {
+    "synthetic_density": f"""WITH {INDEX}, {POINTS}, {ATOM}, {images("im", 6.0)}, sy AS (SELECT vox, {DIST} AS r, atom + 6 AS e, 1.5 + 0.25 * atom AS x1 FROM pts CROSS JOIN im)
+        SELECT vox, {r6(f"sum(e * pow(x1 / {num(math.pi)}, 1.5) * exp(-x1 * r * r)) AS rho")} FROM sy WHERE r <= 6.0 GROUP BY vox""",
+    "cell_summary": f"""WITH {ATOM}, c AS (SELECT element, count(*) AS n, min(atom) AS f FROM atom GROUP BY element), d AS (SELECT max(k) AS d FROM range(1, 5) t(k) WHERE (SELECT bool_and(n % k = 0) FROM c))
+        SELECT {_FORMULA("1")} AS formula, {_FORMULA("(SELECT d FROM d)")} AS reduced, sum(n)::BIGINT AS n_atoms, {", ".join(f"round({num(v)}, 6) + 0.0 AS {n}" for n, v in zip(("a", "b", "c", "alpha", "beta", "gamma", "volume"), (*CELL.lengths, *CELL.angles, CELL.volume)))} FROM c""",
+    "atoms_near_plane": f"WITH {ATOM}, p AS ({_PLANES}), q AS (SELECT atom, element, axis, u, unnest(CASE WHEN v0 < 0.02 THEN [v0, v0 + 1.0] ELSE [v0] END)::DOUBLE AS v FROM p) SELECT atom, element, {r6('u', 'v')}, axis FROM q",
+    "chunk_sizes": f"WITH p AS (SELECT p_partkey, p_size / (p_retailprice / 10.0) * {num(4 / 3 * math.pi * 64)} AS e FROM part) SELECT p_partkey, {r6('e AS pairs_per_point')}, greatest(64, floor(16384 / greatest(1.0, e)))::INT AS chunk FROM p",
+    "compare_properties": f"""WITH p AS (SELECT (['band_gap', 'is_metal', 'is_gap_direct', 'refractive_index'])[p_partkey % 4 + 1] AS name, p_size / 50.0::DOUBLE AS a, (p_size * 7 % 50) / 50.0::DOUBLE AS b FROM part),
+        q AS (SELECT *, name LIKE 'is%' AS c, name = 'refractive_index' AND a >= 0.5 AS na, name = 'refractive_index' AND b >= 0.5 AS nb FROM p),
+        r AS (SELECT name, CASE WHEN NOT c AND NOT na AND NOT nb THEN b - a END AS d, CASE WHEN c THEN (a >= 0.5) = (b >= 0.5) WHEN NOT na AND NOT nb THEN abs(b - a) <= 0.2 ELSE na = nb END AS g FROM q)
+        SELECT name, count(*) FILTER (g) AS agreeing, count(*) AS n, count(d) AS compared, round(sum(d), 6) + 0.0 AS total FROM r GROUP BY name""",
+    "value_texts": """WITH p AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS v, p_partkey % 2 = 0 AS c FROM part)
+        SELECT p_partkey, CASE WHEN c THEN (CASE WHEN v >= 0.5 THEN 'Yes' ELSE 'No' END) || ' (' || CASE WHEN 100 * greatest(v, 1 - v) > 99 THEN '> 99' ELSE printf('%.0f', 100 * greatest(v, 1 - v)) END || ' %)' ELSE printf('%.3f', v) END AS text, (NOT c AND v < 0.5)::INT AS weak FROM p""",
+    "document_flatten": "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events",
+    "one_to_one_join": "SELECT n_nationkey, n_name, suppliers FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey",
+    "set_operations": """WITH e AS (SELECT l_partkey AS key FROM lineitem WHERE l_quantity < 5), l AS (SELECT l_partkey AS key FROM lineitem WHERE l_quantity > 45),
+        s AS (SELECT 'union' AS "set", key FROM (SELECT key FROM e UNION SELECT key FROM l) UNION ALL SELECT 'both', key FROM (SELECT key FROM e INTERSECT SELECT key FROM l) UNION ALL SELECT 'surplus', key FROM (SELECT DISTINCT key FROM (SELECT key FROM e EXCEPT ALL SELECT key FROM l)) UNION ALL SELECT 'only', key FROM (SELECT key FROM e EXCEPT SELECT key FROM l))
+        SELECT "set", count(*) AS n, sum(key)::BIGINT AS total FROM s GROUP BY 1""",
+    "bundle_scoring": f"WITH {_FEATURES} SELECT vec_id, round(greatest(pow(10.0, CASE WHEN x0 <= 0 THEN 0.5 WHEN x1 <= 0.1 THEN 1 ELSE 2 END), 4.0), 6) + 0.0 AS y FROM fe",
+}

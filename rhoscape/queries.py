@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from rhoscape.constants import MAP_RHO, MAP_S, VALUE_BINS
 from rhoscape.functions.chemistry import chemical_system, elements_of, has_f_element, parent_directory, reduced_counts, species
 from rhoscape.functions.linear import eigenvalues, erf
-from rhoscape.operators import compare, geometry, grid, metrics, models, profiles, reduce, spectral, stencil, tabular, topology
+from rhoscape.operators import compare, geometry, grid, metrics, models, profiles, properties, reduce, spectral, stencil, tabular, topology
 from rhoscape.operators.grid import CELL, SCALE, SIZE
+from rhoscape.sources import bundles, runs, synthetic
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -597,6 +598,84 @@ def predict_density(spark, sf_dir):
     return rounded(reduce.renormalised(raw, electrons).select("vox", "rho"))
 
 
+def synthetic_density(spark, sf_dir):
+    """Gaussian superposition over the atoms' images."""
+    sites = atoms(spark, sf_dir).select("*", (F.col("atom") + 6).cast("double").alias("electrons"), (1.5 + 0.25 * F.col("atom")).alias("exponent"))
+    return rounded(synthetic.superpose(positions(spark), sites))
+
+
+def cell_summary(spark, sf_dir):
+    return rounded(properties.cell_summary(atoms(spark, sf_dir)))
+
+
+def atoms_near_plane(spark, sf_dir):
+    every = None
+    for axis in range(3):
+        part = properties.atoms_near_plane(atoms(spark, sf_dir), axis, 0.25, 1.2).withColumn("axis", F.lit(axis))
+        every = part if every is None else every.unionByName(part)
+    return rounded(every)
+
+
+def chunk_sizes(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("n_atoms"), (F.col("p_retailprice") / 10.0).alias("volume"))
+    return rounded(properties.chunk_sizes(rows).select("p_partkey", "pairs_per_point", "chunk"))
+
+
+def compare_properties(spark, sf_dir):
+    names = F.array(*map(F.lit, ("band_gap", "is_metal", "is_gap_direct", "refractive_index")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 4 + 1).cast("int")).alias("name"), (F.col("p_size") / 50.0).alias("a"), (F.pmod(F.col("p_size") * 7, F.lit(50)) / 50.0).alias("b"))
+    full_ = rows.select(F.concat_ws("|", "name", "p_partkey").alias("key"), "name", F.when(F.col("name").startswith("is_"), "classification").otherwise("regression").alias("task"), F.lit(0.2).alias("error"), "a", "b", F.col("a").alias("metal_a"), F.col("b").alias("metal_b"))
+    return rounded(properties.compare_properties(full_).groupBy("name").agg(F.count_if("agree").alias("agreeing"), F.count("*").alias("n"), F.count("difference").alias("compared"), F.sum("difference").alias("total")))
+
+
+def value_texts(spark, sf_dir):
+    """Properties as they are shown: classes with certainty, numbers with the decimals of their error."""
+    parts = table(spark, sf_dir, "part")
+    task = F.when(F.col("p_partkey") % 2 == 0, "classification").otherwise("regression")
+    return parts.select("p_partkey", properties.value_text(task, (F.col("p_size") / F.lit(50.0)), F.lit(0.05)).alias("text"), properties.weak(task, F.col("p_size") / 50.0).cast("int").alias("weak"))
+
+
+def document_flatten(spark, sf_dir):
+    return runs.flattened(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("json")), "struct<k:bigint>")
+
+
+def one_to_one_join(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    return tabular.one_to_one(nations, suppliers, "n_nationkey")
+
+
+def set_operations(spark, sf_dir):
+    """Union, difference and intersection of the elements of two groups of atoms."""
+    keys = table(spark, sf_dir, "lineitem")
+    early, late = keys.where("l_quantity < 5").select(F.col("l_partkey").alias("key")), keys.where("l_quantity > 45").select(F.col("l_partkey").alias("key"))
+    tagged = lambda f, name: f.withColumn("set", F.lit(name))
+    every = tagged(early.union(late).distinct(), "union").unionByName(tagged(early.intersect(late), "both")).unionByName(tagged(early.exceptAll(late).distinct(), "surplus")).unionByName(tagged(early.subtract(late), "only"))
+    return every.groupBy("set").agg(F.count("*").alias("n"), F.sum("key").alias("total"))
+
+
+def sampled_extrema(spark, sf_dir):
+    peaks = topology.lower_bits(voxels(spark, sf_dir)).where((F.col("bits") == (1 << 26) - 1) | (F.col("bits") == 0))
+    return profiles.sampled(peaks, 20)
+
+
+def born_stability(spark, sf_dir):
+    """Stability of stiffness-like matrices of part sizes."""
+    n = F.col("p_size").cast("double")
+    flat = F.array(*[F.lit(40.0) + n if i == j else n * (1.0 + (i + j) % 3) / F.lit(3.0) for i in range(6) for j in range(6)])
+    return table(spark, sf_dir, "part").select("p_partkey", tabular.born_stable(flat).alias("stable"))
+
+
+def bundle_scoring(spark, sf_dir):
+    """A model bundle of one small tree model over embedding features."""
+    import json
+
+    frame, names = _features(spark, sf_dir)
+    tree = "tree\nobjective=regression\nfeature_names=" + " ".join(names) + "\n\nTree=0\nnum_leaves=3\nsplit_feature=0 1\nthreshold=0 0.1\ndecision_type=2 10\nleft_child=-1 -2\nright_child=1 -3\nleaf_value=0.5 1 2\n\nend of trees\n"
+    raw = {"name": "example", "features": names, "feature_range": {n: [-1, 1] for n in names}, "targets": {"y": {"task": "regression", "transform": "log10", "floor": 4.0, "booster": tree}}}
+    return rounded(bundles.predict(frame.select("vec_id", *names), bundles.parse_bundle(json.dumps(raw).encode())).select("vec_id", "y"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moments(spark, sf_dir)
 
@@ -612,7 +691,8 @@ QUERIES: list[Callable] = [
     etl_targets, held_out_systems, control_split, coverage, inconsistent_keys, repeated_keys, formula_parse, species_expand, run_dir_pick,
     metrics_regression, metrics_classification, spearman_matrix, redundant_pairs, most_similar, complete_linkage, bootstrap_interval, seed_summary, best_by, importance_shares,
     feature_range, outside_range, tolerant_match, compare_rows, compare_summary, inverse_transform, json_rows, error_function, catalogue, element_table,
-    featurize_packed, featurize_spectral, featurize_relational, sweep_packed, grid_convergence, density_round_trip, score_linear, score_boosted, predict_density,
+    featurize_packed, featurize_spectral, featurize_relational, sweep_packed, grid_convergence, density_round_trip, synthetic_density, cell_summary, atoms_near_plane, chunk_sizes, compare_properties, value_texts, document_flatten,
+    one_to_one_join, set_operations, sampled_extrema, born_stability, bundle_scoring, score_linear, score_boosted, predict_density,
 ]
 
 
