@@ -16,17 +16,17 @@ DIGITS = 13
 BUCKET_DIGITS = 2
 
 
-def score(key: Column, shard: int, weight: float) -> Column:
+def score(key: Column, shard: Column, weight: Column) -> Column:
     """-ln(u) / weight of a key for a shard, u uniform in (0, 1]; the least score wins."""
-    digest = F.md5(F.concat(key, F.lit(f":{shard}")).cast("binary"))
+    digest = F.md5(F.concat(key, F.lit(":"), shard.cast("string")).cast("binary"))
     draw = (F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("bigint") + 1) / F.lit(float(16**DIGITS))
-    return -F.ln(draw) / F.lit(float(weight))
+    return -F.ln(draw) / weight
 
 
 def winner(key: Column, weights: dict[int, float]) -> Column:
-    """Struct of the least score and its shard."""
-    entries = [F.struct(score(key, s, w).alias("score"), F.lit(s).alias("shard")) for s, w in sorted(weights.items()) if w > 0]
-    return F.least(*entries) if len(entries) > 1 else entries[0]
+    """Struct of the least score and its shard, over an array of shards: code of one size for any number of them."""
+    shards = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(float(w)).alias("weight")) for s, w in sorted(weights.items()) if w > 0])
+    return F.array_min(F.transform(shards, lambda s: F.struct(score(key, s.shard, s.weight).alias("score"), s.shard.alias("shard"))))
 
 
 def shard_documents(docs: DataFrame, weights: dict[int, float], grown: dict[int, float], digits: int = BUCKET_DIGITS) -> DataFrame:
