@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.constants import BOHR, DENSITY_TO_AU, GRADIENT_TO_AU, NCI_RHO_MAX_AU, NCI_S_MAX, RHO_FLOOR_AU, S_PREFACTOR, UNIFORM_TOL
+from rhoscape.constants import DENSITY_TO_AU, GRADIENT_TO_AU, NCI_RHO_MAX_AU, NCI_S_MAX, RHO_FLOOR_AU, S_PREFACTOR, UNIFORM_TOL
 from rhoscape.functions.linear import eigenvalues
 from rhoscape.operators.grid import CELL, SCALE
 

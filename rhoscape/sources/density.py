@@ -14,10 +14,10 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from rhoscape.kernels.lattice import Cell
+from rhoscape.sources.runs import first_by_rank
 
 #: A packed structure: grids are C-order little-endian float64.
 PACKED = "path string, lattice array<double>, species array<string>, frac array<double>, shape array<int>, grid binary, error string"
@@ -137,10 +137,7 @@ def density_files(spark: SparkSession, path: str, pattern: str = "CHG*", one_per
     """path and content of density files below a folder; of a run directory's plain and packed files optionally the first of plain, gz, bz2, xz."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content", "length")
     if one_per_directory:
-        names = files.select("path")
-        rank = F.element_at(F.create_map(*[F.lit(v) for k, e in enumerate(("CHGCAR", "CHGCAR.gz", "CHGCAR.bz2", "CHGCAR.xz")) for v in (e, k)]), F.element_at(F.split("path", "/"), -1))
-        window = Window.partitionBy(F.regexp_replace("path", "/[^/]*$", "")).orderBy("rank")
-        chosen = names.withColumn("rank", rank).where("rank IS NOT NULL").withColumn("row", F.row_number().over(window)).where("row = 1").select("path")
+        chosen = first_by_rank(files.select("path"), ["CHGCAR", "CHGCAR.gz", "CHGCAR.bz2", "CHGCAR.xz"])
         files = files.join(chosen, "path")
     return files
 
