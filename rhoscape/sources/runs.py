@@ -80,3 +80,8 @@ def parse_cif(text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
         places = [[number(r[names.index(f"_atom_site_fract_{c}")]) for c in "xyz"] for r in body]
         return lattice, [re.match(r"[A-Z][a-z]?", r[label])[0] for r in body], np.array(places)
     raise ValueError("no atom sites")
+
+
+def dimension_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small CSV table with a header and lines of comments."""
+    return spark.read.schema(schema).option("header", True).option("comment", "#").csv(path)
