@@ -41,11 +41,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table made by materialise() that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """Tables in shared storage that are deleted when a computation's result no longer needs them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = shared_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def crc_mod(column: str, modulus: int):
@@ -53,6 +68,17 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
+#: How to empty the caches that modules keep in a Python worker.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str) -> None:
+    """Empty the caches of all modules but one; workers live through many stages, their memory is shared by few."""
+    for module, clear in CACHES.items():
+        if module != owner:
+            clear()
+
+
 #: Rows of an Arrow batch; texts and sets of some kilobytes each make batches of some megabytes on either side.
 BATCH_ROWS = 256
 
@@ -69,6 +95,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(make.__module__)
         step = make()
         for batch in batches:
             out = step(batch)

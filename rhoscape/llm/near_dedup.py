@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import U64, cuts, map_batches, materialise, mix, raw, shingles, word_hashes
+from rhoscape.llm.common import U64, Scratch, cuts, map_batches, materialise, mix, raw, shingles, word_hashes
 
 WORDS, COORDINATES, MISS = 5, 64, 1e-7
 SLOTS = 1 << 16
@@ -239,24 +239,26 @@ def components(edges: DataFrame) -> DataFrame:
     An edge (a, b) becomes the edge of the least neighbours of a and b, itself included; what is left after a round
     are fewer ids. Rounds are cut by tables in shared storage.
     """
+    spark = edges.sparkSession
     edges = edges.where(F.col("a") != F.col("b"))
     steps: list[DataFrame] = []
-    edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "least")
-        steps.append(least)
-        up_a = least.select("a", F.col("up").alias("x"))
-        up_b = least.select(F.col("a").alias("b"), F.col("up").alias("y"))
-        moved = edges.join(up_a, "a").join(up_b, "b").where(F.col("x") != F.col("y"))
-        edges = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
-    if not steps:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    labels = steps[0].select(F.col("a").alias("id"), F.col("up").alias("label"))
-    for step in steps[1:]:
-        up = step.select(F.col("a").alias("label"), "up")
-        labels = labels.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label"))
-    return materialise(labels, "labels")
+    with Scratch(spark) as scratch:
+        edges = scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        while not edges.isEmpty():
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = scratch.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "least")
+            steps.append(least)
+            up_a = least.select("a", F.col("up").alias("x"))
+            up_b = least.select(F.col("a").alias("b"), F.col("up").alias("y"))
+            moved = edges.join(up_a, "a").join(up_b, "b").where(F.col("x") != F.col("y"))
+            edges = scratch.keep(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        if not steps:
+            return spark.createDataFrame([], "id bigint, label bigint")
+        labels = steps[0].select(F.col("a").alias("id"), F.col("up").alias("label"))
+        for step in steps[1:]:
+            up = step.select(F.col("a").alias("label"), "up")
+            labels = labels.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label"))
+        return materialise(labels, "labels")
 
 
 def _short(column: str = "signature") -> list:
@@ -281,7 +283,7 @@ def _equal_bytes(left: str, right: str):
     return total
 
 
-def rest(stars: DataFrame, confirmed: DataFrame, labels: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+def rest(scratch: Scratch, stars: DataFrame, confirmed: DataFrame, labels: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
     """Pairs around a common hub that may still be similar though no link joins them yet."""
     spread = (100 - percent) / (100 + percent)
     labelled = (
@@ -306,7 +308,7 @@ def rest(stars: DataFrame, confirmed: DataFrame, labels: DataFrame, sets: DataFr
         .join(sets.select("id", "k", "n", *_short()), ["id", "k"])
         .withColumn("active", F.col("own") != F.col("hubs"))
     )
-    members = materialise(members, "members")
+    members = scratch.keep(members, "members")
     l, r = members.where("active").alias("l"), members.alias("r")
     col = lambda side, name: F.col(f"{side}.{name}")
     apart = col("l", "apart") + col("r", "apart") - 2 * (F.least(col("l", "shareable"), col("r", "shareable")) + F.least(col("l", "lacking"), col("r", "lacking")))
@@ -325,27 +327,32 @@ def rest(stars: DataFrame, confirmed: DataFrame, labels: DataFrame, sets: DataFr
 def link(docs: DataFrame, percent: int = 85, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """The prepared rows of docs and the labels of the linked ids (class representatives)."""
     prepared = materialise(prepare(docs, size), "prepared")
+    with Scratch(docs.sparkSession) as scratch:
+        return prepared, _labels(scratch, docs, prepared, percent, size)
+
+
+def _labels(scratch: Scratch, docs: DataFrame, prepared: DataFrame, percent: int, size: int) -> DataFrame:
     classes = prepared.where("n > 0").groupBy("k", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("signature").alias("signature"))
-    classes = materialise(classes, "classes")
+    classes = scratch.keep(classes, "classes")
     least = threshold(percent / 100)
     posted = post(classes, entry_sketch(classes), COORDINATES - least + 1)
     hubs = posted.groupBy("entry").agg(F.count("*").alias("size"), F.max_by("id", "rank").alias("hub"), F.max_by("k", "rank").alias("hub_k")).where("size > 1").drop("size")
-    hubs = materialise(hubs, "hubs")  # so that the join shuffles both sides and splits a hot entry's rows
+    hubs = scratch.keep(hubs, "hubs")  # so that the join shuffles both sides and splits a hot entry's rows
     stars = posted.join(hubs, "entry").where((F.col("id") != F.col("hub")) | (F.col("k") != F.col("hub_k"))).groupBy("id", "k", "hub", "hub_k").agg(F.count("*").alias("shared"))
-    stars = materialise(stars, "stars")
-    close = materialise(collide(stars, classes, least, percent), "close")
+    stars = scratch.keep(stars, "stars")
+    close = scratch.keep(collide(stars, classes, least, percent), "close")
     need = close.select("id").union(close.select(F.col("hub").alias("id")))
-    first = materialise(confirm(close, full_sets(docs, need, size), percent), "confirmed")
+    first = scratch.keep(confirm(close, full_sets(docs, need, size), percent), "confirmed")
     links = first.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     labels = components(links)
-    more = materialise(rest(stars, first, labels, classes, least, percent), "rest")
+    more = scratch.keep(rest(scratch, stars, first, labels, classes, least, percent), "rest")
     if not more.isEmpty():
         need = more.select("id").union(more.select(F.col("hub").alias("id")))
         second = confirm(more, full_sets(docs, need, size), percent).where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        second = materialise(second, "second")
+        second = scratch.keep(second, "second")
         if not second.isEmpty():
             labels = components(links.unionByName(second))
-    return prepared, labels
+    return labels
 
 
 def deduplicate(docs: DataFrame, percent: int = 85, size: int = WORDS) -> DataFrame:
