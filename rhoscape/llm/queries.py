@@ -11,17 +11,16 @@ from rhoscape.llm import decontamination, fingerprint, language_id, near_dedup,
 from rhoscape.llm.common import table
 
 SHARDS = 40
-#: Where the vocabulary files of public tokenizers are; another folder can be named in RHOSCAPE_TOKENIZERS.
-TOKENIZERS = os.environ.get("RHOSCAPE_TOKENIZERS", "/opt/tokenizers")
+#: Folder of the vocabulary files of public tokenizers, where the package that locates them isn't to be asked.
+TOKENIZERS = os.environ.get("RHOSCAPE_TOKENIZERS")
 
 
 def tokenizer(name: str) -> str:
-    try:
-        import public_tokenizers
-
-        return public_tokenizers.path(name)
-    except ImportError:
+    if TOKENIZERS:
         return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
