@@ -19,14 +19,14 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rhoscape.llm.common import Generations, map_batches, texts
+from rhoscape.llm.common import CACHES, Generations, map_batches, texts
 
 MARK = "▁"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Entries of a cache generation, of which there are two.
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 250_000
 CACHED_CHARS = 48
-PAIRS = 1_500_000
+PAIRS = 600_000
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -98,8 +98,8 @@ class PieceModel:
         self.rank = {i: r for r, i in enumerate(sorted(self.ids.values(), key=lambda i: (-scores[i], i)))}
         # No piece may cross a cut.
         self.cuttable = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.ids)
-        self.split: dict[int, tuple[int, int]] = {}
-        self.own: dict[int, bool] = {}
+        # Punctuation that no piece has after a letter; what ends in it is cut there.
+        self.enders = {c for c in ".,!?;:" if not any(p[k - 1].isalpha() for p in self.ids for k in range(1, len(p)) if p[k] == c)}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             parts = self._merge(list(piece))
@@ -233,6 +233,9 @@ def load(path: str) -> tuple[PieceModel, Generations]:
     return _models[path]
 
 
+CACHES[__name__] = _models.clear
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """Rows of doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of docs.
 
@@ -243,13 +246,21 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def make():
         model, cache = load(path)
-        names = model.names
+        names, enders = model.names, model.enders
+
+        def shown(ids: list[int]) -> tuple[str, int, str]:
+            return ",".join([names[i] for i in ids]), len(ids), model.decode_part(ids)
+
+        ends = {c: shown(model.encode_part(c)) for c in enders}
 
         def entry(name: str) -> tuple[str, int, str]:
             made = cache.find(name)
             if made is None:
-                ids = model.encode_part(model.part(name))
-                made = (",".join([names[i] for i in ids]), len(ids), model.decode_part(ids))
+                if name[-1] in enders and name[-2:-1].isalpha():
+                    word, end = entry(name[:-1]), ends[name[-1]]
+                    made = (f"{word[0]},{end[0]}", word[1] + end[1], word[2] + end[2])
+                else:
+                    made = shown(model.encode_part(model.part(name)))
                 if len(name) <= CACHED_CHARS:
                     cache.put(name, made)
             return made
@@ -258,10 +269,10 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             counts, encoded, decoded = [], [], []
             for text in texts(batch):
                 get = cache.new.get
-                ids, sizes, shown = zip(*[get(p) or entry(p) for p in model.cut(text)]) if text else ((), (), ())
+                ids, sizes, parts = zip(*[get(p) or entry(p) for p in model.cut(text)]) if text else ((), (), ())
                 counts.append(sum(sizes))
                 encoded.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                back = "".join(shown)
+                back = "".join(parts)
                 decoded.append(hashlib.sha256((back[1:] if back.startswith(" ") else back).encode()).hexdigest())
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
