@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import U64, bound_batches, cuts, map_batches, materialise, raw, shingles, word_hashes
+from rhoscape.llm.common import CACHES, U64, bound_batches, claim, cuts, map_batches, materialise, raw, shingles, word_hashes
 
 WORDS, PERCENT, MISS = 5, 80, 1e-6
 #: Bins are at least twice the shingles of any document of a partition.
@@ -167,6 +167,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS):
 
 
 _made: dict = {}
+CACHES[__name__] = _made.clear
 
 
 def _block(shared) -> Block:
@@ -258,6 +259,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, percent
 def _clean(shared: _Shared):
     @F.arrow_udf("boolean")
     def clean(values: pa.Array) -> pa.Array:
+        claim(__name__)
         block = _block(shared)
         out = np.ones(len(values), bool)
         for row, hashed in _rows(values):

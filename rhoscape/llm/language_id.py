@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import Generations, bound_batches, crc_mod, map_batches
+from rhoscape.llm.common import CACHES, Generations, bound_batches, claim, crc_mod, map_batches
 
 UNDETERMINED = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
@@ -27,7 +27,7 @@ SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS, ALL_CHARS = 64, 2_000, 20_000, 320_000
 #: Labels beyond the most frequent ones are not learned.
 LANGUAGES = 64
 #: Entries of a cache generation, of which there are two, and the longest stretch that is kept.
-CACHE_ENTRIES, CACHED_CHARS = 150_000, 48
+CACHE_ENTRIES, CACHED_CHARS = 60_000, 48
 #: Bits of a packed count.
 LANE = 40
 
@@ -221,8 +221,23 @@ def fit(docs: DataFrame, fold: int = 4, held_out: int = 2, rows: int = SAMPLE_RO
     return CrossParser({k: v for k, v in samples.items() if v})
 
 
+_live: dict = {}
+
+
+def _clear() -> None:
+    for parser in _live.values():
+        parser._made.clear()
+    _live.clear()
+
+
+CACHES[__name__] = _clear
+
+
 def _worker_model(shared) -> CrossParser:
-    return shared.value
+    """The broadcast parser, known to the worker as one that holds a cache."""
+    parser = shared.value
+    _live[id(parser)] = parser
+    return parser
 
 
 def identify(docs: DataFrame, model: CrossParser, fold: int = 4, held_out: int = 2) -> DataFrame:
@@ -261,6 +276,7 @@ def keep_identified(docs: DataFrame, model: CrossParser) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def has_language(values: pa.Array) -> pa.Array:
+        claim(__name__)
         parser = _worker_model(shared)
         return pa.array([found != UNDETERMINED for found, _ in parser.classify(values.to_pylist())], pa.bool_())
 

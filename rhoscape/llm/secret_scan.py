@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import bound_batches, map_batches, raw
+from rhoscape.llm.common import bound_batches, claim, map_batches, raw
 
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, n_confirmed bigint, spans string"
 #: Kinds in the order in which spans with one start are listed.
@@ -280,6 +280,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def cleaned(values: pa.Array) -> pa.Array:
+        claim(__name__)
         batch = pa.RecordBatch.from_arrays([values], ["text"])
         rows = suspects(*raw(batch)).tolist()
         if not rows:
