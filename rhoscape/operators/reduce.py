@@ -111,21 +111,25 @@ def site_values(voxels: DataFrame) -> DataFrame:
     return near.join(spheres, ["structure_id", "atom"], "left")
 
 
-def site_statistics(sites: DataFrame, value: str) -> DataFrame:
-    """Population spread of a per-site value, and its parts within and between elements (two levels of groupBy)."""
-    by_element = sites.groupBy("structure_id", "element").agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.max(value).alias("top"), F.min(value).alias("low"), F.sum(F.col(value) ** 2).alias("q"))
+def site_statistics(sites: DataFrame, values: list[str]) -> DataFrame:
+    """Population spread of per-site values and its parts within and between elements, all values in one pass.
+
+    Two levels of groupBy over (structure, value, element); columns are named value_statistic.
+    """
+    long = sites.unpivot(["structure_id", "element"], [F.col(v).cast("double").alias(v) for v in values], "base", "x")
+    by_element = long.groupBy("structure_id", "base", "element").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.max("x").alias("top"), F.min("x").alias("low"), F.sum(F.col("x") ** 2).alias("q"))
     total = F.sum("n")
     mean = F.sum("s") / total
-    between = F.sum(F.col("n") * F.col("m") ** 2) / total - mean**2
-    within = F.sum(F.col("n") * F.col("v")) / total
-    return by_element.groupBy("structure_id").agg(
-        F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / total - mean**2)).alias(f"{value}_site_std"),
-        (F.max("top") - F.min("low")).alias(f"{value}_site_range"),
-        F.max("top").alias(f"{value}_site_max"),
-        F.min("low").alias(f"{value}_site_min"),
-        F.when(F.max("n") < 2, 0.0).otherwise(within).alias(f"{value}_within_element_var"),
-        F.when(F.count("*") == 1, 0.0).otherwise(F.greatest(F.lit(0.0), between)).alias(f"{value}_between_element_var"),
-    )
+    statistics = {
+        "site_std": F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / total - mean**2)),
+        "site_range": F.max("top") - F.min("low"),
+        "site_max": F.max("top"),
+        "site_min": F.min("low"),
+        "within_element_var": F.when(F.max("n") < 2, 0.0).otherwise(F.sum(F.col("n") * F.col("v")) / total),
+        "between_element_var": F.when(F.count("*") == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.sum(F.col("n") * F.col("m") ** 2) / total - mean**2)),
+    }
+    each = by_element.groupBy("structure_id", "base").agg(*(c.alias(n) for n, c in statistics.items()))
+    return each.groupBy("structure_id").pivot("base", values).agg(*(F.first(n).alias(n) for n in statistics))
 
 
 def sensitivity_sweep(voxels: DataFrame, factors: list[tuple[float, float]]) -> DataFrame:

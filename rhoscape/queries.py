@@ -219,19 +219,14 @@ def site_values(spark, sf_dir):
 
 
 def site_statistics(spark, sf_dir):
-    sites = reduce.site_values(full(spark, sf_dir))
-    out = None
-    for value in ("m1", "f_bond", "zeta"):
-        part = reduce.site_statistics(sites, value)
-        out = part if out is None else out.join(part, "structure_id")
-    return rounded(out)
+    return rounded(reduce.site_statistics(reduce.site_values(full(spark, sf_dir)), ["m1", "f_bond", "zeta"]))
 
 
 def anova_parts(spark, sf_dir):
     """Within and between variance of line prices: parts as sites of their brand."""
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     sites = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("x")).join(parts.select("p_partkey", F.col("p_brand").alias("element")), "p_partkey").withColumn("structure_id", F.lit("all"))
-    return rounded(reduce.site_statistics(sites, "x").select("x_site_std", "x_site_range", "x_within_element_var", "x_between_element_var"))
+    return rounded(reduce.site_statistics(sites, ["x"]).select("x_site_std", "x_site_range", "x_within_element_var", "x_between_element_var"))
 
 
 def sensitivity_sweep(spark, sf_dir):
