@@ -148,9 +148,11 @@ class Block:
 
 def _least_matches(shared: int, keep: float) -> int:
     """The most matches that shared shingles, each kept with a chance, fall short of with a chance of at most MISS."""
+    whole, kept, lost = math.lgamma(shared + 1), math.log(keep), math.log1p(-keep)
     tail = 0.0
-    for m in range(shared + 1):
-        tail += math.comb(shared, m) * keep**m * (1 - keep) ** (shared - m)
+    # Fewer matches than the first have a chance of at most exp(-70) together, by Hoeffding's bound.
+    for m in range(max(0, math.floor(shared * keep - math.sqrt(35.0 * shared))), shared + 1):
+        tail += math.exp(whole - math.lgamma(m + 1) - math.lgamma(shared - m + 1) + m * kept + (shared - m) * lost)
         if tail > MISS:
             return m
     return shared
