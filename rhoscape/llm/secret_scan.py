@@ -32,16 +32,16 @@ PLACEHOLDER = "[SECRET]"
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Fa-f])")
-LONG_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:(?:\r?\n|\\n)(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
+LONG_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:(?:\r?\n|(?:\\+r)?\\+n)(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
+SIGNED = re.compile(r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nr]))eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(b"0123456789abcdef")] |= 1
 _CLASS[list(b"0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/_-")] |= 2
 
 
-_FILLER = re.compile(r"\\n|\s|=")
+_FILLER = re.compile(r"\\+[nr]|\s|=")
 _URL_SAFE = str.maketrans("-_", "+/")
 
 
@@ -187,9 +187,13 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
     for m in LONG_BASE64.finditer(text):
+        start = m.start()
         found = encoded_key(m.group())
+        if not found and text[start] in "nr" and text[start - 1 : start] == "\\":  # the letter of an escaped line end
+            start += 1
+            found = encoded_key(text[start : m.end()])
         if found:
-            spans.append((found[0], m.start(), m.start() + found[1]))
+            spans.append((found[0], start, start + found[1]))
     spans += [("derhex", m.start(), m.end()) for m in LONG_HEX.finditer(text) if not (m.end() - m.start()) % 2 and is_der_key(bytes.fromhex(m.group()))]
     spans += [("jwt", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_token(m.group())]
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import random
 
-from rhoscape.llm import decontamination
-from tests.llm.test_operators import prose, table
+from rhoscape.llm import decontamination, secret_scan
+from tests.llm.test_operators import keys, prose, table
 
 
 def test_least_matches_is_the_exact_quantile():
@@ -34,3 +36,32 @@ def test_decontamination_of_long_items(spark):
     assert set(found) == {(1, 10), (2, 10), (5, 11)}
     assert found[1, 10] == (n, n) and found[2, 10] == (part, n)
     assert sorted(r.doc_id for r in decontamination.drop_leaks(table(spark, docs), items).collect()) == [3, 4]
+
+
+def test_secrets_behind_escaped_line_ends(spark):
+    rsa, wrapped, ssh = keys()
+    bodies, rows = [], []
+    for kind, data in (("der", rsa), ("der", wrapped), ("openssh", ssh)):
+        b64 = base64.b64encode(data).decode()
+        for end in ("\n", "\r\n"):
+            for width in (64, len(b64)):
+                body = end.join(b64[i : i + width] for i in range(0, len(b64), width))
+                text = f"-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----{end}"
+                for level in range(3):  # as it is, in JSON, in JSON within JSON
+                    bodies.append((kind, body))
+                    rows.append((len(rows), f'{{"k": "{text}"}} tail'))
+                    body, text = json.dumps(body)[1:-1], json.dumps(text)[1:-1]
+    found = {r.doc_id: r for r in secret_scan.scan_documents(table(spark, rows)).collect()}
+    left = {r.doc_id: r.text for r in secret_scan.redact(table(spark, rows)).collect()}
+    for (kind, body), (doc, text) in zip(bodies, rows):
+        assert [s for s in found[doc].spans.split(",") if s.startswith(kind + ":")] == [f"{kind}:{text.index(body)}:{text.index(body) + len(body)}"]
+        assert left[doc] == text.replace(body, secret_scan.PLACEHOLDER)
+
+
+def test_keys_in_mixed_case_hex_and_tokens_behind_escaped_line_ends():
+    _, wrapped, _ = keys()
+    mixed = "".join(c.upper() if k % 3 else c for k, c in enumerate(wrapped.hex()))
+    assert ("derhex", 2, 2 + len(mixed)) in secret_scan.scan(f"k {mixed} z")
+    url = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    token = f"{url({'alg': 'HS256'})}.{url({'sub': 'a'})}.c2ln"
+    assert ("jwt", 3, 3 + len(token)) in secret_scan.scan(f"a\\n{token} z")
