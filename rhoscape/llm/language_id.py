@@ -15,19 +15,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rhoscape.llm.common import CACHES, Generations, bound_batches, claim, crc_mod, map_batches
 
 UNDETERMINED = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
-#: Bounds of the labelled sample: rows a language, characters a row, characters a language and in all.
-SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS, ALL_CHARS = 64, 2_000, 20_000, 320_000
-#: Labels beyond the most frequent ones are not learned.
-LANGUAGES = 64
+#: Bounds of the labelled sample: distinct texts a language, characters a text and characters a language.
+SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS = 64, 2_000, 20_000
+#: Bytes of all dense transition tables; beyond, tables are sparse.
+DENSE_BYTES = 128 << 20
 #: Entries of a cache generation, of which there are two, and the longest stretch that is kept.
 CACHE_ENTRIES, CACHED_CHARS = 60_000, 48
+#: Counts (words or stretches times languages) that are held at once.
+COUNTS = 3_200_000
 #: Bits of a packed count.
 LANE = 40
 
@@ -83,12 +85,25 @@ class SuffixAutomaton:
         return count + (state > 0)
 
 
+def _stepper(table, width: int):
+    """Targets of (states, letters) in a dense or a sparse table, -1 where there is none."""
+    if isinstance(table, np.ndarray):
+        return lambda state, letter: table[state, letter]
+    keys, targets = table
+
+    def go(state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * width + letter
+        at = np.searchsorted(keys, key)
+        return np.where(keys[at] == key, targets[at], np.int32(-1))
+
+    return go
+
+
 class CrossParser:
     """The languages' samples; automata and word cache are made in the process that uses them."""
 
     def __init__(self, samples: dict[str, list[str]], chars: int = LANGUAGE_CHARS) -> None:
         self.languages = list(samples)
-        chars = min(chars, ALL_CHARS // max(1, len(self.languages)))
         self.texts = [f" {' '.join(w for t in samples[k] for w in words_of(t))[:chars]} " for k in self.languages]
         self.weights = [math.log2(len(t)) for t in self.texts]
         self._made: dict = {}
@@ -97,26 +112,34 @@ class CrossParser:
         return self.__dict__ | {"_made": {}}
 
     def _tables(self):
-        """Letter numbers by code point, and a dense transition table (state, letter) for each language; -1: none."""
+        """Letter numbers by code point, and a transition table for each language.
+
+        A table is dense (state, letter; -1: none), or sorted keys state * letters + letter with their targets.
+        """
         if "tables" not in self._made:
             letters = sorted({c for t in self.texts for c in t})
             number = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)
             for k, c in enumerate(letters, start=1):
                 number[ord(c)] = k
-            tables = []
+            tables: list = []
+            small = 8 * sum(map(len, self.texts)) * (len(letters) + 1) <= DENSE_BYTES
             for text in self.texts:
                 step = SuffixAutomaton(text).step
+                if not small:
+                    edges = sorted((state * (len(letters) + 1) + int(number[ord(c)]), target) for state, to in enumerate(step) for c, target in to.items())
+                    tables.append((np.array([e[0] for e in edges] + [1 << 62]), np.array([e[1] for e in edges] + [-1], np.int32)))
+                    continue
                 dense = np.full((len(step), len(letters) + 1), -1, np.int32)
                 for state, to in enumerate(step):
                     for c, target in to.items():
                         dense[state, number[ord(c)]] = target
                 tables.append(dense)
-            self._made["tables"] = number, tables
+            self._made["tables"] = number, len(letters) + 1, tables
         return self._made["tables"]
 
     def phrases(self, words: list[str]) -> np.ndarray:
         """(languages, words) phrase counts of words, each parsed with a space at either end, all words in step."""
-        number, tables = self._tables()
+        number, width, tables = self._tables()
         sizes = np.array([len(w) + 2 for w in words])
         order = np.argsort(-sizes, kind="stable")
         codes = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), np.uint32)
@@ -126,14 +149,14 @@ class CrossParser:
         active = np.searchsorted(-sizes[order], -np.arange(1, sizes.max() + 1), "right")
         out = np.zeros((len(tables), len(words)), np.int64)
         for table, row in zip(tables, out):
-            first = table[0]
+            go = _stepper(table, width)
             state, count = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
             for place, n in enumerate(active.tolist()):
                 letter = codes[starts[:n] + place]
-                to = table[state[:n], letter]
+                to = go(state[:n], letter)
                 ended = np.flatnonzero(to < 0)
                 if len(ended):
-                    again = first[letter[ended]]
+                    again = go(np.zeros(len(ended), np.int32), letter[ended])
                     count[ended] += (state[ended] > 0).astype(np.int64) + (again < 0)
                     to[ended] = np.maximum(again, 0)
                 state[:n] = to
@@ -142,32 +165,39 @@ class CrossParser:
 
     def _learn(self, tokens: list[str]) -> dict[str, int]:
         """Packed phrase counts of all languages, and letters, of stretches without white space."""
-        words, owners = [], []
-        for k, token in enumerate(tokens):
-            word = token.lower().strip(".,;:!?")
-            if word.isalpha():
-                words.append(word), owners.append(k)
-            else:
-                for part in words_of(token):
-                    words.append(part), owners.append(k)
-        n = len(self.languages)
-        totals = np.zeros((n + 1, len(tokens)), np.int64)
-        for a in range(0, len(words), 50_000):
-            part, owner = words[a : a + 50_000], np.array(owners[a : a + 50_000])
-            for lane, values in enumerate([*self.phrases(part), np.array([len(w) for w in part])]):
-                totals[lane] += np.bincount(owner, values, len(tokens)).astype(np.int64)
-        made = {}
-        for token, values in zip(tokens, totals.T.tolist()):
-            packed = 0
-            for value in reversed(values):
-                packed = packed << LANE | value
-            made[token] = packed
+        n, made = len(self.languages), {}
+        step = max(1, COUNTS // (n + 1))
+        for at in range(0, len(tokens), step):
+            held = tokens[at : at + step]
+            words, owners = [], []
+            for k, token in enumerate(held):
+                word = token.lower().strip(".,;:!?")
+                if word.isalpha():
+                    words.append(word), owners.append(k)
+                else:
+                    for part in words_of(token):
+                        words.append(part), owners.append(k)
+            totals = np.zeros((n + 1, len(held)), np.int64)
+            stride = min(50_000, step)
+            for a in range(0, len(words), stride):
+                part, owner = words[a : a + stride], np.array(owners[a : a + stride])
+                for lane, values in enumerate([*self.phrases(part), np.array([len(w) for w in part])]):
+                    totals[lane] += np.bincount(owner, values, len(held)).astype(np.int64)
+            for token, values in zip(held, totals.T.tolist()):
+                packed = 0
+                for value in reversed(values):
+                    packed = packed << LANE | value
+                made[token] = packed
         return made
 
     def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of each text and how much fewer phrases it needs than the next one, from 0 to 1."""
-        cache = self._made.setdefault("cache", Generations(CACHE_ENTRIES))
+        n = len(self.languages)
+        cache = self._made.setdefault("cache", Generations(CACHE_ENTRIES * 64 // max(64, n)))
         split = [(t or "").split() for t in texts]
+        if len(split) > 1 and n > 64 and sum(map(len, split)) * n > COUNTS:  # counts of many languages are large
+            half = len(texts) // 2
+            return self.classify(texts[:half]) + self.classify(texts[half:])
         known = {t: cache.find(t) for t in set().union(*split)}
         fresh = [t for t, v in known.items() if v is None]
         if fresh:
@@ -176,7 +206,7 @@ class CrossParser:
             for token, value in learned.items():
                 if len(token) <= CACHED_CHARS:
                     cache.put(token, value)
-        n, mask, get = len(self.languages), (1 << LANE) - 1, known.__getitem__
+        mask, get = (1 << LANE) - 1, known.__getitem__
         out = []
         for tokens in split:
             packed = sum(map(get, tokens))
@@ -191,33 +221,25 @@ class CrossParser:
         return out
 
 
-def fit(docs: DataFrame, fold: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> CrossParser:
-    """Learn from a bounded sample of the labelled rows outside the held-out fold.
+def fit(docs: DataFrame, fold: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> CrossParser:
+    """Learn every label from a bounded sample of the labelled rows outside the held-out fold.
 
-    The most frequent labels are counted over all rows; of each, the rows with the smallest hashes of their text are
-    taken, found by a top-k of bounded size.
+    Of each label the distinct texts (by their first ROW_CHARS characters) with the smallest hashes are taken, so
+    copies count once and no label takes another's places. Texts without a letter teach nothing and are left out.
     """
-    pool = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", fold) != held_out) & (F.length("text") > 0))
-    counts = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    samples: dict[str, list[str]] = {}
-    for row in counts:
-        samples[row["lang"]] = []
+    head = F.substring("text", 1, ROW_CHARS)
+    pool = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", fold) != held_out)).select("lang", head.alias("text")).where(F.col("text").rlike("\\p{L}"))
+    counts = pool.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect()
+    samples: dict[str, list[str]] = {r["lang"]: [] for r in sorted(counts, key=lambda r: (-r["n"], r["lang"]))}
     if counts:
-        # Of each language, a share of rows that leaves about four times as many as wanted.
-        share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 4.0 * rows / r["count"]))])
+        # Of each label, a share of texts that leaves about four times as many as wanted.
+        shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * rows / max(1, r["texts"]))) for r in counts], "lang string, share double")
         draw = (F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))).alias("draw")
-        found = (
-            pool.where(F.col("lang").isin(list(samples)))
-            .select("lang", F.substring("text", 1, ROW_CHARS).alias("text"), draw, F.coalesce(share[F.col("lang")], F.lit(0.0)).alias("share"))
-            .where(F.col("draw") < F.col("share"))
-            .withColumn("order", F.col("draw") / F.col("share"))
-            .orderBy("order", "lang", "text")
-            .limit(4 * rows * len(samples))
-            .collect()
-        )
+        drawn = pool.select("lang", "text", draw).join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("share"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+        found = drawn.select("lang", "text", "draw").distinct().withColumn("place", place).where(F.col("place") <= rows).orderBy("lang", "place").collect()
         for r in found:
-            if len(samples[r["lang"]]) < rows:
-                samples[r["lang"]].append(r["text"])
+            samples[r["lang"]].append(r["text"])
     return CrossParser({k: v for k, v in samples.items() if v})
 
 

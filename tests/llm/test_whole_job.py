@@ -6,7 +6,9 @@ import base64
 import json
 import random
 
-from rhoscape.llm import decontamination, secret_scan
+import numpy as np
+
+from rhoscape.llm import decontamination, language_id, secret_scan
 from tests.llm.test_operators import keys, prose, table
 
 
@@ -65,3 +67,39 @@ def test_keys_in_mixed_case_hex_and_tokens_behind_escaped_line_ends():
     url = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
     token = f"{url({'alg': 'HS256'})}.{url({'sub': 'a'})}.c2ln"
     assert ("jwt", 3, 3 + len(token)) in secret_scan.scan(f"a\\n{token} z")
+
+
+def tongue(k: int, rng: random.Random, n: int) -> str:
+    own = random.Random(1_000 + k)
+    words = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(own.randint(4, 9))) for _ in range(120)]
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_every_label_is_learned(spark):
+    rng = random.Random(8)
+    made = [(1_000 * k + j, tongue(k, rng, 120), f"l{k:02}") for k in range(70) for j in range(24 if k < 66 else 12)]
+    # Copies of one text fill no other text's place, and texts without letters teach nothing.
+    copy = next(t for _, t, lang in made if lang == "l00")
+    made += [(200_000 + j, copy, "l00") for j in range(3_000)] + [(300_000 + j, "12 34", "l00") for j in range(500)] + [(310_000 + j, "99", "digits") for j in range(20)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs)
+    assert sorted(model.languages) == [f"l{k:02}" for k in range(70)]
+    assert model.texts[model.languages.index("l00")].count(copy) == 1
+    assert min(map(len, model.texts)) > 5_000
+    fresh = [(k, tongue(k, rng, 60)) for k in range(70)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(table(spark, fresh), model).collect()}
+    assert got == {k: f"l{k:02}" for k in range(70)}
+
+
+def test_sparse_tables_count_as_dense_ones(monkeypatch):
+    rng = random.Random(9)
+    samples = {f"l{k}": [tongue(k, rng, 300)] for k in range(5)}
+    words = [w for k in range(7) for w in tongue(k, rng, 60).split()] + ["é", "жук"]
+    dense = language_id.CrossParser(samples).phrases(words)
+    monkeypatch.setattr(language_id, "DENSE_BYTES", 0)
+    assert np.array_equal(language_id.CrossParser(samples).phrases(words), dense)
+    monkeypatch.setattr(language_id, "COUNTS", 7)
+    texts = [" ".join(words[a : a + 40]) for a in range(0, 400, 40)]
+    small = language_id.CrossParser(samples).classify(texts)
+    monkeypatch.undo()
+    assert small == language_id.CrossParser(samples).classify(texts)
