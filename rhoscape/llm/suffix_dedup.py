@@ -32,8 +32,6 @@ LENGTH, GRAM = 200, 80
 CROWD = 4_000
 #: Bytes of superstrings that are sorted at once, unless one anchor has more.
 SORT_BYTES = 1 << 20
-#: Rows are told apart by id and so many bits of a text hash.
-MARK_BITS = 26
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 _rolling = Rolling(seed=5)
@@ -62,38 +60,37 @@ def superstrings(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tu
     return least[first], _rolling.stretch(sums, first, last + length), first, last
 
 
-def _pack(first: np.ndarray, last: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """Start (31 bits), windows after the first (7 bits) and text mark in one number."""
-    return (first.astype(np.uint64) << U64(7 + MARK_BITS) | (last - first).astype(np.uint64) << U64(MARK_BITS) | mark.astype(np.uint64)).view(np.int64)
+def _pack(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Start and windows after the first (7 bits) in one number."""
+    return first << 7 | (last - first)
 
 
 def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bits = packed.view(np.uint64)
-    first = (bits >> U64(7 + MARK_BITS)).astype(np.int64)
-    return first, first + ((bits >> U64(MARK_BITS)) & U64(127)).astype(np.int64)
+    first = packed >> 7
+    return first, first + (packed & 127)
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, content, doc_id and packed place of every superstring of docs."""
+    """anchor, content, doc_id, mark and packed place of every superstring of docs."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             data, bounds = raw(batch)
-            marks = batch.column("mark").to_numpy()
             found, rows = [], []
             for i in np.flatnonzero(np.diff(bounds) >= length).tolist():
                 h, s, a, b = superstrings(data[bounds[i] : bounds[i + 1]], length, gram)
-                found.append((h, s, _pack(a, b, np.full(len(a), marks[i]))))
+                found.append((h, s, _pack(a, b)))
                 rows.append(np.full(len(a), i))
             if not found:
                 return None
             h, s, p = (np.concatenate(x) for x in zip(*found))
-            ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(np.concatenate(rows)))
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), ids, pa.array(p)], ["anchor", "content", "doc_id", "place"])
+            taken = pa.array(np.concatenate(rows))
+            ids, marks = batch.column("doc_id").cast(pa.int64()).take(taken), batch.column("mark").take(taken)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), ids, marks, pa.array(p)], ["anchor", "content", "doc_id", "mark", "place"])
 
         return step
 
-    return map_batches(docs, make, "anchor bigint, content bigint, doc_id bigint, place bigint")
+    return map_batches(docs, make, "anchor bigint, content bigint, doc_id bigint, mark bigint, place bigint")
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -241,7 +238,7 @@ def _factor_spans(pieces: DataFrame, length: int, keep_first: bool) -> DataFrame
         if out:
             yield _span_batch(out)
 
-    return pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place").mapInArrow(run, "doc_id bigint, mark bigint, a bigint, b bigint")
+    return pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "mark", "place").mapInArrow(run, "doc_id bigint, mark bigint, a bigint, b bigint")
 
 
 def _span_batch(rows: list) -> pa.RecordBatch:
@@ -276,13 +273,9 @@ def _crowd_spans(pieces: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
 
 def _whole_spans(rows: DataFrame, length: int) -> DataFrame:
-    first = F.shiftrightunsigned("place", 7 + MARK_BITS)
-    more = F.shiftrightunsigned("place", MARK_BITS).bitwiseAND(F.lit(127))
-    return rows.select("doc_id", _mark(), first.alias("a"), (first + more + length).alias("b"))
-
-
-def _mark():
-    return F.col("place").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark")
+    first = F.shiftrightunsigned("place", 7)
+    more = F.col("place").bitwiseAND(F.lit(127))
+    return rows.select("doc_id", "mark", first.alias("a"), (first + more + length).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first", crowd: int = CROWD) -> DataFrame:
@@ -296,11 +289,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     repeated = materialise(repeated.select("anchor", (F.col("low") == F.col("high")).alias("same")), "repeated")
     places = materialise(all_.join(repeated, "anchor"), "places")
     mixed = places.drop("same") if keep == "first" else places.where("NOT same").drop("same")
-    distinct = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", _mark(), "place")).alias("first"))
+    distinct = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "place")).alias("first"))
     distinct = materialise(distinct, "distinct")
     copied = mixed.join(distinct.where("copies > 1"), ["anchor", "content"])
     if keep == "first":
-        copied = copied.where(F.struct("doc_id", _mark(), "place") != F.col("first"))
+        copied = copied.where(F.struct("doc_id", "mark", "place") != F.col("first"))
     whole = [_whole_spans(copied, length)] + ([] if keep == "first" else [_whole_spans(places.where("same"), length)])
     crowds = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > crowd).alias("crowded"))
     asked = distinct.join(crowds, "anchor").select("anchor", "first.doc_id", "first.mark", "first.place", "copies", "crowded")
@@ -313,8 +306,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
 
 def _marked(docs: DataFrame) -> DataFrame:
+    """Rows are told apart by id and a text hash, the mark."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark"), text.alias("text"))
+    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -7,9 +7,11 @@ import json
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from rhoscape.llm import decontamination, language_id, secret_scan
-from tests.llm.test_operators import keys, prose, table
+from rhoscape.llm import decontamination, language_id, secret_scan, suffix_dedup
+from tests.llm.test_operators import brute_repeats, fields, key, keys, prose, table
 
 
 def test_least_matches_is_the_exact_quantile():
@@ -103,3 +105,17 @@ def test_sparse_tables_count_as_dense_ones(monkeypatch):
     small = language_id.CrossParser(samples).classify(texts)
     monkeypatch.undo()
     assert small == language_id.CrossParser(samples).classify(texts)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_rows_without_id_whose_text_hashes_are_alike(spark, keep):
+    rng = random.Random(21)
+    passage, other = prose(rng, 90), prose(rng, 40)
+    text = F.concat(F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, f" {passage}").otherwise(f" {other}"))
+    hashed = spark.range(60_000).select("id", text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit((1 << 26) - 1)).alias("low"))
+    met = hashed.where("id % 2 = 0").alias("l").join(hashed.where("id % 2 = 1").alias("r"), "low").select("l.text", "r.text").collect()
+    assert met
+    long, short = met[0]
+    rows = [(None, long), (None, short), (-1, passage), (5, prose(rng, 80))]
+    got = suffix_dedup.remove_repeats(table(spark, rows), keep=keep).collect()
+    assert key(map(fields, got)) == key(brute_repeats(rows, suffix_dedup.LENGTH, keep))
