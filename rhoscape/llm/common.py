@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,45 +23,96 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the cluster's shared folder; one is set only where none is configured (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path below the cluster's shared folder. Only a local session, which is one machine, may go without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-            found = spark.sparkContext.getCheckpointDir()
-        root = found
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, name: str):
+    """The file system and path that a name stands for."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+class Lease:
+    """Tables behind lazily evaluated results: they go when the lease ends, or with the application outside of any."""
+
+    held: list[list[str]] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+
+    def __enter__(self) -> "Lease":
+        self.held.append([])
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.held.pop():
+            system, path = _located(self.spark, name)
+            system.delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing a table to shared storage, where any executor can read it again."""
     spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    name = shared_path(spark, label)
+    df.write.parquet(name)
+    if Lease.held:
+        Lease.held[-1].append(name)
+    else:
+        system, path = _located(spark, name)
+        system.deleteOnExit(path)
+    return spark.read.parquet(name)
 
 
 class Scratch:
     """Tables in shared storage that are deleted when a computation's result no longer needs them."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
+        self.spark, self.names = spark, []
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
-        path = shared_path(self.spark, label)
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        name = shared_path(self.spark, label)
+        self.names.append(name)
+        df.write.parquet(name)
+        return self.spark.read.parquet(name)
+
+    def release(self) -> None:
+        """Delete the tables held, and let Spark delete shuffle files that no plan refers to any more.
+
+        Spark does the latter when the driver's garbage collector has found the plans unreachable, by itself every
+        half hour; a long job's shuffle files would pile up.
+        """
+        for name in self.names:
+            system, path = _located(self.spark, name)
+            system.delete(path, True)
+        self.names.clear()
+        self.spark.sparkContext._jvm.System.gc()
 
     def __enter__(self) -> "Scratch":
         return self
 
     def __exit__(self, *_) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in self.paths:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+        self.release()
+
+
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that none of df's columns has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    name, k = stem, 0
+    while name.lower() in taken:
+        name, k = f"{stem}{k}", k + 1
+    return name
+
+
+def quoted(name: str):
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def crc_mod(column: str, modulus: int):
@@ -79,15 +131,18 @@ def claim(owner: str) -> None:
             clear()
 
 
-#: Rows of an Arrow batch; texts and sets of some kilobytes each make batches of some megabytes on either side.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Hold the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, unless they are smaller already.
+
+    Spark reads both settings when a plan is executed, so they stay as they are set here.
+    """
+    for name, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= bound:
+            spark.conf.set(name, bound)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:

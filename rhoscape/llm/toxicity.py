@@ -3,7 +3,7 @@
 Texts are folded first: lower case, look-alike letters and digit substitutions mapped to plain letters, everything
 else to single spaces. Terms are whole words and word starts with their weights; an Aho-Corasick automaton finds all of
 them in one pass over the folded text. Exception phrases (word pairs around a term that occur in clean texts only)
-cancel the hits they cover. The score is a logistic function of the weight found and of its share of the text's words.
+cancel the hits they cover. The score is a logistic function of the weight found for each word of the text.
 
 Lexicon, exceptions and the logistic function are learned from a bounded sample of the labelled rows outside the held-out fold.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import crc_mod, map_batches
+from rhoscape.llm.common import Scratch, crc_mod, map_batches
 
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 #: Bounds: labelled rows used of each label, terms, exception phrases.
@@ -85,12 +85,12 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Weighted terms (" word " or " start"), exception phrases and the logistic function over (presence, density)."""
+    """Weighted terms (" word " or " start"), exception phrases and the logistic function of the density."""
 
     terms: dict[str, float] = field(default_factory=dict)
     exceptions: set[str] = field(default_factory=set)
     bias: float = -2.0
-    slopes: tuple[float, float] = (0.0, 0.0)
+    slope: float = 0.0
 
     def compile(self) -> "Matcher":
         return Matcher(self)
@@ -120,25 +120,32 @@ class Matcher:
                 found[start] = max(found.get(start, (0.0, 0)), (weight, size))
             else:
                 spared.append((start, end))
-        for start, end in spared if found else ():
-            for k in [k for k in found if start <= k < end]:
-                del found[k]
-        return found
+        if not found or not spared:
+            return found
+        left: dict[int, tuple[float, int]] = {}
+        spared.sort()
+        reach, at = -1, 0
+        for k in sorted(found):
+            while at < len(spared) and spared[at][0] <= k:
+                reach = max(reach, spared[at][1])
+                at += 1
+            if k >= reach:
+                left[k] = found[k]
+        return left
 
     def left(self, text: str | None) -> set[str]:
         """Terms that match outside exception phrases."""
         folded = fold(text or "")
         return {folded[k : k + size] for k, (_, size) in self.hits(folded).items()}
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Weight found (each word once, by its heaviest term), damped, and its share of the words."""
+    def density(self, text: str | None) -> float:
+        """Weight found (at each place its heaviest term) for a hundred words, damped; 20 words are added to each text's."""
         folded = fold(text or "")
         total = sum(sorted(weight for weight, _ in self.hits(folded).values()))
-        return math.log1p(total), math.log1p(100.0 * total / (folded.count(" ") + 20.0))
+        return math.log1p(100.0 * total / (folded.count(" ") + 20.0))
 
     def score(self, text: str | None) -> float:
-        a, b = self.features(text)
-        z = self.lexicon.bias + self.lexicon.slopes[0] * a + self.lexicon.slopes[1] * b
+        z = self.lexicon.bias + self.lexicon.slope * self.density(text)
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -151,17 +158,34 @@ def _terms_of(folded: str) -> set[str]:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, fold_count: int, held_out: int, rows: int) -> DataFrame:
-    """text and toxic of a bounded number of labelled rows of each label outside the held-out fold, by hash of the id."""
-    open_ = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", fold_count) != held_out)).select("doc_id", "toxic")
-    parts = [open_.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for t in (1, 0)]
+def open_labels(labels: DataFrame, fold_count: int, held_out: int) -> DataFrame:
+    """doc_id and toxic, one row an id (1 if any of its rows says so), of the labels outside the held-out fold."""
+    known = F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", fold_count) != held_out)
+    return labels.where(known).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def labelled(docs: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """text and toxic of a bounded number of ids of each label, by hash of the id; rows of one id give one text."""
+    parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for t in (1, 0)]
     # At most 2 x rows ids of 12 bytes.
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold_count: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS) -> Lexicon:
-    """Learn lexicon, exceptions and scale; without rows of both labels the lexicon is empty and the score constant."""
-    sample = labelled(docs, labels, fold_count, held_out, rows)
+def fit(docs: DataFrame, labels: DataFrame, fold_count: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS, most_terms: int = TERMS, most_exceptions: int = EXCEPTIONS) -> Lexicon:
+    """Learn lexicon, exceptions and scale; without rows of both labels the lexicon is empty and the score constant.
+
+    Nothing is learned from labels of the held-out fold. The sample is read from docs once and stored.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        known = scratch.keep(open_labels(labels, fold_count, held_out), "open-labels")
+        shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+        return _fit(scratch.keep(labelled(docs, known, rows), "labelled"), shares, most_terms, most_exceptions)
+
+
+def _fit(sample: DataFrame, shares: dict[int, int], most_terms: int, most_exceptions: int) -> Lexicon:
+    """The lexicon of a stored sample (text, toxic) of a corpus with so many rows of each label."""
+    context = sample.sparkSession.sparkContext
 
     def count_terms():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -175,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold_count: int = 5, held_out: int =
         return step
 
     counted = map_batches(sample, count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sums = counted.where(F.col("toxic") >= LEAST_TOXIC).orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1.0)), F.desc("toxic"), "term").limit(4 * TERMS).collect()
+    sums = counted.where(F.col("toxic") >= LEAST_TOXIC).orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1.0)), F.desc("toxic"), "term").limit(4 * most_terms).collect()
     total = next((r for r in sums if r["term"] == "\0rows"), None)
     if total is None or not total["clean"]:
         found = counted.where(F.col("term") == "\0rows").first()
@@ -195,8 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold_count: int = 5, held_out: int =
         bare = term.strip()
         if any(terms.get(f" {bare[:n]}", 0.0) >= terms[term] - 0.7 for n in range(min(STARTS), len(bare) + (term[-1] == " "))):
             del terms[term]
-    terms = dict(sorted(terms.items(), key=lambda kv: (-kv[1], kv[0]))[:TERMS])
-    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(terms))
+    terms = dict(sorted(terms.items(), key=lambda kv: (-kv[1], kv[0]))[:most_terms])
+    shared = context.broadcast(Lexicon(terms))
 
     def around():
         matcher = shared.value.compile()
@@ -220,10 +244,10 @@ def fit(docs: DataFrame, labels: DataFrame, fold_count: int = 5, held_out: int =
 
     phrases = (
         map_batches(sample, around, "phrase string, toxic bigint, clean bigint").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("clean") >= 3) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(EXCEPTIONS).collect()
+        .where((F.col("clean") >= 3) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(most_exceptions).collect()
     )
     spared = Lexicon(terms, {r["phrase"] for r in phrases})
-    trial = docs.sparkSession.sparkContext.broadcast(spared)
+    trial = context.broadcast(spared)
 
     def count_left():
         matcher = trial.value.compile()
@@ -241,49 +265,44 @@ def fit(docs: DataFrame, labels: DataFrame, fold_count: int = 5, held_out: int =
     odds = {r["term"]: math.log((r["toxic"] + 0.5) / (n1 + 1.0)) - math.log((r["clean"] + 0.5) / (n0 + 1.0)) for r in left if r["toxic"] >= LEAST_TOXIC}
     terms = {t: o for t, o in odds.items() if o >= LAST_ODDS}
     lexicon = Lexicon(terms, {e for e in spared.exceptions if any(t in e for t in terms)})
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = context.broadcast(lexicon)
 
     def measure():
         matcher = shared.value.compile()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [matcher.features(t) for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column("toxic").cast(pa.int32())], ["a", "b", "toxic"])
+            got = [matcher.density(t) for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), batch.column("toxic").cast(pa.int32())], ["density", "toxic"])
 
         return step
 
-    points = map_batches(sample, measure, "a double, b double, toxic int").collect()
+    points = map_batches(sample, measure, "density double, toxic int").collect()  # at most 2 x rows
     points.sort()
     # The sample balances labels differently from the corpus; rows are weighted back to the labels' true shares.
-    shares = {r["toxic"]: r["count"] for r in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     weight = {t: shares.get(t, 1) / max(1, n) for t, n in ((1, n1), (0, n0))}
-    lexicon.bias, lexicon.slopes = _logistic(points, weight)
+    lexicon.bias, lexicon.slope = _logistic(points, weight)
     return lexicon
 
 
-def _logistic(points: list, weight: dict[int, float]) -> tuple[float, tuple[float, float]]:
-    """Newton steps for a ridge-penalised logistic function with slopes of at least 0."""
-    x = np.array([[1.0, r["a"], r["b"]] for r in points])
+def _logistic(points: list, weight: dict[int, float]) -> tuple[float, float]:
+    """Bias and slope of a ridge-penalised logistic function by Newton steps; a negative slope becomes a constant."""
+    x = np.array([[1.0, r["density"]] for r in points])
     y = np.array([float(r["toxic"]) for r in points])
     w = np.array([weight[r["toxic"]] for r in points])
     w = w / w.mean()
-    active = [0, 1, 2]
-    for _ in range(3):
-        theta = np.zeros(3)
+    for used in (2, 1):
+        theta = np.zeros(2)
         for _ in range(50):
             p = 1.0 / (1.0 + np.exp(-np.clip(x @ theta, -30, 30)))
             grad = x.T @ (w * (p - y)) + 0.1 * theta
-            hess = (x.T * (w * p * (1 - p))) @ x + 0.1 * np.eye(3)
-            step = np.zeros(3)
-            step[active] = np.linalg.solve(hess[np.ix_(active, active)], grad[active])
-            theta -= step
+            hess = (x.T * (w * p * (1 - p))) @ x + 0.1 * np.eye(2)
+            step = np.linalg.solve(hess[:used, :used], grad[:used])
+            theta[:used] -= step
             if np.abs(step).max() < 1e-8:
                 break
-        negative = [k for k in active if k and theta[k] < 0]
-        if not negative:
+        if theta[1] >= 0:
             break
-        active = [k for k in active if k not in negative]
-    return float(theta[0]), (float(max(theta[1], 0.0)), float(max(theta[2], 0.0)))
+    return float(theta[0]), float(theta[1])
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, fold_count: int = 5, held_out: int = 0) -> DataFrame:
