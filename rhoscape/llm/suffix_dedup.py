@@ -4,14 +4,15 @@ A stretch of LENGTH bytes is repeated if it starts at two places of the corpus.
 be: every window of LENGTH bytes is named by its least GRAM-byte hash (its anchor), so equal windows have equal anchors
 whatever surrounds them. Runs of windows with one place of their anchor form a superstring.
 
-1. Anchors that occur once are left out: their windows can't repeat. Superstrings that occur more than once repeat as
-   a whole; of each only one stands for all in what follows.
-2. The distinct superstrings of one anchor meet in one task, which builds the suffix array of their windows by prefix
-   doubling, the LCP array, and from the previous and next smaller positions in suffix order the longest previous factor
-   of each window with the place of the earlier match. A factor of LENGTH or more marks a later copy; its earlier
-   match is the kept one, or goes as well if all copies are to go.
-3. Anchors with very many distinct superstrings (a passage at whose edge texts differ) don't gather in a task: their windows
-   are counted by content hash with partial aggregation.
+1. Anchors that occur once are left out: their windows can't repeat.
+2. Equal superstrings form a class. Its representative, and one copy of it if there are several, meet the other classes
+   of the anchor in one task, which builds the suffix array of their windows by prefix doubling, the LCP array, and from
+   the previous and next smaller positions in suffix order the longest previous factor of each window with the place of
+   the earlier match. A factor of LENGTH or more marks a later copy; its earlier match is the kept one, or goes as
+   well if all copies are to go. What is found of the copy holds for all other members of the class.
+3. Anchors with very many classes (a passage at whose edges texts differ) don't gather in a task: their superstrings are
+   cut into blocks of windows, named by the bytes that all windows of a block share, and blocks with very many classes
+   into windows. Equal windows meet in equal blocks, so step 2 finds the same repeats in smaller groups.
 
 Spans are merged a document at a time.
 """
@@ -19,19 +20,23 @@ Spans are merged a document at a time.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import U64, Rolling, map_batches, materialise, raw
+from rhoscape.llm.common import U64, Rolling, Scratch, map_batches, materialise, mix, raw
 
 LENGTH, GRAM = 200, 80
-#: Distinct superstrings of an anchor that a task sorts; beyond, windows are counted by hash.
-CROWD = 4_000
+#: Classes of an anchor that a task sorts; beyond, superstrings are cut into blocks of so many windows.
+CROWD, BLOCKS = 4_000, (16, 1)
+#: Windows of a text that are hashed at once.
+HASHED = 1 << 20
 #: Bytes of superstrings that are sorted at once, unless one anchor has more.
 SORT_BYTES = 1 << 20
+PIECES = "anchor bigint, content bigint, doc_id bigint, mark bigint, place bigint, copies bigint, piece binary"
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 _rolling = Rolling(seed=5)
@@ -78,9 +83,10 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             data, bounds = raw(batch)
             found, rows = [], []
             for i in np.flatnonzero(np.diff(bounds) >= length).tolist():
-                h, s, a, b = superstrings(data[bounds[i] : bounds[i + 1]], length, gram)
-                found.append((h, s, _pack(a, b)))
-                rows.append(np.full(len(a), i))
+                for at in range(int(bounds[i]), int(bounds[i + 1]) - length + 1, HASHED):
+                    h, s, a, b = superstrings(data[at : min(at + HASHED + length - 1, int(bounds[i + 1]))], length, gram)
+                    found.append((h, s, _pack(a + (at - bounds[i]), b + (at - bounds[i]))))
+                    rows.append(np.full(len(a), i))
             if not found:
                 return None
             h, s, p = (np.concatenate(x) for x in zip(*found))
@@ -176,25 +182,30 @@ def repeated_windows(pieces: list[bytes], length: int) -> tuple[list[np.ndarray]
     return np.split(later, ends), np.split(any_, ends)
 
 
-def _cut_out(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """The bytes of representative superstrings, from their documents."""
-    asked = places.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "place", "copies", "crowded")).alias("asked"))
+def _cut_out(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """The classes' representatives with their bytes, from their documents."""
+    asked = classes.select("anchor", "content", "copies", "first.*").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "content", "place", "copies")).alias("asked"))
 
     def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: dict[str, list] = {k: [] for k in ("anchor", "doc_id", "mark", "place", "copies", "crowded", "piece")}
+        seen: set = set()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            out: dict[str, list] = {k: [] for k in ("anchor", "content", "doc_id", "mark", "place", "copies", "piece")}
             for doc_id, mark, text, asked_ in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text", "asked"))):
+                if (doc_id, mark) in seen:  # a repeated row
+                    continue
+                seen.add((doc_id, mark))
                 data = text.encode()
                 first, last = _unpack(np.array([a["place"] for a in asked_], np.int64))
                 for a, x, y in zip(asked_, first.tolist(), last.tolist()):
-                    for name, value in (("anchor", a["anchor"]), ("doc_id", doc_id), ("mark", mark), ("place", a["place"]), ("copies", a["copies"]), ("crowded", a["crowded"]), ("piece", data[x : y + length])):
+                    for name, value in (("anchor", a["anchor"]), ("content", a["content"]), ("doc_id", doc_id), ("mark", mark), ("place", a["place"]), ("copies", a["copies"]), ("piece", data[x : y + length])):
                         out[name].append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
         return step
 
-    return map_batches(_by_document(docs, asked, "inner"), make, "anchor bigint, doc_id bigint, mark bigint, place bigint, copies bigint, crowded boolean, piece binary")
+    return map_batches(_by_document(docs, asked, "inner"), make, PIECES)
 
 
 def _by_document(docs: DataFrame, facts: DataFrame, how: str) -> DataFrame:
@@ -202,35 +213,42 @@ def _by_document(docs: DataFrame, facts: DataFrame, how: str) -> DataFrame:
     return docs.join(facts.withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m"), (F.coalesce("doc_id", F.lit(-1)) == F.coalesce("d", F.lit(-1))) & (F.col("mark") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d")), how).drop("d", "m")
 
 
-def _factor_spans(pieces: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """Spans of repeated windows among the superstrings of each anchor."""
+def _factors(pieces: DataFrame, length: int, keep_first: bool, find=repeated_windows) -> DataFrame:
+    """Repeated spans of the classes of each team, relative to the class's superstring.
+
+    Rows with copy are about the members of a class other than its representative.
+    """
 
     def spans(held: list, out: list) -> None:
-        groups: dict[int, list] = {}
-        for row in held:
-            groups.setdefault(row[0], []).append(row)
-        rows = [r for g in groups.values() if len(g) > 1 for r in g]
+        rows: list = []
+        for k, row in enumerate(held):
+            if k and row[:3] == held[k - 1][:3]:  # the same class from a repeated row
+                continue
+            rows.append((row, False))
+            if row[6] > 1:
+                rows.append((row, True))
+        teams = Counter(row[0] for row, _ in rows)
+        rows = [r for r in rows if teams[r[0][0]] > 1]
         if not rows:
             return
-        later, any_ = repeated_windows([r[5] for r in rows], length)
-        for (_, doc_id, mark, place, copies, _), marks in zip(rows, later if keep_first else any_):
-            if not marks.any() or (copies > 1 and not keep_first):
-                continue
-            first = int(_unpack(np.array([place], np.int64))[0][0])
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
-            out.extend((doc_id, mark, first + a, first + b - 1 + length) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
+        later, any_ = find([row[7] for row, _ in rows], length)
+        for (row, copy), marks in zip(rows, later if keep_first else any_):
+            # A class of a crowded anchor, alone in its team, may meet windows of others out of order: they are compared in blocks.
+            if marks.any() and (copy or row[0] == row[1]):
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
+                out.extend((*row[1:6], copy, a, b - 1 + length) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
 
     def run(batches):
         held: list = []
         size = 0
         for batch in batches:
             out: list = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "mark", "place", "copies", "piece"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
                 if size >= SORT_BYTES and row[0] != held[-1][0]:
                     spans(held, out)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[7])
             if out:
                 yield _span_batch(out)
         out = []
@@ -238,71 +256,103 @@ def _factor_spans(pieces: DataFrame, length: int, keep_first: bool) -> DataFrame
         if out:
             yield _span_batch(out)
 
-    return pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "mark", "place").mapInArrow(run, "doc_id bigint, mark bigint, a bigint, b bigint")
+    ordered = pieces.select("team", "anchor", "content", "doc_id", "mark", "place", "copies", "piece").repartition("team").sortWithinPartitions("team", "doc_id", "mark", "place", "content")
+    return ordered.mapInArrow(run, "anchor bigint, content bigint, doc_id bigint, mark bigint, place bigint, copy boolean, a bigint, b bigint")
 
 
 def _span_batch(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "mark", "a", "b"])
+    names = ["anchor", "content", "doc_id", "mark", "place", "copy", "a", "b"]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "copy" else pa.int64()) for n, c in zip(names, zip(*rows))], names)
 
 
-def _crowd_spans(pieces: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """Spans of repeated windows of crowded anchors: windows counted by content hash."""
+def _blocks(pieces: DataFrame, size: int, length: int, gram: int) -> DataFrame:
+    """Superstrings cut into blocks of windows whose distance to their anchor, in whole steps of size, is the same.
+
+    A block is named by the distance and the bytes that all windows of such a block share, so equal windows of one anchor
+    lie in blocks of one name; a block of one window is named by its bytes.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            hashes, starts, rows = [], [], []
-            for i, (place, piece) in enumerate(zip(batch.column("place").to_pylist(), batch.column("piece").to_pylist())):
+            names, contents, rows, places, parts = [], [], [], [], []
+            for i, (anchor, place, piece) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("anchor", "place", "piece")))):
                 data = np.frombuffer(piece, np.uint8)
-                at = np.arange(len(data) - length + 1)
-                hashes.append(_rolling.stretch(_rolling.prefix(data), at, at + length))
-                starts.append(at + _unpack(np.array([place], np.int64))[0][0])
-                rows.append(np.full(len(at), i))
+                sums = _rolling.prefix(data)
+                window = np.arange(len(data) - length + 1)
+                if size == 1:
+                    a, last = window, window
+                    name = _rolling.stretch(sums, a, a + length)
+                else:
+                    grams = np.arange(len(data) - gram + 1)
+                    at = int(np.flatnonzero(_rolling.stretch(sums, grams, grams + gram).view(np.int64) == anchor)[0])
+                    steps = (at - window) // size
+                    a = np.flatnonzero(np.concatenate([[True], steps[1:] != steps[:-1]]))
+                    last = np.concatenate([a[1:], [len(window)]]) - 1
+                    low = at - steps[a] * size
+                    name = mix(_rolling.stretch(sums, low, low - size + 1 + length) + steps[a].astype(np.uint64))
+                names.append(name), contents.append(_rolling.stretch(sums, a, last + length))
+                places.append(_pack(a + (place >> 7), last + (place >> 7)))
+                rows.append(np.full(len(a), i))
+                parts += [piece[x : y + length] for x, y in zip(a.tolist(), last.tolist())]
             if not rows:
                 return None
-            taken = batch.select(["anchor", "doc_id", "mark", "copies"]).take(pa.array(np.concatenate(rows)))
-            return pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(starts))], ["anchor", "doc_id", "mark", "copies", "window", "a"])
+            taken = batch.select(["doc_id", "mark"]).take(pa.array(np.concatenate(rows)))
+            signed = lambda x: pa.array(np.concatenate(x).view(np.int64))
+            return pa.RecordBatch.from_arrays(
+                [signed(names), signed(contents), *taken.columns, pa.array(np.concatenate(places)), pa.array(np.ones(len(parts), np.int64)), pa.array(parts, pa.binary())],
+                ["anchor", "content", "doc_id", "mark", "place", "copies", "piece"],
+            )
 
         return step
 
-    windows = map_batches(pieces, make, "anchor bigint, doc_id bigint, mark bigint, copies bigint, window bigint, a bigint")
-    counted = windows.groupBy("anchor", "window").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "a")).alias("first")).where("times > 1")
-    found = windows.join(counted, ["anchor", "window"])
-    if keep_first:
-        found = found.where(F.struct("doc_id", "mark", "a") != F.col("first"))
-    return found.select("doc_id", "mark", "a", (F.col("a") + length).alias("b"))
+    return map_batches(pieces.select("anchor", "doc_id", "mark", "place", "piece"), make, PIECES)
+
 
+def _absolute(found: DataFrame, place: str = "place") -> DataFrame:
+    start = F.shiftrightunsigned(place, 7)
+    return found.select("doc_id", "mark", (start + F.col("a")).alias("a"), (start + F.col("b")).alias("b"))
 
-def _whole_spans(rows: DataFrame, length: int) -> DataFrame:
-    first = F.shiftrightunsigned("place", 7)
-    more = F.col("place").bitwiseAND(F.lit(127))
-    return rows.select("doc_id", "mark", first.alias("a"), (first + more + length).alias("b"))
 
+def _of_members(rows: DataFrame, found: DataFrame, keep_first: bool) -> DataFrame:
+    """The spans found of a class's copy, for all members of the class."""
+    # A table of its own, so that a small one is broadcast without dealing rows and a large one splits hot classes.
+    of = found.where("copy").select("anchor", "content", "a", "b", F.struct("doc_id", "mark", "place").alias("first"))
+    held = rows.select("anchor", "content", "doc_id", "mark", "place").join(of, ["anchor", "content"])
+    return _absolute(held.where(~F.struct("doc_id", "mark", "place").eqNullSafe(F.col("first"))) if keep_first else held)
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first", crowd: int = CROWD) -> DataFrame:
+
+def repeated_spans(scratch: Scratch, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first", crowd: int = CROWD, find=repeated_windows) -> DataFrame:
     """Byte spans (doc_id, mark, a, b), overlapping ones unmerged, of docs (doc_id, mark, text) that repeat elsewhere.
 
-    keep is "first" (only later copies, in the order of doc_id, mark and place) or "none" (all copies).
+    keep is "first" (only later copies, in the order of doc_id, mark and place) or "none" (all copies). find tells
+    repeated windows of a list of superstrings; nothing is reported that it doesn't find.
     """
     all_ = anchors(docs, length, gram)
-    repeated = all_.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    # A table of its own, so that the join shuffles both sides and splits a hot anchor's rows.
-    repeated = materialise(repeated.select("anchor", (F.col("low") == F.col("high")).alias("same")), "repeated")
-    places = materialise(all_.join(repeated, "anchor"), "places")
-    mixed = places.drop("same") if keep == "first" else places.where("NOT same").drop("same")
-    distinct = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "place")).alias("first"))
-    distinct = materialise(distinct, "distinct")
-    copied = mixed.join(distinct.where("copies > 1"), ["anchor", "content"])
-    if keep == "first":
-        copied = copied.where(F.struct("doc_id", "mark", "place") != F.col("first"))
-    whole = [_whole_spans(copied, length)] + ([] if keep == "first" else [_whole_spans(places.where("same"), length)])
-    crowds = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > crowd).alias("crowded"))
-    asked = distinct.join(crowds, "anchor").select("anchor", "first.doc_id", "first.mark", "first.place", "copies", "crowded")
-    pieces = materialise(_cut_out(docs, asked, length), "pieces")
-    spans = [*whole, _factor_spans(pieces.where("NOT crowded"), length, keep == "first"), _crowd_spans(pieces.where("crowded"), length, keep == "first")]
-    out = spans[0]
-    for more in spans[1:]:
-        out = out.unionByName(more)
-    return out
+    repeated = scratch.keep(all_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
+    rows = scratch.keep(all_.join(repeated, "anchor"), "places")
+    classes = rows.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "place")).alias("first"))
+    pieces = scratch.keep(_cut_out(docs, classes, length), "pieces")
+    out: list[DataFrame] = []
+    for size in (*BLOCKS, None):
+        sizes = pieces.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+        crowds = scratch.keep(sizes.select("anchor"), "crowds") if size else None
+        crowded = crowds is not None and not crowds.isEmpty()
+        if crowded:
+            marked = pieces.join(crowds.withColumn("crowded", F.lit(True)), "anchor", "left")
+            calm = marked.where(F.col("crowded").isNull() | (F.col("copies") > 1)).withColumn("team", F.when(F.col("crowded"), F.col("content")).otherwise(F.col("anchor")))
+        else:
+            calm = pieces.withColumn("team", F.col("anchor"))
+        found = scratch.keep(_factors(calm, length, keep == "first", find), "factors")
+        out += [_absolute(found.where("NOT copy")), _of_members(rows, found, keep == "first")]
+        if not crowded:
+            break
+        rows = _blocks(pieces.join(crowds, "anchor", "left_semi"), size, length, gram)
+        classes = rows.groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "mark", "place", "piece")).alias("first"))
+        pieces = scratch.keep(classes.select("anchor", "content", "first.doc_id", "first.mark", "first.place", "copies", "first.piece"), "pieces")
+    spans = out[0]
+    for more in out[1:]:
+        spans = spans.unionByName(more)
+    return spans
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -332,8 +382,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     if not 0 < length - gram <= 127:
         raise ValueError("a window must be 1 to 127 bytes longer than a gram")
     marked = _marked(docs)
-    spans = repeated_spans(marked, length, gram, keep, crowd)
-    by_document = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    with Scratch(docs.sparkSession) as scratch:
+        spans = repeated_spans(scratch, marked, length, gram, keep, crowd)
+        # Repeated rows have equal spans; a set holds them once.
+        by_document = materialise(spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
