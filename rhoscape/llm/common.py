@@ -94,6 +94,13 @@ class Scratch:
         self.names.clear()
         self.spark.sparkContext._jvm.System.gc()
 
+    def leave(self) -> None:
+        """Let the tables held go with the application, as a lazily evaluated result still reads them."""
+        for name in self.names:
+            system, path = _located(self.spark, name)
+            system.deleteOnExit(path)
+        self.names.clear()
+
     def __enter__(self) -> "Scratch":
         return self
 
@@ -260,24 +267,27 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = _IS
     return starts, ends
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True, separator: np.ndarray = _IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all rows in order, and each row's first place among them."""
-    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(bounds), np.int64)
+def parts(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = _IS_SEPARATOR) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges with their bytes and inner bounds, about CHUNK_BYTES each; a longer row comes in parts cut between words."""
     for first, last in cuts(bounds):
-        low, high = int(bounds[first]), int(bounds[last])
-        place = low
+        place, high = int(bounds[first]), int(bounds[last])
         while place < high:
             stop = high
-            if last == first + 1 and high - place > CHUNK_BYTES:  # a long row is cut between words
+            if last == first + 1 and high - place > CHUNK_BYTES:
                 stop = place + CHUNK_BYTES
                 while stop < high and not separator[data[stop]]:
                     stop += 1
-            part = data[place:stop]
-            inner = np.clip(bounds[first : last + 1], place, stop) - place
-            starts, ends = word_spans(part, inner, separator)
-            hashes.append(_ROLLING.stretch(_ROLLING.prefix(_LOWER[part] if lower else part), starts, ends))
-            counts[first + 1 : last + 1] += np.diff(np.searchsorted(starts, inner))
+            yield first, last, data[place:stop], np.clip(bounds[first : last + 1], place, stop) - place
             place = stop
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True, separator: np.ndarray = _IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows in order, and each row's first place among them."""
+    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(bounds), np.int64)
+    for first, last, part, inner in parts(data, bounds, separator):
+        starts, ends = word_spans(part, inner, separator)
+        hashes.append(_ROLLING.stretch(_ROLLING.prefix(_LOWER[part] if lower else part), starts, ends))
+        counts[first + 1 : last + 1] += np.diff(np.searchsorted(starts, inner))
     return np.concatenate(hashes), np.cumsum(counts)
 
 

@@ -21,20 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import bound_batches, claim, map_batches, raw
+from rhoscape.llm.common import bound_batches, claim, fresh_name, map_batches, quoted, raw
 
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, n_confirmed bigint, spans string"
 #: Kinds in the order in which spans with one start are listed.
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "der", "derhex", "openssh", "jwt")
+KINDS = (*BASE_KINDS, "der", "derhex", "openssh", "opensshhex", "jwt")
 PLACEHOLDER = "[SECRET]"
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
-LONG_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:(?:\r?\n|(?:\\+r)?\\+n)(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
-SIGNED = re.compile(r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nr]))eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: What an encoded key can begin with: a DER sequence (in base64 M and then A to P; in hex 30) or an OpenSSH container.
+#: In base64 nothing that reads on from a word may precede it, but a marker's dashes, a path's slash or an escaped line end may.
+KEY_START = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nr]))(?=M[A-P]|b3BlbnNz)")
+KEY_BODY = re.compile(r"[A-Za-z0-9+/_-]+(?:[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
+KEY_HEAD = re.compile(r"[A-Za-z0-9+/_-]{1,64}")
+LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+HEX_START = re.compile(r"30|6f70656e7373682d6b65792d7631", re.IGNORECASE)
+SIGNED = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nr]))eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(b"0123456789abcdef")] |= 1
@@ -55,20 +60,30 @@ def decode_base64(candidate: str) -> bytes | None:
         return None
 
 
-def encoded_key(candidate: str) -> tuple[str, int] | None:
-    """Kind of the key that a base64 text starts with, and where in the text its encoding ends."""
-    data = decode_base64(candidate)
-    if data is None:
-        return None
-    kind, size = "der", 0
-    outer = _tlv(data, 0, len(data))
-    if outer is not None and is_der_key(data[: outer[2]]):
-        size = outer[2]
-    elif data.startswith(OPENSSH):
-        kind, size = "openssh", openssh_size(data)
-    if not size:
+def key_in(data: bytes, at: int = 0) -> tuple[str, int] | None:
+    """Kind and end of the key container that starts at a place of decoded bytes."""
+    end = der_key_end(data, at)
+    if end:
+        return "der", end
+    end = openssh_end(data, at)
+    return ("openssh", end) if end else None
+
+
+def encoded_key(text: str, start: int) -> tuple[str, int] | None:
+    """Kind of the key that begins at a place of a text in base64, and where in the text its encoding ends."""
+    head = decode_base64(KEY_HEAD.match(text, start).group())
+    outer = _tlv(head, 0, len(text) - start) if head else None
+    if outer is None and not (head and head.startswith(OPENSSH[: len(head)])):
         return None
-    left, at = -(-size * 8 // 6), 0  # characters that carry the key
+    reach, found = 4 * (outer[2] if outer else 256), None
+    while found is None:
+        candidate = KEY_BODY.match(text, start, start + reach).group()
+        data = decode_base64(candidate) or b""
+        found = key_in(data)
+        if found is None and ((outer and len(data) >= outer[2]) or len(candidate) < reach - 8 or start + reach >= len(text)):
+            return None
+        reach *= 2  # white space between the lines may take more room than the key
+    left, at = -(-found[1] * 8 // 6), 0  # characters that carry the key
     while left:
         filler = _FILLER.match(candidate, at)
         if filler:
@@ -77,19 +92,45 @@ def encoded_key(candidate: str) -> tuple[str, int] | None:
             at, left = at + 1, left - 1
     while at < len(candidate) and candidate[at] == "=":
         at += 1
-    return kind, at
+    return found[0], start + at
+
+
+def base64_keys(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64, in one line or many, whatever stands around them; keys inside of keys are part of these."""
+    out, at = [], 0
+    while (m := KEY_START.search(text, at)) is not None:
+        found = encoded_key(text, m.start())
+        if found:
+            out.append((found[0], m.start(), found[1]))
+        at = found[1] if found else m.start() + 1
+    return out
+
+
+def hex_keys(text: str) -> list[tuple[str, int, int]]:
+    """Keys in hexadecimal digits of either case, at any place of a run of digits."""
+    out = []
+    for run in LONG_HEX.finditer(text):
+        digits, at = run.group(), 0
+        decoded = [bytes.fromhex(digits[k : len(digits) - (len(digits) - k) % 2]) for k in (0, 1)]
+        while (m := HEX_START.search(digits, at)) is not None:
+            found = key_in(decoded[m.start() % 2], m.start() // 2)
+            at = m.start() + 1
+            if found:
+                at = m.start() % 2 + 2 * found[1]
+                out.append((found[0] + "hex", run.start() + m.start(), run.start() + at))
+    return out
 
 
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, content start and content end of the element at a place, or None if its length doesn't fit."""
-    if at + 2 > end:
+    if at + 2 > min(end, len(data)):
         return None
     tag, size, at = data[at], data[at + 1], at + 2
     if size == 0x80 or tag & 31 == 31:
         return None
     if size > 0x80:
         n = size & 127
-        if n > 4 or at + n > end or data[at] == 0:
+        if n > 4 or at + n > min(end, len(data)) or data[at] == 0:
             return None
         size, at = int.from_bytes(data[at : at + n], "big"), at + n
         if size < 128:
@@ -102,68 +143,67 @@ def _children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     out = []
     while start < end:
         element = _tlv(data, start, end)
-        if element is None or len(out) == 64:
+        if element is None:
             return None
         out.append(element)
         start = element[2]
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """Whether bytes are one DER sequence that reads as a private or public key, all lengths nested exactly."""
-    outer = _tlv(data, 0, len(data))
-    if outer is None or outer[0] != 0x30 or outer[2] != len(data):
-        return False
+def der_key_end(data: bytes, at: int = 0) -> int:
+    """End of the DER sequence at a place if it reads as a private or public key, all lengths nested exactly; else 0."""
+    outer = _tlv(data, at, len(data))
+    if outer is None or outer[0] != 0x30:
+        return 0
     parts = _children(data, outer[1], outer[2])
     if not parts or len(parts) < 2:
-        return False
+        return 0
     inner = []
     for tag, start, end in parts:
         if tag & 0x20:  # constructed: what it holds must nest as well
             held = _children(data, start, end)
             if held is None:
-                return False
+                return 0
             inner.append(held)
     tags = [p[0] for p in parts]
     value = lambda p: data[p[1] : p[2]]
+    named = bool(inner) and bool(inner[0]) and inner[0][0][0] == 0x06  # the first constructed part names an algorithm
+    key = False
     if tags[0] == 0x02 and len(value(parts[0])) == 1 and value(parts[0])[0] <= 2:
-        if len(parts) >= 9 and set(tags[:9]) == {0x02}:  # RSA: version and eight integers
-            return True
-        if tags[1] == 0x30 and len(parts) >= 3 and tags[2] == 0x04:  # PKCS#8: version, algorithm, octets
-            return bool(inner) and bool(inner[0]) and inner[0][0][0] == 0x06
-        if len(parts) >= 6 and set(tags[:6]) == {0x02}:  # DSA
-            return True
-        return tags[1] == 0x04 and len(value(parts[1])) >= 16  # EC: version, octets
-    if tags == [0x30, 0x03]:  # public key: algorithm, bits
-        return bool(inner) and bool(inner[0]) and inner[0][0][0] == 0x06
-    if tags == [0x30, 0x04]:  # encrypted private key: algorithm, octets
-        return bool(inner) and bool(inner[0]) and inner[0][0][0] == 0x06
-    return False
+        if len(parts) >= 6 and set(tags[:6]) == {0x02}:  # RSA or DSA: version and eight or five integers
+            key = True
+        elif tags[1] == 0x30 and len(parts) >= 3 and tags[2] == 0x04:  # PKCS#8: version, algorithm, octets
+            key = named
+        else:  # EC: version, octets
+            key = tags[1] == 0x04 and len(value(parts[1])) >= 16
+    elif tags in ([0x30, 0x03], [0x30, 0x04]):  # public key: algorithm, bits; encrypted private key: algorithm, octets
+        key = named
+    return outer[2] if key else 0
 
 
 OPENSSH = b"openssh-key-v1\0"
 
 
-def openssh_size(data: bytes) -> int:
-    """Bytes of the OpenSSH private key container that data starts with, by its length-prefixed fields; 0 if it is none."""
-    at = len(OPENSSH)
-    if not data.startswith(OPENSSH):
+def openssh_end(data: bytes, at: int = 0) -> int:
+    """End of the OpenSSH private key container at a place, by its length-prefixed fields; 0 if there is none."""
+    if not data.startswith(OPENSSH, at):
         return 0
+    at += len(OPENSSH)
 
     def field(at: int) -> int:
         end = at + 4 + int.from_bytes(data[at : at + 4], "big")
-        return end if at + 4 <= len(data) and end <= len(data) else -1
+        return end if at + 4 <= len(data) and end <= len(data) else 0
 
     for _ in range(3):  # cipher, key derivation and its options
         at = field(at)
-        if at < 0:
+        if not at:
             return 0
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    if at > len(data) or not 1 <= keys <= 16:
+    if at > len(data) or not keys:
         return 0
     for _ in range(keys + 1):  # public keys and the private block
         at = field(at)
-        if at < 0:
+        if not at:
             return 0
     return at
 
@@ -186,15 +226,8 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     spans = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
-    for m in LONG_BASE64.finditer(text):
-        start = m.start()
-        found = encoded_key(m.group())
-        if not found and text[start] in "nr" and text[start - 1 : start] == "\\":  # the letter of an escaped line end
-            start += 1
-            found = encoded_key(text[start : m.end()])
-        if found:
-            spans.append((found[0], start, start + found[1]))
-    spans += [("derhex", m.start(), m.end()) for m in LONG_HEX.finditer(text) if not (m.end() - m.start()) % 2 and is_der_key(bytes.fromhex(m.group()))]
+    spans += base64_keys(text)
+    spans += hex_keys(text)
     spans += [("jwt", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_token(m.group())]
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return spans
@@ -210,12 +243,12 @@ def _long_runs(inside: np.ndarray, length: int) -> np.ndarray:
 
 
 def suspects(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Rows that may hold a candidate of any kind; rows left out hold none."""
+    """Rows that may hold a candidate of any kind; rows left out hold none (of keys: in lines of 16 characters or more, or behind a marker)."""
     classes = _CLASS[data]
     blob = data.tobytes()
     folded = blob.lower()
-    places = [_long_runs((classes & 1).astype(bool), 16), _long_runs((classes & 2).astype(bool), 32)]
-    for where, needle in ((blob, b"AKIA"), (blob, b"eyJ"), (folded, b"passw"), (folded, b"secret"), (folded, b"token"), (folded, b"api_key"), (folded, b"apikey")):
+    places = [_long_runs((classes & 1).astype(bool), 16), _long_runs((classes & 2).astype(bool), 16)]
+    for where, needle in ((blob, b"AKIA"), (blob, b"eyJ"), (blob, b"-----BEGIN"), (folded, b"passw"), (folded, b"secret"), (folded, b"token"), (folded, b"api_key"), (folded, b"apikey")):
         at, found = where.find(needle), []
         while at >= 0:
             found.append(at)
@@ -279,7 +312,8 @@ def redact_text(text: str) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """docs, all columns, with secrets in text replaced and n_chars, if there, counted again where a text changed.
 
-    Null texts stay null; texts without a secret and their rows are left as they are.
+    Null texts stay null; texts without a secret and their rows are left as they are, empty ones included. Repeated rows
+    and rows without an id are each treated alike; columns of any other name are handed on; an empty table gives no rows.
     """
 
     @F.arrow_udf("string")
@@ -295,6 +329,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return pa.array(out, pa.string())
 
     bound_batches(docs.sparkSession)
-    fresh = docs.withColumn("__redacted", cleaned(F.col("text")))
-    columns = [F.col("__redacted").alias("text") if c == "text" else F.when(F.col("__redacted") == F.col("text"), F.col("n_chars")).otherwise(F.length("__redacted").cast("bigint")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return fresh.select(*columns)
+    fresh = fresh_name(docs, "redacted")
+    counted = F.when(F.col(fresh) == F.col("text"), F.col("n_chars")).otherwise(F.length(fresh).cast("bigint")).alias("n_chars")
+    columns = [F.col(fresh).alias("text") if c == "text" else counted if c == "n_chars" else quoted(c) for c in docs.columns]
+    return docs.withColumn(fresh, cleaned(F.col("text"))).select(*columns)
