@@ -5,11 +5,11 @@ be: every window of LENGTH bytes is named by its least GRAM-byte hash (its ancho
 whatever surrounds them. Runs of windows with one place of their anchor form a superstring.
 
 1. Anchors that occur once are left out: their windows can't repeat.
-2. Equal superstrings form a class. Its representative, and one copy of it if there are several, meet the other classes
-   of the anchor in one task, which builds the suffix array of their windows by prefix doubling, the LCP array, and from
-   the previous and next smaller positions in suffix order the longest previous factor of each window with the place of
-   the earlier match. A factor of LENGTH or more marks a later copy; its earlier match is the kept one, or goes as
-   well if all copies are to go. What is found of the copy holds for all other members of the class.
+2. Equal superstrings form a class. Its representative, with the number of its copies, meets the other classes of the
+   anchor in one task, which builds the suffix array of their windows, the LCP array, and from the previous and next
+   smaller positions in suffix order the longest previous factor of each window with the place of the earlier match. A
+   factor of LENGTH or more marks a later copy; its earlier match is the kept one, or goes as well if all copies are
+   to go. What is found of a further copy holds for all other members of the class.
 3. Anchors with very many classes (a passage at whose edges texts differ) don't gather in a task: their superstrings are
    cut into blocks of windows, named by the bytes that all windows of a block share, and blocks with very many classes
    into windows. Equal windows meet in equal blocks, so step 2 finds the same repeats in smaller groups.
@@ -34,8 +34,8 @@ LENGTH, GRAM = 200, 80
 CROWD, BLOCKS = 4_000, (16, 1)
 #: Windows of a text that are hashed at once.
 HASHED = 1 << 20
-#: Bytes of superstrings that are sorted at once, unless one anchor has more.
-SORT_BYTES = 1 << 20
+#: Bytes of superstrings that are sorted at once, unless one anchor has more; suffixes that are compared at once.
+SORT_BYTES, COMPARED = 1 << 19, 1 << 14
 PIECES = "anchor bigint, content bigint, doc_id bigint, mark bigint, place bigint, copies bigint, piece binary"
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -99,38 +99,18 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return map_batches(docs, make, "anchor bigint, content bigint, doc_id bigint, mark bigint, place bigint")
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
-
-
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at starts by their first length bytes (earlier starts first among equals), and the LCP of each with the one before, at most length.
 
-    Prefix doubling: ranks of all places by 1, 2, 4, ... bytes. Every start has length bytes before the data ends.
+    Every start has length bytes before the data ends, so suffixes are cut to strings of one width and sorted as such.
     """
-    n = len(data)
-    ranks, width = [(1, data.astype(np.uint64))], 1
-    while 2 * width <= length:
-        below = ranks[-1][1]
-        after = np.zeros(n, np.uint64)
-        after[: n - width] = below[width:]
-        width *= 2
-        joined = below << U64(8 * width // 2) | after if width <= 4 else below << U64(32) | after
-        ranks.append((width, joined if width <= 4 else _dense(joined)))
-    top = ranks[-1][1]
-    final = top[starts] << U64(32) | top[starts + (length - width)]
-    order = np.argsort(final, kind="stable")
+    suffixes = np.lib.stride_tricks.sliding_window_view(data, length)[starts]
+    order = np.argsort(suffixes.view(f"S{length}").ravel(), kind="stable")
     lcp = np.zeros(len(order), np.int64)
-    if len(order) > 1:
-        a, b = starts[order[:-1]], starts[order[1:]]
-        reach = np.zeros(len(a), np.int64)
-        same = final[order[:-1]] == final[order[1:]]
-        for width, rank in reversed(ranks):
-            for _ in range(2 if width == ranks[-1][0] else 1):
-                ok = reach + width <= length
-                x, y = np.minimum(a + reach, n - 1), np.minimum(b + reach, n - 1)
-                reach += np.where(ok & (rank[x] == rank[y]), width, 0)
-        lcp[1:] = np.where(same, length, np.minimum(reach, length - 1))
+    for at in range(1, len(order), COMPARED):
+        below, above = suffixes[order[at - 1 : at - 1 + COMPARED]], suffixes[order[at : at + COMPARED]]
+        differ = below[: len(above)] != above
+        lcp[at : at + len(above)] = np.where(differ.any(1), differ.argmax(1), length)
     return order, lcp
 
 
@@ -166,8 +146,13 @@ def longest_previous_factor(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndar
     return factor, match
 
 
-def repeated_windows(pieces: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Which windows of each piece have an earlier copy (in the order of pieces), and which have a copy at all."""
+def repeated_windows(pieces: list[bytes], copies: np.ndarray, length: int) -> tuple[list[np.ndarray], ...]:
+    """Which windows of each piece have an earlier copy (in the order of pieces), which have a copy at all, and which
+    have an earlier copy where the piece occurs again.
+
+    A piece that occurs more than once stands in the suffix array with its number of copies: the suffixes of a further
+    one lie beside its own, so their longest previous factor is the whole window.
+    """
     sizes = np.array([len(p) for p in pieces])
     data = np.frombuffer(b"".join(pieces), np.uint8)
     offsets = np.cumsum(sizes) - sizes
@@ -175,11 +160,12 @@ def repeated_windows(pieces: list[bytes], length: int) -> tuple[list[np.ndarray]
     starts = np.repeat(offsets, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     order, lcp = suffix_order(data, starts, length)
     factor, match = longest_previous_factor(order, lcp)
+    again = np.where(np.repeat(copies, windows) > 1, length, factor)  # of the windows of a further copy
     later = factor >= length
-    any_ = later.copy()
+    any_ = later | (again >= length)
     any_[match[later]] = True
     ends = np.cumsum(windows)[:-1]
-    return np.split(later, ends), np.split(any_, ends)
+    return tuple(np.split(found, ends) for found in (later, any_, (again >= length) & (np.repeat(copies, windows) > 1)))
 
 
 def _cut_out(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
@@ -220,23 +206,20 @@ def _factors(pieces: DataFrame, length: int, keep_first: bool, find=repeated_win
     """
 
     def spans(held: list, out: list) -> None:
-        rows: list = []
-        for k, row in enumerate(held):
-            if k and row[:3] == held[k - 1][:3]:  # the same class from a repeated row
-                continue
-            rows.append((row, False))
-            if row[6] > 1:
-                rows.append((row, True))
-        teams = Counter(row[0] for row, _ in rows)
-        rows = [r for r in rows if teams[r[0][0]] > 1]
+        # Repeated rows of docs give a class twice.
+        once = [row for k, row in enumerate(held) if not k or row[:3] != held[k - 1][:3]]
+        teams = Counter(row[0] for row in once)
+        rows = [row for row in once if teams[row[0]] > 1 or row[6] > 1]
         if not rows:
             return
-        later, any_ = find([row[7] for row, _ in rows], length)
-        for (row, copy), marks in zip(rows, later if keep_first else any_):
+        later, any_, again = find([row[7] for row in rows], np.array([row[6] for row in rows]), length)
+        for k, row in enumerate(rows):
             # A class of a crowded anchor, alone in its team, may meet windows of others out of order: they are compared in blocks.
-            if marks.any() and (copy or row[0] == row[1]):
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
-                out.extend((*row[1:6], copy, a, b - 1 + length) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
+            own = (later if keep_first else any_)[k] if row[0] == row[1] else again[k][:0]
+            for copy, marks in ((False, own), (True, again[k])):
+                if marks.any():
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
+                    out.extend((*row[1:6], copy, a, b - 1 + length) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
 
     def run(batches):
         held: list = []
