@@ -10,25 +10,30 @@
    Collisions are counted on whole signatures, and pairs with T or more are confirmed on full sets.
 4. Pairs of members that the hub doesn't join are skipped where they can't be similar: sizes, collision counts and, for
    sets close to the hub, a lower bound on their symmetric difference from their differences to the hub (elements
-   that no other member adds can't be shared). Only the rest is compared, on full sets.
+   that no other member adds can't be shared). Only the rest is compared, on full sets. A hub with more than COMPARED
+   such pairs to look at isn't treated so: the members of its posting lists are posted again under the list and a
+   second entry (similar sets that have one entry in common share T - 1 of the other K - 1, so prefixes stay K - T + 1
+   long), and steps 3 and 4 start over on the finer lists, whose members all share two entries.
 5. Components of the confirmed links come from repeated contraction to the least neighbour.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import U64, Scratch, cuts, map_batches, materialise, mix, raw, shingles, word_hashes
+from rhoscape.llm.common import U64, Scratch, cuts, map_batches, materialise, mix, quoted, raw, shingles, word_hashes
 
 WORDS, COORDINATES, MISS = 5, 64, 1e-7
 SLOTS = 1 << 16
-FILTER_BITS = 1 << 20
+#: Pairs of members of one hub that are looked at in lists of one common entry, pairs of one task, and the most entries a list has in common.
+COMPARED, SHARE, DEPTH = 1 << 26, 1 << 20, 2
+#: Pairs with one id beyond which they are dealt to several tasks.
+HOT = 1_000
 #: Stand-ins for null ids start here, above every real id that sorts before them.
 NO_ID = 1 << 62
 PREPARED = "doc_id bigint, id bigint, n bigint, k bigint, k2 bigint, signature binary"
@@ -137,66 +142,74 @@ def entry_sketch(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def post(sets: DataFrame, sketch: np.ndarray, count: int) -> DataFrame:
-    """The prefix of each signature: rows of entry, id, k and rank (how fit as a hub)."""
-    shared = sets.sparkSession.sparkContext.broadcast(sketch)  # SLOTS numbers
+def post(rows: DataFrame, sketch: np.ndarray, count: int) -> DataFrame:
+    """The prefix of each signature below a key, without the coordinates used for the key: rows of entry (the new key),
+    used, id, k and rank (how fit as a hub)."""
+    shared = rows.sparkSession.sparkContext.broadcast(sketch)  # SLOTS numbers
 
     def make():
         heat = np.minimum(shared.value, (1 << 22) - 1).astype(np.uint64)
+        bit = U64(1) << np.arange(COORDINATES, dtype=np.uint64)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             entries = _entries(_matrix(batch.column("signature")))
+            keys, used = (batch.column(c).to_numpy().view(np.uint64)[:, None] for c in ("key", "used"))
             hot = heat[(entries & U64(SLOTS - 1)).astype(np.int64)]
-            order = np.argsort(hot << U64(40) | entries >> U64(24), axis=1)[:, :count]
+            order = np.argsort(np.where(used & bit, ~U64(0), hot << U64(40) | entries >> U64(24)), axis=1)[:, :count]
             taken = np.take_along_axis(entries, order, 1)
             ids, ks = batch.column("id").to_numpy(), batch.column("k").to_numpy()
             rank = (np.minimum(hot.sum(1), U64((1 << 30) - 1)) << U64(32)) | (mix(ids.view(np.uint64)) >> U64(32))
             return pa.RecordBatch.from_arrays(
-                [pa.array(_signed(taken.ravel())), pa.array(np.repeat(ids, count)), pa.array(np.repeat(ks, count)), pa.array(np.repeat(_signed(rank), count))],
-                ["entry", "id", "k", "rank"],
+                [pa.array(_signed(mix(taken ^ mix(keys)).ravel())), pa.array(_signed((used | bit[order]).ravel())), *(pa.array(np.repeat(x, order.shape[1])) for x in (ids, ks, _signed(rank)))],
+                ["entry", "used", "id", "k", "rank"],
             )
 
         return step
 
-    return map_batches(sets.select("id", "k", "signature"), make, "entry bigint, id bigint, k bigint, rank bigint")
+    return map_batches(rows.select("key", "used", "id", "k", "signature"), make, "entry bigint, used bigint, id bigint, k bigint, rank bigint")
 
 
-def full_sets(docs: DataFrame, need: DataFrame, size: int = WORDS) -> DataFrame:
-    """id, k and full set (binary) of the rows of docs whose id may be in need; a bit filter of fixed size leaves out
-    most others, the joins that follow the rest."""
-    slots = need.select((F.crc32(F.col("id").cast("string")) % FILTER_BITS).cast("int").alias("slot")).distinct().collect()
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[[r["slot"] for r in slots]] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+def full_sets(scratch: Scratch, docs: DataFrame, need: DataFrame, size: int = WORDS) -> DataFrame:
+    """id, k and full set (binary) of the rows of docs whose id is in need, or that have no id of their own."""
+    # A table of its own, so that it is broadcast only if its size allows it.
+    ids = scratch.keep(need.where(F.col("id") < NO_ID).select(F.col("id").alias("doc_id")).distinct(), "needed")
+    held = docs.select("doc_id", "text")
+    held = held.join(ids, "doc_id", "left_semi").unionByName(held.where(F.col("doc_id").isNull()))
 
     def make():
-        wanted = np.unpackbits(shared.value).astype(bool)
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            ids = batch.column("doc_id").to_pylist()
-            rows = [r for r, i in enumerate(ids) if i is None or wanted[zlib.crc32(str(i).encode()) % FILTER_BITS]]
-            if not rows:
-                return None
             found, ks, sets = [], [], []
-            for r, s in zip(rows, shingle_sets(batch.take(pa.array(rows, pa.int32())), size)):
+            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch, size)):
                 if len(s):
                     key = mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-                    found.append(ids[r] if ids[r] is not None else NO_ID + int(key & U64(NO_ID - 1)))
+                    found.append(i if i is not None else NO_ID + int(key & U64(NO_ID - 1)))
                     ks.append(key)
                     sets.append(s.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(_signed(np.array(ks, np.uint64))), pa.array(sets, pa.binary())], ["id", "k", "elements"])
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), make, "id bigint, k bigint, elements binary").dropDuplicates(["id", "k"])
+    return map_batches(held, make, "id bigint, k bigint, elements binary").dropDuplicates(["id", "k"])
+
 
+def meet(scratch: Scratch, pairs: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs with the facts (a row a key) of one of their sides; the pairs of a key with many are dealt to several tasks."""
+    crowds = pairs.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    crowds = scratch.keep(crowds, "hot")
+    if crowds.isEmpty():
+        return pairs.join(facts, keys)
+    parts = F.coalesce("parts", F.lit(1))
+    salted = pairs.join(crowds, keys, "left").withColumn("salt", F.pmod(F.xxhash64("id", "k", "hub", "hub_k"), parts).cast("int")).drop("parts")
+    spread = facts.join(crowds, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return salted.join(spread, [*keys, "salt"]).drop("salt")
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Exact intersections of pairs (id, k, hub, hub_k): sizes, links and the elements of id that hub lacks."""
-    # Semi-join by the pairs' own keys first, so only sets in use are moved on.
+    sets = full_sets(scratch, docs, pairs.select("id").union(pairs.select(F.col("hub").alias("id"))), size)
     left = sets.withColumnRenamed("elements", "left")
     right = sets.select(F.col("id").alias("hub"), F.col("k").alias("hub_k"), F.col("elements").alias("right"))
-    both = pairs.join(left, ["id", "k"]).join(right, ["hub", "hub_k"]).select("id", "k", "hub", "hub_k", "left", "right")
+    both = meet(scratch, meet(scratch, pairs, left, ["id", "k"]), right, ["hub", "hub_k"]).select("id", "k", "hub", "hub_k", "left", "right")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -216,11 +229,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, make, "id bigint, k bigint, hub bigint, hub_k bigint, n bigint, hub_n bigint, common bigint, linked boolean, added array<bigint>")
 
 
-def collide(pairs: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+def collide(scratch: Scratch, pairs: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
     """Pairs with at least so many equal coordinates and compatible sizes."""
     sig = sets.select("id", "k", "n", "signature")
     hub = sig.select(F.col("id").alias("hub"), F.col("k").alias("hub_k"), F.col("n").alias("hub_n"), F.col("signature").alias("hub_signature"))
-    both = pairs.select("id", "k", "hub", "hub_k").join(sig, ["id", "k"]).join(hub, ["hub", "hub_k"])
+    both = meet(scratch, pairs.select("id", "k", "hub", "hub_k").join(sig, ["id", "k"]), hub, ["hub", "hub_k"])
     fits = (F.col("n") * 100 >= F.col("hub_n") * percent) & (F.col("hub_n") * 100 >= F.col("n") * percent)
 
     def make():
@@ -233,32 +246,33 @@ def collide(pairs: DataFrame, sets: DataFrame, least: int, percent: int) -> Data
     return map_batches(both.where(fits).select("id", "k", "hub", "hub_k", "signature", "hub_signature"), make, "id bigint, k bigint, hub bigint, hub_k bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Rows of id and label (the least id reachable) for each id of the edges (a, b), by contraction to the least neighbour.
+def components(scratch: Scratch, links: list[DataFrame]) -> DataFrame:
+    """Rows of id and label (the least id reachable) for each id of the links (a, b), by contraction to the least neighbour.
 
-    An edge (a, b) becomes the edge of the least neighbours of a and b, itself included; what is left after a round
+    A link (a, b) becomes the link of the least neighbours of a and b, itself included; what is left after a round
     are fewer ids. Rounds are cut by tables in shared storage.
     """
-    spark = edges.sparkSession
-    edges = edges.where(F.col("a") != F.col("b"))
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
     steps: list[DataFrame] = []
-    with Scratch(spark) as scratch:
-        edges = scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        while not edges.isEmpty():
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = scratch.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "least")
-            steps.append(least)
-            up_a = least.select("a", F.col("up").alias("x"))
-            up_b = least.select(F.col("a").alias("b"), F.col("up").alias("y"))
-            moved = edges.join(up_a, "a").join(up_b, "b").where(F.col("x") != F.col("y"))
-            edges = scratch.keep(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
-        if not steps:
-            return spark.createDataFrame([], "id bigint, label bigint")
-        labels = steps[0].select(F.col("a").alias("id"), F.col("up").alias("label"))
-        for step in steps[1:]:
-            up = step.select(F.col("a").alias("label"), "up")
-            labels = labels.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label"))
-        return materialise(labels, "labels")
+    edges = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = scratch.keep(edges.distinct(), "links")
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = scratch.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "least")
+        steps.append(least)
+        up_a = least.select("a", F.col("up").alias("x"))
+        up_b = least.select(F.col("a").alias("b"), F.col("up").alias("y"))
+        moved = edges.join(up_a, "a").join(up_b, "b").where(F.col("x") != F.col("y"))
+        edges = scratch.keep(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    if not steps:
+        return scratch.spark.createDataFrame([], "id bigint, label bigint")
+    labels = steps[0].select(F.col("a").alias("id"), F.col("up").alias("label"))
+    for step in steps[1:]:
+        up = step.select(F.col("a").alias("label"), "up")
+        labels = labels.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label"))
+    return scratch.keep(labels, "labels")
 
 
 def _short(column: str = "signature") -> list:
@@ -283,16 +297,21 @@ def _equal_bytes(left: str, right: str):
     return total
 
 
-def rest(scratch: Scratch, stars: DataFrame, confirmed: DataFrame, labels: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs around a common hub that may still be similar though no link joins them yet."""
+def rest(scratch: Scratch, stars: DataFrame, confirmed: DataFrame, labels: DataFrame, sets: DataFrame, least: int, percent: int, compared: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs around a common hub that may still be similar though no link joins them yet, and the hubs with too many."""
     spread = (100 - percent) / (100 + percent)
     labelled = (
         stars.join(labels.withColumnRenamed("label", "own"), "id", "left")
         .join(labels.select(F.col("id").alias("hub"), F.col("label").alias("hubs")), "hub", "left")
         .select("id", "k", "hub", "hub_k", F.coalesce("own", "id").alias("own"), F.coalesce("hubs", "hub").alias("hubs"))
     )
-    # Hubs with a member outside their component and at least one other member.
-    open_ = labelled.groupBy("hub", "hub_k").agg(F.count("*").alias("members"), F.max(F.col("own") != F.col("hubs")).alias("outside")).where((F.col("members") > 1) & F.col("outside"))
+    # Hubs with a member outside their component and at least one other member, and the pairs that these members form.
+    outside = F.col("own") != F.col("hubs")
+    open_ = labelled.groupBy("hub", "hub_k").agg(F.count("*").alias("members"), F.sum(outside.cast("bigint")).alias("active")).where("members > 1 AND active > 0")
+    open_ = scratch.keep(open_.select("hub", "hub_k", (F.col("members") * F.col("active")).alias("look")), "open")
+    crowded = open_.where(F.col("look") > compared) if compared is not None else open_.limit(0)
+    open_ = open_.where(F.col("look") <= compared) if compared is not None else open_
+    open_ = open_.select("hub", "hub_k", F.ceil(F.col("look") / SHARE).cast("int").alias("shares"))
     added = confirmed.select("id", "k", "hub", "hub_k", F.explode("added").alias("element"))
     # Of each element that one member alone adds to its hub, that member.
     alone = added.groupBy("hub", "hub_k", "element").agg(F.count("*").alias("times"), F.min("id").alias("id"), F.min("k").alias("k")).where("times = 1").groupBy("hub", "hub_k", "id", "k").agg(F.count("*").alias("alone"))
@@ -303,13 +322,15 @@ def rest(scratch: Scratch, stars: DataFrame, confirmed: DataFrame, labels: DataF
         (F.col("n") + F.col("hub_n") - 2 * F.col("common")).alias("apart"),
     )
     members = (
-        labelled.join(open_.select("hub", "hub_k"), ["hub", "hub_k"], "left_semi")
+        labelled.join(open_, ["hub", "hub_k"])
         .join(near, ["hub", "hub_k", "id", "k"], "left")
         .join(sets.select("id", "k", "n", *_short()), ["id", "k"])
         .withColumn("active", F.col("own") != F.col("hubs"))
     )
     members = scratch.keep(members, "members")
-    l, r = members.where("active").alias("l"), members.alias("r")
+    # The pairs of a hub are dealt to as many tasks as they make shares.
+    l = members.where("active").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).alias("l")
+    r = members.withColumn("share", F.pmod(F.xxhash64("id", "k"), F.col("shares")).cast("int")).alias("r")
     col = lambda side, name: F.col(f"{side}.{name}")
     apart = col("l", "apart") + col("r", "apart") - 2 * (F.least(col("l", "shareable"), col("r", "shareable")) + F.least(col("l", "lacking"), col("r", "lacking")))
     possible = (
@@ -320,42 +341,55 @@ def rest(scratch: Scratch, stars: DataFrame, confirmed: DataFrame, labels: DataF
         & (F.coalesce(apart, F.lit(0)) <= spread * (col("l", "n") + col("r", "n")) + 1e-6)
         & (_equal_bytes("l", "r") >= least)
     )
-    pairs = l.join(r, (col("l", "hub") == col("r", "hub")) & (col("l", "hub_k") == col("r", "hub_k")) & possible)
-    return pairs.select(col("l", "id").alias("id"), col("l", "k").alias("k"), col("r", "id").alias("hub"), col("r", "k").alias("hub_k")).distinct()
+    pairs = l.join(r, (col("l", "hub") == col("r", "hub")) & (col("l", "hub_k") == col("r", "hub_k")) & (col("l", "share") == col("r", "share")) & possible)
+    return pairs.select(col("l", "id").alias("id"), col("l", "k").alias("k"), col("r", "id").alias("hub"), col("r", "k").alias("hub_k")).distinct(), crowded.select("hub", "hub_k")
 
 
-def link(docs: DataFrame, percent: int = 85, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """The prepared rows of docs and the labels of the linked ids (class representatives)."""
+def link(docs: DataFrame, percent: int = 85, size: int = WORDS, compared: int = COMPARED) -> tuple[DataFrame, DataFrame]:
+    """The prepared rows of docs, and of each class (k, k2) with copies or links its least id and label."""
     prepared = materialise(prepare(docs, size), "prepared")
     with Scratch(docs.sparkSession) as scratch:
-        return prepared, _labels(scratch, docs, prepared, percent, size)
+        classes = prepared.where("n > 0").groupBy("k", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("signature").alias("signature"), F.count("*").alias("copies"))
+        classes = scratch.keep(classes, "classes")
+        labels = _labels(scratch, docs, classes, percent, size, compared)
+        known = classes.select("k", "k2", "copies", F.col("id").alias("first")).join(labels.withColumnRenamed("id", "first"), "first", "left")
+        known = known.where((F.col("copies") > 1) | F.col("label").isNotNull()).select("k", "k2", F.coalesce("label", "first").alias("label"))
+        # A table of its own, so that the join with it shuffles both sides and splits a hot class, or broadcasts a small one.
+        return prepared, materialise(known, "labels")
 
 
-def _labels(scratch: Scratch, docs: DataFrame, prepared: DataFrame, percent: int, size: int) -> DataFrame:
-    classes = prepared.where("n > 0").groupBy("k", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("signature").alias("signature"))
-    classes = scratch.keep(classes, "classes")
+def _labels(scratch: Scratch, docs: DataFrame, classes: DataFrame, percent: int, size: int, compared: int) -> DataFrame:
+    """id and label (the least id reachable) of the linked class representatives."""
     least = threshold(percent / 100)
-    posted = post(classes, entry_sketch(classes), COORDINATES - least + 1)
-    hubs = posted.groupBy("entry").agg(F.count("*").alias("size"), F.max_by("id", "rank").alias("hub"), F.max_by("k", "rank").alias("hub_k")).where("size > 1").drop("size")
-    hubs = scratch.keep(hubs, "hubs")  # so that the join shuffles both sides and splits a hot entry's rows
-    stars = posted.join(hubs, "entry").where((F.col("id") != F.col("hub")) | (F.col("k") != F.col("hub_k"))).groupBy("id", "k", "hub", "hub_k").agg(F.count("*").alias("shared"))
-    stars = scratch.keep(stars, "stars")
-    close = scratch.keep(collide(stars, classes, least, percent), "close")
-    need = close.select("id").union(close.select(F.col("hub").alias("id")))
-    first = scratch.keep(confirm(close, full_sets(docs, need, size), percent), "confirmed")
-    links = first.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    labels = components(links)
-    more = scratch.keep(rest(scratch, stars, first, labels, classes, least, percent), "rest")
-    if not more.isEmpty():
-        need = more.select("id").union(more.select(F.col("hub").alias("id")))
-        second = confirm(more, full_sets(docs, need, size), percent).where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        second = scratch.keep(second, "second")
-        if not second.isEmpty():
-            labels = components(links.unionByName(second))
+    sketch = entry_sketch(classes)
+    rows = classes.select(F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("used"), "id", "k", "signature")
+    links: list[DataFrame] = []
+    sides = lambda found: found.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    for depth in range(1, DEPTH + 1):
+        posted = post(rows, sketch, COORDINATES - least + 1)
+        hubs = posted.groupBy("entry").agg(F.count("*").alias("size"), F.max_by("id", "rank").alias("hub"), F.max_by("k", "rank").alias("hub_k")).where("size > 1").drop("size")
+        hubs = scratch.keep(hubs, "hubs")  # so that the join shuffles both sides and splits a hot entry's rows
+        stars = posted.join(hubs, "entry").where((F.col("id") != F.col("hub")) | (F.col("k") != F.col("hub_k"))).select("id", "k", "hub", "hub_k").distinct()
+        stars = scratch.keep(stars, "stars")
+        close = scratch.keep(collide(scratch, stars, classes, least, percent), "close")
+        first = scratch.keep(confirm(scratch, close, docs, percent, size), "confirmed")
+        links.append(sides(first))
+        labels = components(scratch, links)
+        more, crowded = rest(scratch, stars, first, labels, classes, least, percent, compared if depth < DEPTH else None)
+        more = scratch.keep(more, "rest")
+        if not more.isEmpty():
+            links.append(scratch.keep(sides(confirm(scratch, more, docs, percent, size)), "second"))
+            if not links[-1].isEmpty():
+                labels = components(scratch, links)
+        if crowded.isEmpty():
+            break
+        lists = scratch.keep(hubs.join(crowded, ["hub", "hub_k"], "left_semi"), "lists")
+        again = posted.join(lists, "entry").where((F.col("id") != F.col("hub")) | (F.col("k") != F.col("hub_k")))
+        rows = scratch.keep(again.select(F.col("entry").alias("key"), "used", "id", "k").join(classes.select("id", "k", "signature"), ["id", "k"]), "crowded")
     return labels
 
 
-def deduplicate(docs: DataFrame, percent: int = 85, size: int = WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = 85, size: int = WORDS, compared: int = COMPARED) -> DataFrame:
     """Rows of doc_id, n_shingles, component_id and kept for each row of docs.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. Null texts and texts without
@@ -363,11 +397,8 @@ def deduplicate(docs: DataFrame, percent: int = 85, size: int = WORDS) -> DataFr
     Rows with a null doc_id take part; a component of such rows only has a null component_id, and they count as kept.
     Repeated rows each give a row; other columns are ignored; an empty table gives no rows.
     """
-    prepared, labels = link(docs, percent, size)
-    copies = prepared.where("n > 0").groupBy("k", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1").drop("copies")
-    copies = materialise(copies, "copies")  # so that the join shuffles both sides and splits a hot class
-    least = prepared.join(copies, ["k", "k2"], "left").withColumn("first", F.coalesce("first", "id"))
-    found = least.join(labels.withColumnRenamed("id", "first"), "first", "left").withColumn("component", F.coalesce("label", "first"))
+    prepared, labels = link(docs, percent, size, compared)
+    found = prepared.join(labels, ["k", "k2"], "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("label", "id")).otherwise(F.col("id")))
     component = F.when(F.col("component") < NO_ID, F.col("component"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -375,10 +406,16 @@ def deduplicate(docs: DataFrame, percent: int = 85, size: int = WORDS) -> DataFr
 def drop_duplicates(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
     """docs, all columns, without the rows whose component has a smaller doc_id; of rows with one doc_id one stays.
 
-    Rows with a null doc_id can't be told apart and stay.
+    Which one does depends on the values of its columns alone. Rows with a null doc_id can't be told apart and stay.
+    Null and empty texts have no duplicates; columns of any name are handed on; an empty table gives no rows.
     """
-    dropped = deduplicate(docs, percent, size).where("NOT kept").select("doc_id").distinct()
-    left = docs.where(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = left.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    judged = deduplicate(docs, percent, size).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    # A table of its own, so that it is broadcast only if its size allows it.
+    odd = materialise(judged.where("NOT kept OR rows > 1"), "odd")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    held = docs.select(*(quoted(c).alias(n) for c, n in zip(docs.columns, names)))
+    key = names[next(k for k, c in enumerate(docs.columns) if c.lower() == "doc_id")]
+    plain = held.join(odd.select(F.col("doc_id").alias(key)), key, "left_anti").select(*names)
+    repeated = held.join(odd.where("kept").select(F.col("doc_id").alias(key)), key, "left_semi").select(*names)
+    one = repeated.groupBy(key).agg(F.min_by(F.struct(*names), F.struct(F.xxhash64(*names), F.to_json(F.struct(*names)))).alias("row")).select("row.*")
+    return plain.unionByName(one).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
