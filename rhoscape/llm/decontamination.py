@@ -62,16 +62,17 @@ def sketch(hashes: np.ndarray, log_bins: int) -> np.ndarray:
 class Block:
     """Items of one block, ready for search: sketches for each partition, made on demand."""
 
-    def __init__(self, items: list[tuple[int | None, str]], size: int = WORDS, percent: int = PERCENT) -> None:
+    def __init__(self, items: list[tuple[int | None, str, int]], size: int = WORDS, percent: int = PERCENT) -> None:
         self.percent = percent
-        self.ids, self.words, self.widths, self.sets = [], [], [], []
-        for item_id, text in items:
+        self.ids, self.copies, self.words, self.widths, self.sets = [], [], [], [], []
+        for item_id, text, copies in items:
             words = words_of(text)
             if not words:
                 continue
             data = " ".join(words).encode()
             hashed, _ = word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), separator=_SEPARATOR)
             self.ids.append(item_id)
+            self.copies.append(copies)
             self.words.append(words)
             self.widths.append(min(size, len(words)))
             self.sets.append(shingles(hashed, size))
@@ -159,13 +160,13 @@ def _least_matches(shared: int, keep: float) -> int:
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS):
-    """Lists of (item_id, text) of bounded size that together hold every item once."""
-    items = benchmark.select("item_id", "text").where(F.length("text") > 0)
+    """Lists of (item_id, text, rows) of bounded size that together hold every distinct item once, with its number of rows."""
+    items = benchmark.where(F.length("text") > 0).groupBy("item_id", "text").agg(F.count("*").alias("copies"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-total // (6 * limit)))
     for k in range(count):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else items
-        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
+        yield [(r["item_id"], r["text"], r["copies"]) for r in part.orderBy("item_id", "text").collect()]
 
 
 _made: dict = {}
@@ -230,7 +231,7 @@ def _search(docs: DataFrame, shared: _Shared) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             column, ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            found = [(ids[row], i, n) for row, hashed in _rows(column) if len(hashed) for i, n in block.search(column[row].as_py(), hashed)]
+            found = [hit for row, hashed in _rows(column) if len(hashed) for i, n in block.search(column[row].as_py(), hashed) for hit in [(ids[row], i, n)] * block.copies[i]]
             sizes = [len(block.exact[i]) for _, i, _ in found]
             return pa.RecordBatch.from_arrays(
                 [
@@ -249,7 +250,12 @@ def _search(docs: DataFrame, shared: _Shared) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, percent: int = PERCENT, limit: int = BLOCK_WORDS) -> DataFrame:
-    """docs, all columns, without the documents that contain a benchmark item."""
+    """docs, all columns, without the documents that contain a benchmark item (see find_leaks).
+
+    Documents with a null or empty text, or without words, contain none and stay; repeated rows go or stay together;
+    rows without an id are judged like all others; columns of any name are handed on; an empty table on either side
+    drops nothing.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     for items in blocks(benchmark, limit):

@@ -292,7 +292,12 @@ def identify(docs: DataFrame, model: CrossParser, fold: int = 4, held_out: int =
 
 
 def keep_identified(docs: DataFrame, model: CrossParser) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language; texts that are "und" go."""
+    """The rows of docs, all columns, whose text has a language; texts that are "und" go.
+
+    Null and empty texts and texts without a letter go; repeated rows go or stay together, and so do rows without an
+    id; columns of any name are handed on; an empty table gives no rows. A model without labels knows no language, so
+    nothing stays.
+    """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

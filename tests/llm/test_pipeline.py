@@ -53,6 +53,30 @@ def test_run(spark, sf_dir):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < len(texts)
 
 
+def test_odd_tables(spark, sf_dir, tmp_path):
+    """Repeated rows, rows without id or text, long texts and columns of any name pass all stages; so do empty tables."""
+    rng = random.Random(23)
+    text, long, item = prose(rng, 40), prose(rng, 20_000), prose(rng, 15)
+    secret = "token = 'abcdefghijklmnop'"
+    rows = [(1, text), (1, text), (2, text + " too"), (3, long), (4, f"{long} {item}"), (None, prose(rng, 20)), (None, None), (5, None), (6, ""), (7, f"{prose(rng, 30)} {item}"), (8, f"{prose(rng, 9)} {secret}"), (8, f"{prose(rng, 9)} {secret}"), (9, "é"), (9, "é")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, `x.y` int, __row int, redacted string, part string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), k, k, "r", "p") for k, (i, t) in enumerate(rows)], schema)
+    folders = {}
+    for name, some in (("all", docs), ("none", docs.limit(0))):
+        folders[name] = str(tmp_path / name)
+        some.write.parquet(f"{folders[name]}/documents.parquet")
+        spark.createDataFrame([(1, item), (1, item), (2, None)], "item_id bigint, text string").write.parquet(f"{folders[name]}/benchmark.parquet")
+    kept = {"language_id": (1, 1, 2, 3, 4, None, 7, 8, 8, 9, 9), "near_dedup": (1, 3, None, 7, 8, 9), "decontamination": (1, 3, None, 8, 9), "secret_scan": (1, 3, None, 8, 9)}
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = spark.createDataFrame(stage(spark, held, folders["all"]).collect(), schema)
+        assert held.columns == docs.columns
+        assert sorted((r.doc_id for r in held.collect()), key=str) == sorted(kept[name], key=str), name
+    assert not held.where("text like '%abcdefghijklmnop%'").count() and held.where("doc_id = 8 and n_chars = length(text)").count() == 1
+    assert sorted((r.doc_id for r in corpus_pipeline.run(spark, folders["all"]).collect()), key=str) == sorted(kept["secret_scan"], key=str)
+    assert corpus_pipeline.run(spark, folders["none"]).count() == 0
+
+
 def test_registered():
     found = __spark_entry__.queries()
     assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in found
