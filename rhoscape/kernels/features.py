@@ -119,7 +119,7 @@ class Density:
 
     @cached_property
     def basins(self) -> np.ndarray:
-        return topology.basins(self.grid, self.cell, self.census["lower"])
+        return topology.basins(self.grid, self.cell)
 
     @cached_property
     def ghosts(self) -> np.ndarray:

@@ -85,16 +85,22 @@ class Nearest:
         points = fractions(shape) @ cell.rows
         n = len(points)
         self.distance, self.atom, self.direction = np.empty(n), np.empty(n, np.int64), np.zeros((n, 3))
-        for block in _blocks(shape):
+        for block in _blocks(shape, 14):
             x = points[block]
             near = _near(x, places, 1)
-            step = x[:, None] - places[near][None]
-            d = np.sqrt((step**2).sum(2))
-            best = _pick(d, step @ cell.inverse)
-            rows = np.arange(len(x))
-            self.distance[block], self.atom[block] = d[rows, best], owners[near][best]
-            long = d[rows, best] > 1e-12
-            self.direction[block[long]] = step[rows, best][long] / d[rows, best][long, None]
+            # Distances by a product of matrices around the block's centre are good to choose by; the chosen are exact.
+            centre = x.mean(0)
+            own, held = x - centre, places[near] - centre
+            d = np.sqrt(np.maximum((own**2).sum(1)[:, None] + (held**2).sum(1) - 2.0 * own @ held.T, 0.0))
+            best = d.argmin(1)
+            tied = np.flatnonzero((d <= d.min(1, keepdims=True) + GEOMETRY_EPS).sum(1) > 1)
+            if len(tied):
+                best[tied] = _pick(d[tied], (own[tied][:, None] - held[None]) @ cell.inverse)
+            step = x - places[near[best]]
+            exact = np.sqrt((step**2).sum(1))
+            self.distance[block], self.atom[block] = exact, owners[near[best]]
+            long = exact > 1e-12
+            self.direction[block[long]] = step[long] / exact[long, None]
 
 
 class Spheres:
@@ -121,7 +127,7 @@ class Spheres:
 def becke(cell: Cell, shape, frac, k: int = BECKE_K, cells: int = BECKE_CELLS) -> Iterator[tuple[np.ndarray, ...]]:
     """Chunks of (voxel, atom, weight, distance, direction) of the fuzzy-cell partition."""
     if cells < 1 or k < cells:
-        raise ValueError(f"need 1 <= cells <= k, got cells={cells}, k={k}")
+        raise ValueError(f"weights for {cells} of {k} images asked for")
     points = fractions(shape) @ cell.rows
     reach = 0.0
     while True:  # grow the images until the k nearest of every voxel are surely among them
