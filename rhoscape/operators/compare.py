@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rhoscape.constants import CLOSE, FAR, GRADES, NOISE
+from rhoscape.storage import quantiles
 
 
 def relative(a: Column, b: Column) -> Column:
@@ -31,14 +32,14 @@ def compare_rows(table: DataFrame) -> DataFrame:
 
 def compare_summary(compared: DataFrame) -> DataFrame:
     known = ~F.isnan("difference")
-    return compared.agg(F.median(F.when(known, F.col("difference"))).alias("median"), F.count_if((known & (F.col("difference") <= CLOSE)) | (F.col("note") == "zero in both")).alias("close"), F.count_if(known & (F.col("difference") > FAR)).alias("far"), F.count("*").alias("n"))
+    median = quantiles(compared.where(known), [], "difference", {"median": 0.5})
+    return median.join(compared.agg(F.count_if((known & (F.col("difference") <= CLOSE)) | (F.col("note") == "zero in both")).alias("close"), F.count_if(known & (F.col("difference") > FAR)).alias("far"), F.count("*").alias("n")))
 
 
 def feature_range(frame: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Linear-interpolated percentiles of each column, long form."""
-    row = frame.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns))
-    long = row.unpivot([], columns, "name", "ends")
-    return long.select("name", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+    long = frame.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "name", "value")
+    return quantiles(long, ["name"], "value", {"low": low, "high": high})
 
 
 def outside_range(frame: DataFrame, key: str, columns: list[str], ranges: DataFrame) -> DataFrame:
@@ -93,6 +94,13 @@ def long_results(wide: DataFrame, key: str, columns: list[str], catalogue: DataF
     return wide.select(key, *columns).unpivot([key], columns, "name", "value").join(F.broadcast(catalogue.select("name", "domain", "units")), "name")
 
 
+def exported(descriptors: DataFrame, properties: DataFrame | None = None) -> DataFrame:
+    """Plain numbers (kind, name, a, b, relative difference) of compared descriptors and properties (name, a, b), for export."""
+    kinds = [("descriptor", descriptors)] + ([("property", properties)] if properties is not None else [])
+    made = [t.select(F.lit(kind).alias("kind"), "name", "a", "b", relative(F.col("a"), F.col("b")).alias("relative_difference")) for kind, t in kinds]
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
+
+
 def json_rows(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Rows as JSON; values that aren't finite become null."""
     clean = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in frame.select(*columns).dtypes]

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.constants import BOND_TOL, GEOMETRY_EPS, SPHERE_A, SPHERE_B
+from rhoscape.constants import BECKE_CELLS, BECKE_K, BOND_TOL, GEOMETRY_EPS, SPHERE_A, SPHERE_B
 from rhoscape.elements import elements
 from rhoscape.kernels.lattice import Cell
 from rhoscape.operators.grid import CELL, SIZE
 
 SYMBOLS = ("Fe", "O", "Ni", "Si", "S")
 ATOMS = 4
+#: Blocks of a cell, along each axis, that candidates are found for.
+BLOCKS = 4
 
 
 def bind_atoms(supplier: DataFrame, nation: DataFrame, count: int = ATOMS, size: int = SIZE) -> DataFrame:
@@ -54,12 +57,31 @@ def _tie() -> list[Column]:
     return [-F.round(F.col(f"u{a}") - F.col(f"f{a}"), 9) for a in (1, 2, 3)]
 
 
+def with_candidates(points: DataFrame, shown: DataFrame, cell: Cell, scale: Column, blocks: int = BLOCKS) -> DataFrame:
+    """Points (u1..u3 in [0, 1)) with the images that can have the least distance / scale, found once for each block of the cell.
+
+    In a block of radius ρ around a centre at distance d, an image's distance lies between d - ρ and d + ρ; images whose
+    least is above another's most are never the nearest. So a point meets the images around its block, not all.
+    """
+    half = np.array(list(itertools.product((-0.5, 0.5), repeat=3))) / blocks @ cell.rows
+    radius = F.lit(float(np.sqrt((half**2).sum(1)).max()))
+    at = [F.floor(F.col("id") / blocks**n) % blocks for n in (2, 1, 0)]
+    centre = [sum(((at[a] + 0.5) / blocks * F.lit(float(cell.rows[a, c])) for a in range(3)), F.lit(0.0)).alias("xyz"[c]) for c in range(3)]
+    # Both sides are about one cell: a row a block, and a row an image.
+    met = points.sparkSession.range(blocks**3).select(F.col("id").alias("block"), *centre).join(F.broadcast(shown)).withColumn("__d", _distance())
+    held = F.struct(((F.col("__d") - radius) / scale).alias("least"), *shown.columns)
+    near = met.groupBy("block").agg(F.min((F.col("__d") + radius) / scale).alias("most"), F.collect_list(held).alias("all"))
+    near = near.select("block", F.explode(F.filter("all", lambda s: s.least <= F.col("most") + 1e-6)).alias("near"))
+    place = sum((F.floor(F.col(f"u{a}") * blocks) * blocks ** (3 - a) for a in (1, 2, 3)), F.lit(0)).cast("bigint")
+    return points.withColumn("block", place).join(near, "block").select(*points.columns, *(F.col(f"near.{c}").alias(c) for c in shown.columns))
+
+
 def nearest_atoms(points: DataFrame, atoms: DataFrame, cell: Cell = CELL) -> DataFrame:
     """Nearest image of each point: atom, distance r and unit direction ux, uy, uz.
 
-    Images are a small broadcast side (atoms x shifts of one structure); the least is kept with map-side aggregation.
+    The least of a point's candidates is kept with map-side aggregation.
     """
-    met = points.join(F.broadcast(images(atoms, cell.reach, cell))).withColumn("r", _distance())
+    met = with_candidates(points, images(atoms, cell.reach, cell), cell, F.lit(1.0)).withColumn("r", _distance())
     key = F.struct(F.round("r", 8).alias("d"), *(t.alias(f"t{k}") for k, t in enumerate(_tie())))
     best = met.groupBy("vox").agg(F.min_by(F.struct("atom", "element", "r", "px", "py", "pz", "x", "y", "z"), key).alias("b"))
     away = lambda p, x: F.when(F.col("b.r") > 1e-12, F.try_divide(F.col(f"b.{x}") - F.col(f"b.{p}"), F.col("b.r"))).otherwise(0.0)
@@ -68,7 +90,7 @@ def nearest_atoms(points: DataFrame, atoms: DataFrame, cell: Cell = CELL) -> Dat
 
 def sphere_regions(points: DataFrame, atoms: DataFrame, a: float = SPHERE_A, b: float = SPHERE_B, cell: Cell = CELL) -> DataFrame:
     """Atom with the least r / radius of each point (ties: element, then the geometric rule), and its region."""
-    met = points.join(F.broadcast(images(with_radius(atoms), cell.reach, cell))).withColumn("r", _distance())
+    met = with_candidates(points, images(with_radius(atoms), cell.reach, cell), cell, F.col("radius")).withColumn("r", _distance())
     key = F.struct(F.round(F.col("r") / F.col("radius"), 9).alias("d"), F.col("element"), *(t.alias(f"t{k}") for k, t in enumerate(_tie())))
     best = met.groupBy("vox").agg(F.min_by(F.struct("atom", "element", "r", "radius"), key).alias("b"))
     return best.select("vox", F.col("b.atom").alias("sphere_atom"), F.col("b.r").alias("rs"), F.col("b.radius").alias("radius"), region(F.col("b.r"), F.col("b.radius"), F.lit(a), F.lit(b)).alias("region"))
@@ -95,7 +117,7 @@ def neighbour_edges(atoms: DataFrame, cutoff: float, cell: Cell = CELL) -> DataF
     return centres.join(F.broadcast(images(atoms, cutoff, cell))).withColumn("length", _distance()).where((F.col("length") <= cutoff) & (F.col("length") > 1e-9)).select("i", F.col("atom").alias("j"), "t1", "t2", "t3", "length")
 
 
-def becke_weights(points: DataFrame, atoms: DataFrame, k: int = 8, cells: int = 4, cell: Cell = CELL) -> DataFrame:
+def becke_weights(points: DataFrame, atoms: DataFrame, k: int = BECKE_K, cells: int = BECKE_CELLS, cell: Cell = CELL) -> DataFrame:
     """Weighted bridge (vox, atom, weight) of the fuzzy-cell partition over the k nearest images."""
     from pyspark.sql import Window
 

@@ -39,9 +39,9 @@ def voxelize(lineitem: DataFrame, size: int = SIZE) -> DataFrame:
     """A density from line items: quantities summed in cells of the keys' remainders, a structure a return flag, dense."""
     cell = [(F.col(c) % size).cast("int").alias(n) for c, n in (("l_orderkey", "i"), ("l_partkey", "j"), ("l_suppkey", "k"))]
     sums = lineitem.groupBy(F.col("l_returnflag").alias("structure_id"), *cell).agg(F.sum("l_quantity").cast("bigint").alias("held"))
-    # Both sides have at most (flags x size**3) rows, whatever the input.
-    index = lineitem.sparkSession.range(size**3).select((F.col("id") / size**2).cast("int").alias("i"), ((F.col("id") / size).cast("int") % size).alias("j"), (F.col("id") % size).cast("int").alias("k"), F.col("id").alias("vox"))
-    dense = sums.select("structure_id").distinct().join(F.broadcast(index))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size**3 - 1).cast("bigint"))).alias("vox")
+    place = [F.floor(F.col("vox") / s % size).cast("int").alias(n) for s, n in ((size**2, "i"), (size, "j"), (1, "k"))]
+    dense = sums.select("structure_id").distinct().select("structure_id", every).select("structure_id", *place, "vox")
     return dense.join(sums, ["structure_id", "i", "j", "k"], "left").select("structure_id", "i", "j", "k", "vox", F.coalesce("held", F.lit(0)).alias("rho"))
 
 

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import itertools
+import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rhoscape.storage import running_total
+from rhoscape.storage import quantiles, running_total
 
 
 def regression_scores(frame: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
-    """mae, rmse, r2 = 1 - SSE/SST (not a squared correlation) and the median absolute error, in one pass."""
+    """mae, rmse, r2 = 1 - SSE/SST (not a squared correlation) in one pass, and the median absolute error by counting."""
     error, value = F.col(y) - F.col(p), F.col(y)
     sst = F.var_pop(value) * F.count(value)
-    return frame.groupBy(*by).agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error**2)).alias("rmse"), (1 - F.try_divide(F.sum(error**2), sst)).alias("r2"), F.median(F.abs(error)).alias("median_ae"))
+    sums = frame.groupBy(*by).agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error**2)).alias("rmse"), (1 - F.try_divide(F.sum(error**2), sst)).alias("r2"))
+    return sums.join(quantiles(frame.select(*by, F.abs(error).alias("__e")), by, "__e", {"median_ae": 0.5}), by)
 
 
 def classification_scores(frame: DataFrame, y: str, p: str, by: list[str], bins: int | None = None) -> DataFrame:
@@ -78,25 +82,44 @@ def complete_linkage(matrix: DataFrame, columns: list[str], cut: float = 0.9) ->
         groups[best[1]] += groups.pop(best[2])
 
 
-def bootstrap_difference(frame: DataFrame, key: str, y: str, p: str, q: str, draws: int = 200) -> DataFrame:
-    """2.5 and 97.5 percentiles over paired resamples of r2(q) - r2(p).
+#: Chances that a Poisson(1) number is at most 0, 1, 2, ...
+POISSON = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(9)])
+#: Prime modulus and constants of the draws' hash (fixed values); all products stay within 63 bits.
+PRIME, MIX = 2_147_483_647, (48_271, 69_621, 16_807)
+#: Draws times rows that are weighed at once.
+WEIGHED = 2_000_000
 
-    A resample counts each row a hashed Poisson(1) number of times, so rows stay where they are: sums by draw are
-    combined map-side, and nothing is gathered or shuffled by row.
+
+def draw_weights(keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """How often each draw (a row) takes each key (a column): Poisson(1) numbers from a hash of both."""
+    x = (keys[None, :] % PRIME * MIX[0] + draws[:, None] * MIX[1] + MIX[2]) % PRIME
+    for constant in MIX:
+        x = (x * x + x * constant) % PRIME
+    return np.searchsorted(POISSON, x / PRIME, "right").astype(float)
+
+
+def bootstrap_difference(frame: DataFrame, key: str, y: str, p: str, q: str, draws: int = 2_000) -> DataFrame:
+    """2.5 and 97.5 percentiles over paired resamples of r2(q) - r2(p); key is a whole number that tells rows apart.
+
+    A resample takes each row a hashed Poisson(1) number of times, so rows stay where they are: a batch's rows are
+    weighed for all draws as a matrix, a task adds its batches up, and only sums by draw are shuffled.
     """
-    u = F.pmod(F.crc32(F.concat_ws(":", F.col("draw"), F.col(key)).cast("binary")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    limits, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(8):
-        total += term
-        limits.append(total)
-        term /= k + 1
-    times = sum((F.when(u >= limit, 1).otherwise(0) for limit in limits[1:]), F.when(u >= limits[0], 1).otherwise(0))
-    # draws is a parameter, so this side is small.
-    met = frame.join(F.broadcast(frame.sparkSession.range(draws).withColumnRenamed("id", "draw"))).withColumn("w", times.cast("double"))
-    v = F.col(y)
-    sse = lambda c: F.sum(F.col("w") * (v - F.col(c)) ** 2)
-    sums = met.groupBy("draw").agg((F.sum(F.col("w") * v * v) - F.sum(F.col("w") * v) ** 2 / F.sum("w")).alias("sst"), sse(p).alias("sp"), sse(q).alias("sq"))
-    return sums.agg(F.percentile(F.try_divide(F.col("sp") - F.col("sq"), F.col("sst")), F.array(F.lit(0.025), F.lit(0.975))).alias("ends")).select(F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+
+    def run(batches):
+        every, total = np.arange(draws), np.zeros((draws, 5))
+        for batch in batches:
+            keys, *values = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            v, one, other = (x.astype(float) for x in values)
+            terms = np.stack([np.ones(len(v)), v, v * v, (v - one) ** 2, (v - other) ** 2], 1)
+            step = max(1, WEIGHED // draws)
+            for at in range(0, len(v), step):
+                total += draw_weights(keys[at : at + step].astype(np.int64), every) @ terms[at : at + step]
+        yield pa.RecordBatch.from_arrays([pa.array(every), *(pa.array(total[:, k]) for k in range(5))], ["draw", "w", "s", "ss", "sp", "sq"])
+
+    rows = frame.select(F.col(key).cast("bigint"), *(F.col(c).cast("double") for c in (y, p, q))).dropna()
+    sums = rows.mapInArrow(run, "draw bigint, w double, s double, ss double, sp double, sq double").groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("w", "s", "ss", "sp", "sq")))
+    # A row a draw, whatever the rows.
+    return sums.agg(F.percentile(F.try_divide(F.col("sp") - F.col("sq"), F.col("ss") - F.try_divide(F.col("s") ** 2, F.col("w"))), F.array(F.lit(0.025), F.lit(0.975))).alias("ends")).select(F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
 
 
 def seed_summary(runs: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -110,6 +133,9 @@ def best_by(rows: DataFrame, by: list[str], name: str, score: str) -> DataFrame:
 
 def importance_shares(rows: DataFrame, by: str, name: str, value: str, top: int | None = None) -> DataFrame:
     """Shares of a group's total, largest first, optionally the top few."""
-    order = Window.partitionBy(by).orderBy(F.desc(value), name)
-    out = rows.withColumn("share", F.coalesce(F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(by))), F.lit(0.0))).withColumn("rank", F.row_number().over(order))
-    return out if top is None else out.where(F.col("rank") <= top)
+    shared = rows.join(rows.groupBy(by).agg(F.sum(value).alias("__all")), by).withColumn("share", F.coalesce(F.try_divide(F.col(value), F.col("__all")), F.lit(0.0))).drop("__all")
+    if top is not None:  # a bounded rank is limited before rows are dealt
+        order = Window.partitionBy(by).orderBy(F.desc(value), name)
+        return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ordered = shared.withColumn("__order", F.struct(-F.col(value), F.col(name))).withColumn("__one", F.lit(1))
+    return running_total(ordered, [by], "__order", "__one", "__before").withColumn("rank", (F.col("__before") + 1).cast("int")).drop("__before", "__order", "__one")

@@ -20,7 +20,7 @@ def histogram(frame: DataFrame, x: str, bins: int, by: list[str] | None = None,
     by = by or []
     if low is None or high is None:
         ends = frame.groupBy(*by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-        ranged = frame.join(F.broadcast(ends), by) if by else frame.join(F.broadcast(ends))
+        ranged = frame.join(ends, by) if by else frame.join(F.broadcast(ends))  # without groups, one row
     else:
         ranged = frame.where(F.col(x).between(low, high)).withColumn("__lo", F.lit(float(low))).withColumn("__hi", F.lit(float(high)))
     binned = ranged.where(F.col(x).isNotNull()).withColumn("bin", bin_of(F.col(x), F.col("__lo"), F.col("__hi"), bins))
@@ -60,7 +60,7 @@ def support_range(bins: DataFrame, tol: float, by: list[str]) -> DataFrame:
 def sampled(points: DataFrame, most: int) -> DataFrame:
     """A fixed pseudo-random choice of at most so many rows with the number of all rows."""
     total = points.agg(F.count("*").alias("total"))
-    return points.orderBy(F.xxhash64(*points.columns)).limit(most).join(F.broadcast(total))
+    return points.orderBy(F.md5(F.concat_ws(":", *points.columns).cast("binary"))).limit(most).join(F.broadcast(total))
 
 
 def basin_charges(voxels: DataFrame, basins: DataFrame, most: int | None = 40) -> DataFrame:

@@ -149,7 +149,7 @@ def renormalised(voxels: DataFrame, electrons: DataFrame, volume: float = CELL.v
     """Densities scaled to hold a structure's valence electrons; fails where a density holds no charge."""
     held = integrals(voxels, volume)
     factor = held.join(electrons, "structure_id").select("structure_id", F.when(F.col("integral") <= 0, F.raise_error(F.lit("the density holds no charge"))).otherwise(F.col("electrons") / F.col("integral")).cast("double").alias("factor"))
-    return voxels.join(F.broadcast(factor), "structure_id").withColumn("rho", F.col("rho") * F.col("factor")).drop("factor")
+    return voxels.join(factor, "structure_id").withColumn("rho", F.col("rho") * F.col("factor")).drop("factor")
 
 
 def valence_electrons(atoms: DataFrame) -> DataFrame:

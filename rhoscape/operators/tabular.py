@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rhoscape.storage import running_total
+
 
 def reindexed(base: DataFrame, others: dict[str, DataFrame], key: str) -> DataFrame:
     """base with the columns of each other table by key, left outer, prefixed by the table's name."""
@@ -64,12 +66,42 @@ def held_out_systems(rows: DataFrame, system: str = "system", split: str = "spli
 
 
 def size_matched_control(rows: DataFrame, key: str, system: str = "system", split: str = "split", seed: int = 0) -> DataFrame:
-    """As many rows dropped from each split as held_out_systems() drops, chosen by hash among the rows that it keeps."""
+    """As many rows dropped from each split as held_out_systems() drops, chosen by hash among the rows that it keeps.
+
+    Rows are numbered range by range in the order of their hash, so no task gathers a split.
+    """
     tested = rows.where(F.col(split) == "test").select(F.col(system)).distinct().withColumn("__tested", F.lit(True))
     marked = rows.join(tested, system, "left").withColumn("__shared", (F.col(split) != "test") & F.coalesce("__tested", F.lit(False)))
-    count = F.sum(F.col("__shared").cast("int")).over(Window.partitionBy(split))
-    rank = F.row_number().over(Window.partitionBy(split, "__shared").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return marked.withColumn("__n", count).withColumn("__rank", rank).where((F.col(split) == "test") | F.col("__shared") | (F.col("__rank") > F.col("__n"))).select(*rows.columns)
+    counts = marked.groupBy(split).agg(F.count_if("__shared").alias("__drop"))  # a row a split
+    ordered = marked.withColumn("__order", F.struct(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))).withColumn("__one", F.when(F.col("__shared"), 0).otherwise(1))
+    numbered = running_total(ordered, [split], "__order", "__one", "__before").join(counts, split)
+    return numbered.where((F.col(split) == "test") | F.col("__shared") | (F.col("__before") >= F.col("__drop"))).select(*rows.columns)
+
+
+def relabelled(rows: DataFrame, aside: DataFrame, key: str, split: str = "split") -> DataFrame:
+    """Rows whose key is set aside become the test rows, former test rows without one are left aside, others stay."""
+    marked = rows.join(aside.select(key).distinct().withColumn("__aside", F.lit(True)), key, "left")
+    label = F.when(F.col("__aside"), "test").when(F.col(split) == "test", "aside").otherwise(F.col(split))
+    return marked.select(*(label.alias(split) if c == split else F.col(c) for c in rows.columns))
+
+
+def numbered(rows: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """Occurrence numbers from 1 within groups, in an order; counted range by range, so no task gathers a group."""
+    return running_total(rows.withColumn("__one", F.lit(1)), [by], order, "__one", name).withColumn(name, F.col(name) + 1).drop("__one")
+
+
+def conditional_label(condition: Column, value: Column, yes: str, no: str) -> Column:
+    """yes or no by a true value, only where the condition holds; null elsewhere and for unknown values."""
+    return F.when(condition, F.when(value, yes).when(~value, no))
+
+
+def containing(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """Rows of which any of some columns contains a text, whatever the case; the empty text is in all."""
+    asked = text.lower()
+    hit = F.lit(asked == "")
+    for c in columns:
+        hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(asked)), F.lit(False))
+    return rows.where(hit)
 
 
 def coverage(rows: DataFrame, columns: list[str], split: str = "split") -> DataFrame:

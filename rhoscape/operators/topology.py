@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rhoscape.kernels import topology
 from rhoscape.kernels.lattice import Cell
 from rhoscape.operators.grid import CELL, SIZE, neighbour
-from rhoscape.storage import materialise
+from rhoscape.storage import discard, materialise
 
 
 def _offsets(voxels: DataFrame, table: np.ndarray, cell: Cell, size: int) -> DataFrame:
@@ -69,13 +69,15 @@ def ascent_basins(voxels: DataFrame, size: int = SIZE, cell: Cell = CELL) -> Dat
 
     A logarithmic number of self-joins, each cut by a table in shared storage, until no pointer moves.
     """
-    to = materialise(ascent_pointers(voxels, size, cell), "pointers")
+    stored = materialise(ascent_pointers(voxels, size, cell), "pointers")
     while True:
+        to = stored.select("structure_id", "vox", "to")
         further = to.select("structure_id", F.col("vox").alias("to"), F.col("to").alias("next"))
         moved = materialise(to.join(further, ["structure_id", "to"]).select("structure_id", "vox", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "pointers")
-        to = moved.drop("moved")
+        discard(stored)
+        stored = moved
         if moved.where("moved").isEmpty():
-            return to
+            return moved.drop("moved")
 
 
 def percolation(voxels: DataFrame, size: int = SIZE) -> DataFrame:
