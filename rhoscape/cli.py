@@ -1,4 +1,4 @@
-"""Command line: featurize, batch, catalogue, sweep. Exit codes: 0 done, 1 nothing matched or a row failed, 2 usage."""
+"""Command line: featurize, batch, catalogue, sweep, predict. Exit codes: 0 done, 1 nothing matched or a row failed, 2 usage."""
 
 from __future__ import annotations
 
@@ -36,9 +36,36 @@ def build() -> argparse.ArgumentParser:
             sub.add_argument("--a-values", default="0.79")
             sub.add_argument("--b-values", default="1.14")
         sub.add_argument("--out")
+    sub = commands.add_parser("predict", help="densities of structures by a plug-in model, written as volumetric files")
+    sub.add_argument("path")
+    sub.add_argument("--model", default="rhoscape.plans.predict:gaussians", help="module:function of a density model")
+    sub.add_argument("--encut", type=float, default=500.0, help="energy cutoff in eV that grids are made for")
+    sub.add_argument("--precision", default="accurate", choices=("accurate", "normal"))
+    sub.add_argument("--out", required=True)
     return parser
 
 
+def _predicted(spark, args) -> int:
+    """Write the predicted densities of all readable structures below a path; report those that can't be read."""
+    from importlib import import_module
+
+    from rhoscape.plans.predict import packed_predictions, sized
+    from rhoscape.sources.density import write_densities
+    from rhoscape.sources.structures import read_structures, structure_files
+
+    module, _, name = args.model.partition(":")
+    found = read_structures(structure_files(spark, args.path))
+    bad = found.where("error <> ''").select("path", "error").collect()
+    for row in bad:
+        print(f"{row['path']}: {row['error']}", file=sys.stderr)
+    good = sized(found.where("error = ''"), args.encut, args.precision)
+    if good.isEmpty():
+        print(f"no structure below {args.path}", file=sys.stderr)
+        return 1
+    write_densities(packed_predictions(good, getattr(import_module(module), name)), args.out).select("path", "file").show(1000, truncate=False)
+    return 1 if bad else 0
+
+
 def finite(value):
     return None if isinstance(value, float) and not math.isfinite(value) else value
 
@@ -48,6 +75,8 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.getOrCreate()
+    if args.command == "predict":
+        return _predicted(spark, args)
     if args.command == "catalogue":
         from rhoscape.plans.registry import catalogue
 

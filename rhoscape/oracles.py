@@ -5,11 +5,12 @@ from __future__ import annotations
 import itertools
 import math
 
-from rhoscape.constants import COULOMB, DENSITY_TO_AU, FIRST, GRADIENT_TO_AU, GRADES, RADIAL_BIN, RATIO_BIN, S_PREFACTOR, SECOND, SPHERE_A, SPHERE_B
+from rhoscape.constants import BECKE_CELLS, BECKE_K, COULOMB, DENSITY_TO_AU, FIRST, GRADIENT_TO_AU, GRADES, RADIAL_BIN, RATIO_BIN, S_PREFACTOR, SECOND, SPHERE_A, SPHERE_B
 from rhoscape.elements import COVALENT_RADIUS, SYMBOLS, ZVAL
 from rhoscape.functions.chemistry import F_ELEMENTS
 from rhoscape.kernels import topology
 from rhoscape.kernels.spectral import PAIRS
+from rhoscape.operators import metrics
 from rhoscape.operators.geometry import ATOMS
 from rhoscape.operators.geometry import SYMBOLS as BOUND
 from rhoscape.operators.grid import CELL, GRID_FACTOR, SCALE, SIZE, smooth_sizes
@@ -157,12 +158,12 @@ bk AS (SELECT *, (i, j, t1, t2, t3) > (j, i, -t1, -t2, -t3) AS flip FROM bs WHER
 bo AS (SELECT CASE WHEN flip THEN j ELSE i END AS i, CASE WHEN flip THEN i ELSE j END AS j, CASE WHEN flip THEN -t1 ELSE t1 END AS t1, CASE WHEN flip THEN -t2 ELSE t2 END AS t2, CASE WHEN flip THEN -t3 ELSE t3 END AS t3, min(length) AS length FROM bk GROUP BY 1, 2, 3, 4, 5)"""
 
 
-def neighbours(table) -> str:
+def neighbours(table, off: str = "off", nb: str = "nb") -> str:
     step = CELL.rows / N
     rows = [(*map(int, o), k, float((o @ step @ (o @ step)) ** 0.5)) for k, o in enumerate(table)]
-    return f"""off AS (SELECT * FROM {values(rows, "di, dj, dk, bit, length")}),
-nb AS (SELECT v.structure_id, v.vox, v.rho, bit, length, w.rho AS there, w.vox AS too, w.rho < v.rho OR (w.rho = v.rho AND w.vox < v.vox) AS lower
-    FROM vx v CROSS JOIN off JOIN vx w ON w.structure_id = v.structure_id AND w.i = (v.i + di + {N}) % {N} AND w.j = (v.j + dj + {N}) % {N} AND w.k = (v.k + dk + {N}) % {N})"""
+    return f"""{off} AS (SELECT * FROM {values(rows, "di, dj, dk, bit, length")}),
+{nb} AS (SELECT v.structure_id, v.vox, v.rho, bit, length, w.rho AS there, w.vox AS too, w.rho < v.rho OR (w.rho = v.rho AND w.vox < v.vox) AS lower
+    FROM vx v CROSS JOIN {off} JOIN vx w ON w.structure_id = v.structure_id AND w.i = (v.i + di + {N}) % {N} AND w.j = (v.j + dj + {N}) % {N} AND w.k = (v.k + dk + {N}) % {N})"""
 
 
 BASINS = f"""{neighbours(topology.CUBE)},
@@ -229,8 +230,8 @@ ORACLES: dict[str, str] = {
     "bond_census": f"WITH {ATOM}, {bonds()} SELECT i, j, t1, t2, t3, {r6('length')} FROM bo",
     "neighbor_edges": f"WITH {ATOM}, {images('bi', 4.05)}, ce AS (SELECT atom AS i, px AS x, py AS y, pz AS z FROM bi WHERE t1 = 0 AND t2 = 0 AND t3 = 0), ed AS (SELECT i, atom AS j, t1, t2, t3, {DIST} AS length FROM ce CROSS JOIN bi) SELECT i, j, t1, t2, t3, {r6('length')} FROM ed WHERE length <= 4.05 AND length > 1e-9",
     "becke_weights": f"""WITH {INDEX}, {POINTS}, {ATOM}, {images("bi", 2 * CELL.reach)},
-        nr AS (SELECT vox, atom, {DIST} AS d, px, py, pz, row_number() OVER (PARTITION BY vox ORDER BY round({DIST}, 8), {TIE}) AS rank FROM pts CROSS JOIN bi QUALIFY rank <= 8),
-        mu0 AS (SELECT l.vox, l.rank, l.atom, (l.d - r.d) / sqrt((l.px - r.px) * (l.px - r.px) + (l.py - r.py) * (l.py - r.py) + (l.pz - r.pz) * (l.pz - r.pz)) AS mu FROM nr l JOIN nr r ON l.vox = r.vox AND l.rank <> r.rank WHERE l.rank <= 4),
+        nr AS (SELECT vox, atom, {DIST} AS d, px, py, pz, row_number() OVER (PARTITION BY vox ORDER BY round({DIST}, 8), {TIE}) AS rank FROM pts CROSS JOIN bi QUALIFY rank <= {BECKE_K}),
+        mu0 AS (SELECT l.vox, l.rank, l.atom, (l.d - r.d) / sqrt((l.px - r.px) * (l.px - r.px) + (l.py - r.py) * (l.py - r.py) + (l.pz - r.pz) * (l.pz - r.pz)) AS mu FROM nr l JOIN nr r ON l.vox = r.vox AND l.rank <> r.rank WHERE l.rank <= {BECKE_CELLS}),
         mu1 AS (SELECT * REPLACE (mu * (1.5 - 0.5 * mu * mu) AS mu) FROM mu0), mu2 AS (SELECT * REPLACE (mu * (1.5 - 0.5 * mu * mu) AS mu) FROM mu1), mu3 AS (SELECT * REPLACE (mu * (1.5 - 0.5 * mu * mu) AS mu) FROM mu2),
         pr AS (SELECT vox, rank, atom, product(0.5 * (1 - mu)) AS p FROM mu3 GROUP BY ALL), w1 AS (SELECT *, p / sum(p) OVER (PARTITION BY vox) AS w FROM pr), w2 AS (SELECT vox, atom, w / sum(w) OVER (PARTITION BY vox) AS w FROM w1 WHERE w > 1e-10)
         SELECT vox, atom, {r6("sum(w) AS weight")} FROM w2 GROUP BY vox, atom""",
@@ -284,10 +285,11 @@ ORACLES: dict[str, str] = {
     "element_table": "SELECT z, symbol, covalent_radius, zval::DOUBLE AS zval FROM " + values([(z, f"'{s}'", num(COVALENT_RADIUS[s]) if s in COVALENT_RADIUS else "NULL", ZVAL.get(s, "NULL")) for z, s in enumerate(SYMBOLS, 1)], "z, symbol, covalent_radius, zval"),
     "inverse_transform": f"SELECT p_partkey, {r6('greatest(pow(10.0, z), 20.0) AS log10', 'exp(z) - 1 AS log1p', 'greatest(z - 1.5, 0.0) AS plain')}, CASE WHEN z > 0 THEN greatest(0, 1 - floor(log10(z))::INT) ELSE 3 END::INT AS decimals FROM (SELECT p_partkey, p_retailprice / 1000.0 AS z FROM part)",
 }
+DIMENSIONS = 64
 RANKED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 _RANKS = "rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in RANKED) + " FROM lineitem)"
 _PAIRS = "sm AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, coalesce(corr({a}, {b}), 0) AS rho FROM rk" for a, b in itertools.combinations(RANKED, 2)) + ")"
-_FEATURES = "fe AS (SELECT vec_id, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(8)) + " FROM embeddings), lo AS (" + " UNION ALL ".join(f"SELECT vec_id, 'x{k}' AS name, x{k} AS value FROM fe" for k in range(8)) + "), rg AS (SELECT name, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM lo GROUP BY name)"
+_FEATURES = "fe AS (SELECT vec_id, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(DIMENSIONS)) + " FROM embeddings), lo AS (" + " UNION ALL ".join(f"SELECT vec_id, 'x{k}' AS name, x{k} AS value FROM fe" for k in range(DIMENSIONS)) + "), rg AS (SELECT name, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM lo GROUP BY name)"
 _SYSTEMS = """sy0 AS (SELECT o_custkey, array_to_string(list_sort(list_distinct(list(substr(o_orderpriority, 1, 1)))), '-') AS system FROM orders GROUP BY o_custkey),
 sy AS (SELECT *, CASE WHEN o_custkey % 10 = 0 THEN 'test' WHEN o_custkey % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM sy0), sh AS (SELECT *, split <> 'test' AND system IN (SELECT system FROM sy WHERE split = 'test') AS shared FROM sy)"""
 
@@ -307,9 +309,9 @@ ORACLES |= {
     "feature_range": f"WITH {_FEATURES} SELECT name, {r6('low', 'high')} FROM rg",
     "outside_range": f"WITH {_FEATURES} SELECT vec_id, name, {r6('value')} FROM lo JOIN rg USING (name) WHERE low < high AND NOT value BETWEEN low AND high",
     "tolerant_match": f"WITH {_FEATURES}, q AS (SELECT vec_id, "
-    + ", ".join(f"CASE WHEN vec_id % 2 = 0 THEN x{k} * (1 + 1e-7::DOUBLE) ELSE x{k} + 1 END AS x{k}" for k in range(8))
+    + ", ".join(f"CASE WHEN vec_id % 2 = 0 THEN x{k} * (1 + 1e-7::DOUBLE) ELSE x{k} + 1 END AS x{k}" for k in range(DIMENSIONS))
     + " FROM fe WHERE vec_id % 3 = 0), h AS (SELECT q.vec_id AS query, d.vec_id AS m FROM q JOIN fe d ON "
-    + " AND ".join(f"abs(d.x{k} - q.x{k}) <= 1e-12 + 1e-5 * abs(q.x{k})" for k in range(8))
+    + " AND ".join(f"abs(d.x{k} - q.x{k}) <= 1e-12 + 1e-5 * abs(q.x{k})" for k in range(DIMENSIONS))
     + ') SELECT query, min(m) AS "match" FROM h GROUP BY query HAVING count(*) = 1',
     "held_out_systems": f"WITH {_SYSTEMS} SELECT split, count(*) AS n, count(DISTINCT system) AS systems, sum(o_custkey)::BIGINT AS keys FROM sh WHERE NOT shared GROUP BY split",
     "control_split": f"WITH {_SYSTEMS} SELECT split, greatest(count(*) - sum(shared::INT), sum(shared::INT))::BIGINT AS n FROM sh GROUP BY split",
@@ -342,3 +344,99 @@ ORACLES |= {
         SELECT "set", count(*) AS n, sum(key)::BIGINT AS total FROM s GROUP BY 1""",
     "bundle_scoring": f"WITH {_FEATURES} SELECT vec_id, round(greatest(pow(10.0, CASE WHEN x0 <= 0 THEN 0.5 WHEN x1 <= 0.1 THEN 1 ELSE 2 END), 4.0), 6) + 0.0 AS y FROM fe",
 }
+
+
+def _catalogue() -> str:
+    from rhoscape.options import DOMAINS
+    from rhoscape.plans.registry import selected
+
+    text = lambda v: "'" + str(v).replace("'", "''") + "'"
+    double = lambda v: f"'{'-' if v < 0 else ''}inf'::DOUBLE" if math.isinf(v) else num(v)
+    rows = [(text(d.name), text(d.domain), text(d.source), text(",".join(d.requires)), text(d.units), double(d.range[0]), double(d.range[1]), str(d.intensive).lower(), text(";".join(f"{k}={v}" for k, v in d.cases.items())), text(d.formula)) for d in selected(DOMAINS)]
+    return f"ct AS (SELECT * FROM {values(rows, 'name, domain, field, requires, units, range_min, range_max, intensive, sentinel_cases, formula')})"
+
+
+def _positive(size: int, entry) -> str:
+    """Pivots p0, p1, ... of the symmetric elimination of a matrix with SQL entries (i <= j), step by step."""
+    name = lambda k, i, j: f"m{k}_{min(i, j)}_{max(i, j)}"
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    steps = ["e0 AS (SELECT p_partkey, " + ", ".join(f"{entry(i, j)} AS {name(0, i, j)}" for i, j in pairs) + " FROM part)"]
+    for k in range(1, size):
+        left = [(i, j) for i, j in pairs if i >= k]
+        steps.append(f"e{k} AS (SELECT *, " + ", ".join(f"{name(k - 1, i, j)} - {name(k - 1, k - 1, i)} * {name(k - 1, k - 1, j)} / {name(k - 1, k - 1, k - 1)} AS {name(k, i, j)}" for i, j in left) + f" FROM e{k - 1})")
+    good = " AND ".join(f"{name(k, k, k)} > 0" for k in range(size))
+    return f"WITH {', '.join(steps)} SELECT p_partkey, coalesce({good}, false) AS stable FROM e{size - 1}"
+
+
+_LINK = topology.SIMPLEX.tolist()
+_TOUCH = [(a, b) for a, p in enumerate(_LINK) for b, q in enumerate(_LINK) if [y - x for x, y in zip(p, q)] in _LINK]
+_PRIME, _MIX = metrics.PRIME, metrics.MIX
+_PRICED = "pr AS (SELECT l_returnflag, l_orderkey * 8 + l_linenumber AS k, l_extendedprice AS y, p_retailprice * l_quantity AS p, l_quantity * 1500.0::DOUBLE AS q FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_RATED = "ra AS (SELECT quality, n_chars / (n_chars + 2000.0::DOUBLE) AS p, (n_chars % 97) / 97.0::DOUBLE AS q FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL)"
+_AUC = lambda c: f"(SELECT (sum(CASE WHEN quality = 1 THEN k ELSE 0 END) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0) / (count(*) FILTER (quality = 1) * (count(*) - count(*) FILTER (quality = 1))) FROM (SELECT quality, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS k FROM ra WHERE quality IS NOT NULL))"
+_BIN = lambda x, lo, hi, n: f"least(floor(({x} - {lo}) / ({hi} - {lo}) * {n}), {n - 1})::INT"
+_TENSOR = f"""st AS (SELECT * FROM fu WHERE gn > 1e-9), gs AS (SELECT structure_id, {", ".join(f"sum(g{p[0]} * g{p[1]}) / sum(gn * gn) AS t{p}" for p in ("xx", "yy", "zz", "xy", "xz", "yz"))} FROM st GROUP BY structure_id),
+{eigen("gs", "te", ("t1", "t2", "t3"), ("txx", "tyy", "tzz", "txy", "txz", "tyz"))},
+un AS (SELECT structure_id, gn, t1, t2, t3, gx / gn AS a, gy / gn AS b, gz / gn AS c, txx, tyy, tzz, txy, txz, tyz FROM st JOIN te USING (structure_id) WHERE t2 - t1 > 1e-9 AND t3 - t2 > 1e-9),
+tu AS (SELECT *, txx * a + txy * b + txz * c AS ta, txy * a + tyy * b + tyz * c AS tb, txz * a + tyz * b + tzz * c AS tc FROM un),
+mm AS (SELECT *, a * a + b * b + c * c AS m0, a * ta + b * tb + c * tc AS m1, ta * ta + tb * tb + tc * tc AS m2 FROM tu)"""
+_AXIS = lambda k, i, j: f"SELECT structure_id, gn, 'c{k}' AS axis, greatest(round(least((m2 - (t{i} + t{j}) * m1 + t{i} * t{j} * m0) / ((t{k} - t{i}) * (t{k} - t{j})), 1.0), 9), 0.0) AS x FROM mm"
+_EDGES = [(m, n) for m, n in itertools.combinations(range(8), 2) if bin(m ^ n).count("1") == 1]
+_CORNER = lambda m: [float(sum((m >> (2 - a) & 1) * CELL.rows[a, c] for a in range(3))) for c in range(3)]
+_LEAVES, _P, _Q = (0.5, 1.0, 2.0), num(300 / 500), num(80 / 200)
+_RIGHT = f"({_Q} * {_LEAVES[1]} + (1 - {_Q}) * {_LEAVES[2]})"
+_SECOND = f"(CASE WHEN x1 <= 0.1 THEN {_LEAVES[1]} ELSE {_LEAVES[2]} END)"
+_KNOWN = {
+    "v": f"({_P} * {_LEAVES[0]} + (1 - {_P}) * {_RIGHT})",
+    "v0": f"(CASE WHEN x0 <= 0 THEN {_LEAVES[0]} ELSE {_RIGHT} END)",
+    "v1": f"({_P} * {_LEAVES[0]} + (1 - {_P}) * {_SECOND})",
+    "v01": f"(CASE WHEN x0 <= 0 THEN {_LEAVES[0]} ELSE {_SECOND} END)",
+}
+_SHAP = f"""sv AS (SELECT {", ".join(f"{v} AS {n}" for n, v in _KNOWN.items())} FROM fe), si AS (SELECT avg(abs(((v0 - v) + (v01 - v1)) / 2)) AS a, avg(abs(((v1 - v) + (v01 - v0)) / 2)) AS b FROM sv),
+sf AS (SELECT 'x0' AS feature, a AS mean_abs FROM si UNION ALL SELECT 'x1', b FROM si UNION ALL SELECT 'x' || k, 0.0 FROM range(2, {DIMENSIONS}) t(k))"""
+ORACLES |= {
+    "extremum_census": f"""WITH RECURSIVE {GRID}, {neighbours(topology.CUBE)}, {neighbours(topology.SIMPLEX, "off2", "nb2")}, cu AS (SELECT structure_id, vox, bool_and(lower) AS top, bool_and(NOT lower) AS low FROM nb GROUP BY ALL),
+        li AS (SELECT structure_id, vox, sum(CASE WHEN lower THEN 1 << bit ELSE 0 END)::INT AS link FROM nb2 GROUP BY ALL), ma AS (SELECT link AS mask FROM li UNION SELECT {2 ** len(_LINK) - 1} - link FROM li), bi AS (SELECT k::INT AS a FROM range({len(_LINK)}) t(k)), ad AS (SELECT * FROM {values(_TOUCH, "a, b")}),
+        re AS (SELECT mask, a, a AS b FROM ma, bi WHERE (mask >> a) & 1 = 1 UNION SELECT re.mask, re.a, ad.b FROM re JOIN ad ON ad.a = re.b WHERE (re.mask >> ad.b) & 1 = 1),
+        pa AS (SELECT mask, count(*) AS parts FROM (SELECT mask, a FROM re GROUP BY ALL HAVING min(b) = a) GROUP BY mask),
+        sa AS (SELECT structure_id, sum(x.parts - 1)::BIGINT AS n_saddle1, sum(y.parts - 1)::BIGINT AS n_saddle2 FROM li JOIN pa x ON x.mask = link JOIN pa y ON y.mask = {2 ** len(_LINK) - 1} - link GROUP BY structure_id),
+        ex AS (SELECT structure_id, count(*) FILTER (top) AS n_max, count(*) FILTER (low) AS n_min FROM cu GROUP BY structure_id)
+        SELECT structure_id, n_max, n_min, n_saddle1, n_saddle2, n_max - n_saddle2 + n_saddle1 - n_min AS euler FROM ex JOIN sa USING (structure_id)""",
+    "sampled_extrema": f"WITH {GRID}, {neighbours(topology.CUBE)}, mk AS (SELECT structure_id, vox, sum(CASE WHEN lower THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS bits FROM nb GROUP BY ALL), pk AS (SELECT * FROM mk WHERE bits IN (0, {2**26 - 1})) SELECT *, (SELECT count(*) FROM pk) AS total FROM pk ORDER BY md5(structure_id || ':' || vox || ':' || bits) LIMIT 20",
+    "json_rows": """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '","x":' || CASE WHEN r_regionkey = 2 THEN 'null' ELSE (r_regionkey / 2.0)::DOUBLE::VARCHAR END || '}' AS json FROM region""",
+    # Simpson's rule on 400 intervals.
+    "error_function": f"SELECT p_partkey, round({num(2 / math.sqrt(math.pi))} * x / 1200 * list_sum(list_transform(range(0, 401), lambda k: CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-(k * x / 400) * (k * x / 400)))), 6) + 0.0 AS erf FROM (SELECT p_partkey, (p_size - 25) / 10.0::DOUBLE AS x FROM part)",
+    "catalogue": f"WITH {_catalogue()} SELECT * FROM ct",
+    "found_descriptors": f"WITH {_catalogue()} SELECT name, domain FROM ct WHERE domain = 'bonding' AND (contains(lower(name), 'charge') OR contains(lower(formula), 'charge'))",
+    "featurize_relational": "SELECT * FROM " + " JOIN ".join(f"({ORACLES[n]})" + (" USING (structure_id)" if k else "") for k, n in enumerate(("moments", "laplacian_shares", "gradient_shape", "information", "site_statistics", "non_nuclear_maxima"))),
+    "density_round_trip": f"WITH {GRID} SELECT structure_id AS path, {ATOMS} AS n_atoms, '{N}x{N}x{N}' AS shape, round(sum(rho) * {num(SCALE)}, 6) + 0.0 AS total, '' AS error FROM vx GROUP BY structure_id",
+    "born_stability": _positive(6, lambda i, j: "39.0 + p_size::DOUBLE" if i == j else f"p_size * {1.0 + (i + j) % 3}::DOUBLE / 3.0"),
+    "predict_density": f"""WITH {INDEX}, {POINTS}, {ATOM}, {images("im", 4.0)}, el AS (SELECT sum(z) AS e FROM atom JOIN (SELECT * FROM {values([(f"'{e}'", ZVAL[e]) for e in BOUND], "element, z")}) USING (element)),
+        pd AS (SELECT vox, sum(CASE WHEN {DIST} <= 4.0 THEN exp(-pow({DIST} / radius, 2)) ELSE 0 END) AS raw FROM pts CROSS JOIN im GROUP BY vox) SELECT vox, {r6(f"raw * e / (avg(raw) OVER () * {num(CELL.volume)}) AS rho")} FROM pd, el""",
+    "bootstrap_interval": f"""WITH {_PRICED}, h0 AS (SELECT y, p, q, d, (k % {_PRIME} * {_MIX[0]} + d * {_MIX[1]} + {_MIX[2]}) % {_PRIME} AS x FROM pr CROSS JOIN range(2000) t(d)),
+        {", ".join(f"h{n} AS (SELECT * REPLACE ((x * x + x * {c}) % {_PRIME} AS x) FROM h{n - 1})" for n, c in enumerate(_MIX, 1))},
+        wt AS (SELECT d, y, p, q, {" + ".join(f"(x / {num(_PRIME)} >= {num(limit)})::INT" for limit in metrics.POISSON)} AS w FROM h{len(_MIX)}),
+        dr AS (SELECT d, (sum(w * (y - p) * (y - p)) - sum(w * (y - q) * (y - q))) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)) AS gain FROM wt GROUP BY d)
+        SELECT {r6("quantile_cont(gain, 0.025) AS low", "quantile_cont(gain, 0.975) AS high")} FROM dr""",
+    "zeta_angles": f"WITH {FULL}, za AS (SELECT structure_id, gn, round(least(abs(gx * ux + gy * uy + gz * uz) / gn, 1.0), 9) AS x FROM fu WHERE gn > 1e-9) SELECT structure_id, {_BIN('x', '0.0', '1.0', 50)} AS bin, {r6('sum(gn) AS amount', digits=4)} FROM za GROUP BY 1, 2",
+    "tensor_angles": f"WITH {FULL}, {_TENSOR}, ax AS ({_AXIS(1, 2, 3)} UNION ALL {_AXIS(2, 1, 3)} UNION ALL {_AXIS(3, 1, 2)}) SELECT structure_id, axis, {_BIN('x', '0.0', '1.0', 50)} AS bin, {r6('sum(gn * gn) AS amount', digits=2)} FROM ax GROUP BY 1, 2, 3",
+    "ellipticity_values": f"WITH {CURVED}, el AS (SELECT structure_id, round(least(1 - l2 / l1, 1.0), 9) AS x FROM cu WHERE region = 'bond' AND l2 < 0) SELECT structure_id, {_BIN('x', '0.0', '1.0', 50)} AS bin, count(*) AS amount FROM el WHERE x BETWEEN 0 AND 1 GROUP BY 1, 2",
+    "signed_densities": f"WITH {CURVED}, sg AS (SELECT structure_id, l2 < 0 AS attractive, round(sign(l2) * rho_au, 9) AS x FROM cu WHERE s < 3.0 AND rho_au < 0.05) SELECT structure_id, attractive, {_BIN('x', num(-0.05), num(0.05), 120)} AS bin, count(*) AS amount FROM sg WHERE x BETWEEN -0.05 AND 0.05 GROUP BY 1, 2, 3",
+    "interstitial_values": f"WITH {PLACED}, iv AS (SELECT *, min(rho) OVER (PARTITION BY structure_id) AS lo, max(rho) OVER (PARTITION BY structure_id) AS hi FROM pl) SELECT structure_id, {_BIN('rho', 'lo', 'hi', 120)} AS bin, count(*) AS voxels, count(*) FILTER (region = 'int') AS interstitial FROM iv GROUP BY 1, 2",
+    "least_voxel": f"WITH {PLACED} SELECT structure_id, vox, rho, atom, element, {r6('r')} FROM pl QUALIFY row_number() OVER (PARTITION BY structure_id ORDER BY rho, vox) = 1",
+    "site_frame": f"WITH {FULL}, {sites('fu')}, v AS (SELECT structure_id, atom, element, round(m1, 9) AS m FROM si) SELECT structure_id, atom, element || row_number() OVER (PARTITION BY structure_id, element ORDER BY atom) AS label, {r6('m AS value', 'avg(m) OVER w AS mean', 'stddev_pop(m) OVER w AS spread')}, m = max(m) OVER w AS highest, m = min(m) OVER w AS lowest FROM v WINDOW w AS (PARTITION BY structure_id)",
+    "element_boxes": f"WITH w AS (SELECT count(*) AS n, avg(p_retailprice) AS m FROM part) SELECT 'all' AS structure_id, p_brand AS element, count(*) AS sites, {r6('count(*) / any_value(n) AS share', 'avg(p_retailprice) - any_value(m) AS offset', 'var_pop(p_retailprice) AS variance', 'min(p_retailprice) AS low', 'quantile_cont(p_retailprice, 0.25) AS quarter', 'median(p_retailprice) AS middle', 'quantile_cont(p_retailprice, 0.75) AS three_quarters', 'max(p_retailprice) AS high')} FROM part, w GROUP BY p_brand",
+    "bond_types": f"""WITH {GRID}, {ATOM}, {bonds()}, {transform(False)}, mp AS (SELECT bo.*, a.element AS ea, b.element AS eb, 0.5 * (a.fx + b.fx + t1) AS u1, 0.5 * (a.fy + b.fy + t2) AS u2, 0.5 * (a.fz + b.fz + t3) AS u3 FROM bo JOIN atom a ON a.atom = i JOIN atom b ON b.atom = j),
+        mv AS (SELECT structure_id, i, j, t1, t2, t3, length, least(ea, eb) || '-' || greatest(ea, eb) AS pair, {SYNTH} AS v FROM am CROSS JOIN mp GROUP BY ALL) SELECT structure_id, pair, count(*) AS bonds, {r6("avg(v) AS mean", "stddev_pop(v) AS spread", "avg(length) AS length")} FROM mv GROUP BY 1, 2""",
+    "maxima_by_ratio": f"WITH RECURSIVE {GRID}, {BASINS}, {GEOMETRY}, mr AS (SELECT structure_id, floor(round(rs / radius, 9) / {num(5 * RATIO_BIN)})::INT AS bin, region = 'core' AS core FROM ba JOIN sr USING (vox) WHERE vox = basin) SELECT structure_id, bin, count(*) FILTER (core) AS nuclear, count(*) FILTER (NOT core) AS other, bin * {num(5 * RATIO_BIN)} <= {num(SPHERE_A)} AND {num(SPHERE_A)} < (bin + 1) * {num(5 * RATIO_BIN)} AS marks_core FROM mr GROUP BY 1, 2",
+    "cell_edges": f"SELECT structure_id, start, stop, {r6('x0', 'y0', 'z0', 'x1', 'y1', 'z1')} FROM (SELECT DISTINCT l_returnflag AS structure_id FROM lineitem) CROSS JOIN {values([(m, n, *_CORNER(m), *_CORNER(n)) for m, n in _EDGES], 'start, stop, x0, y0, z0, x1, y1, z1')}",
+    "parity": f"WITH {_PRICED} SELECT l_returnflag, {r6('greatest(least(min(y), min(p)), 1e-3) AS low', 'greatest(max(y), max(p)) AS high')}, count(*) FILTER (p > y) AS above, count(*) FILTER (p < y) AS below, count(*) AS n FROM pr GROUP BY 1",
+    "paired_evaluation": f"WITH {_PRICED} SELECT l_returnflag, count(*) AS n_test, {r6('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS p_r2', '1 - sum((y - q) * (y - q)) / (var_pop(y) * count(*)) AS q_r2', 'avg(abs(y - p)) AS p_mae', 'avg(abs(y - q)) AS q_mae', '1 - sum((p - q) * (p - q)) / (var_pop(p) * count(*)) AS agree_r2')} FROM pr GROUP BY 1",
+    "paired_classes": f"WITH {_RATED} SELECT 'all' AS \"all\", round(avg(((p >= 0.5) = (q >= 0.5))::INT), 6) + 0.0 AS same_class, round({_AUC('p')}, 6) AS p_auc, round({_AUC('q')}, 6) AS q_auc FROM ra",
+    "class_histogram": f"WITH {_RATED}, ch AS (SELECT quality, round(p, 9) AS x FROM ra WHERE quality IS NOT NULL) SELECT quality, {_BIN('x', '0.0', '1.0', 20)} AS bin, count(*) AS amount FROM ch WHERE x BETWEEN 0 AND 1 GROUP BY 1, 2",
+    "relabelled_split": f"WITH {_SYSTEMS} SELECT CASE WHEN o_custkey % 7 = 0 THEN 'test' WHEN split = 'test' THEN 'aside' ELSE split END AS split, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM sy GROUP BY 1",
+    "gap_labels": "SELECT p_partkey, CASE WHEN p_size > 10 AND p_partkey % 5 > 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'direct' ELSE 'indirect' END END AS gap FROM part",
+    "importance_melt": f"WITH {_FEATURES}, im AS (SELECT name, avg(abs(value)) AS g FROM lo GROUP BY name) SELECT 'm' AS model, name, {r6('g AS gain', 'g / sum(g) OVER () AS share')}, row_number() OVER (ORDER BY g DESC, name)::INT AS rank FROM im",
+    "shap_importances": f"WITH {_FEATURES}, {_SHAP} SELECT feature, {r6('mean_abs', 'mean_abs / sum(mean_abs) OVER () AS share', digits=9)} FROM sf ORDER BY mean_abs DESC, feature LIMIT 3",
+    "structure_formats": f"WITH {ATOM}, a AS (SELECT string_agg(element, '' ORDER BY atom) AS s, round(sum(fx + fy + fz), 6) AS f FROM atom) SELECT path, CASE WHEN path <> 'bare.xyz' THEN s END AS species, CASE WHEN path <> 'bare.xyz' THEN f END AS fractions, path <> 'bare.xyz' AS read FROM a, (VALUES ('POSCAR'), ('a.cif'), ('a.xyz'), ('bare.xyz')) t(path)",
+}

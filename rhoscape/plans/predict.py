@@ -14,14 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.elements import ZVAL
+from rhoscape.elements import ZVAL, covalent_radius
 from rhoscape.kernels.lattice import Cell, images
+from rhoscape.operators.grid import grid_sizes
 from rhoscape.operators.properties import PAIRS_PER_CHUNK
+from rhoscape.sources.density import PACKED
 
 Model = Callable[[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 STRUCTURES = "path string, lattice array<double>, species array<string>, frac array<double>, shape array<int>"
 
 
+def gaussians(points, species, probe, atom, distance, direction) -> np.ndarray:
+    """A plug-in: a Gaussian of each atom's covalent radius."""
+    radius = np.array([covalent_radius(e) for e in species])
+    return np.bincount(probe, np.exp(-((distance / radius[atom]) ** 2)), len(points))
+
+
 def unsupported(species: list[str]) -> list[str]:
     return [e for e in dict.fromkeys(species) if e not in ZVAL]
 
@@ -66,6 +74,28 @@ def predict_density(structures: DataFrame, model: Model, cutoff: float = 4.0, pa
     return raw.join(factor, "path").select("path", "vox", (F.col("rho") * F.col("factor")).alias("rho"))
 
 
+def sized(structures: DataFrame, cutoff: float = 500.0, precision: str = "accurate") -> DataFrame:
+    """Structures (path, lattice, ...) with the shape of the grid that a plane-wave calculation would have."""
+    length = lambda a: F.sqrt(sum((F.col("lattice")[3 * a + c] ** 2 for c in range(3)), F.lit(0.0)))
+    measured = structures.select("*", *(length(a).alias(f"l{a + 1}") for a in range(3)))
+    return grid_sizes(measured, cutoff, precision).select(*structures.columns, F.array("n1", "n2", "n3").alias("shape"))
+
+
+def packed_predictions(structures: DataFrame, model: Model, cutoff: float = 4.0) -> DataFrame:
+    """Predicted densities as packed structures; a structure's voxels meet in one row, which is the unit of files."""
+    values = predict_density(structures, model, cutoff)
+    grids = values.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("vox", "rho"))), lambda v: v.rho).alias("values"))
+
+    def pack(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                row = (r["path"], r["lattice"], r["species"], r["frac"], r["shape"], np.array(r["values"], "<f8").tobytes(), "")
+                kinds = (pa.string(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["path", "lattice", "species", "frac", "shape", "grid", "error"])
+
+    return structures.select("path", "lattice", "species", "frac", "shape").join(grids, "path").mapInArrow(pack, PACKED)
+
+
 def _chunks(cutoff: float, pairs: int):
     def run(batches):
         for batch in batches:

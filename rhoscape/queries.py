@@ -11,14 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rhoscape.constants import MAP_RHO, MAP_S, VALUE_BINS
+from rhoscape.constants import MAP_RHO, MAP_S, SPHERE_A, VALUE_BINS
 from rhoscape.functions.chemistry import chemical_system, elements_of, has_f_element, parent_directory, reduced_counts, species
 from rhoscape.functions.linear import eigenvalues, erf
-from rhoscape.operators import compare, geometry, grid, metrics, models, profiles, properties, reduce, spectral, stencil, tabular, topology
+from rhoscape.operators import compare, figures, geometry, grid, metrics, models, profiles, properties, reduce, spectral, stencil, tabular, topology
 from rhoscape.operators.grid import CELL, SCALE, SIZE
 from rhoscape.sources import bundles, runs, synthetic
 
 
+#: Numbers in an embedding.
+DIMENSIONS = 64
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,8 +48,8 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxels with nearest atom and region; the geometry has one row a voxel index, whatever the input."""
-    return voxels(spark, sf_dir).join(F.broadcast(nearest(spark, sf_dir)), "vox").join(F.broadcast(regions(spark, sf_dir)), "vox")
+    """Voxels with nearest atom and region."""
+    return voxels(spark, sf_dir).join(nearest(spark, sf_dir), "vox").join(regions(spark, sf_dir), "vox")
 
 
 def derived(spark: SparkSession, sf_dir: str, order: int = 4, hessian: bool = True) -> DataFrame:
@@ -53,7 +57,7 @@ def derived(spark: SparkSession, sf_dir: str, order: int = 4, hessian: bool = Tr
 
 
 def full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir).join(F.broadcast(nearest(spark, sf_dir)), "vox").join(F.broadcast(regions(spark, sf_dir)), "vox")
+    return derived(spark, sf_dir).join(nearest(spark, sf_dir), "vox").join(regions(spark, sf_dir), "vox")
 
 
 def curved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,17 +157,15 @@ def nci_map(spark, sf_dir):
 
 
 def hartree_potential(spark, sf_dir):
-    points = positions(spark).select("vox", "u1", "u2", "u3")
-    return rounded(spectral.synthesise(spectral.hartree(voxels(spark, sf_dir), scale=SCALE), points, ["vox"]).withColumnRenamed("value", "v"))
+    return rounded(spectral.synthesise_grid(spectral.hartree(voxels(spark, sf_dir), scale=SCALE)).withColumnRenamed("value", "v"))
 
 
 def potential_spread(spark, sf_dir):
     """V at the sites and over the interstitial voxels, from one set of amplitudes."""
-    amplitudes = spectral.hartree(voxels(spark, sf_dir), scale=SCALE)
-    field = spectral.synthesise(amplitudes, positions(spark).select("vox", "u1", "u2", "u3"), ["vox"])
+    field = spectral.synthesise_grid(spectral.hartree(voxels(spark, sf_dir), scale=SCALE))
     sites = atoms(spark, sf_dir).select("atom", ((F.round(F.col("fx") * SIZE) * SIZE + F.round(F.col("fy") * SIZE)) * SIZE + F.round(F.col("fz") * SIZE)).cast("bigint").alias("vox"))
     spread = field.join(F.broadcast(sites), "vox").groupBy("structure_id").agg(F.stddev_pop("value").alias("V_spread"))
-    low = field.join(F.broadcast(regions(spark, sf_dir)), "vox").groupBy("structure_id").agg(F.coalesce(F.min(F.when(F.col("region") == "int", F.col("value"))), F.lit(0.0)).alias("V_int_min"))
+    low = field.join(regions(spark, sf_dir), "vox").groupBy("structure_id").agg(F.coalesce(F.min(F.when(F.col("region") == "int", F.col("value"))), F.lit(0.0)).alias("V_int_min"))
     return rounded(spread.join(low, "structure_id"))
 
 
@@ -241,7 +243,7 @@ def nmape(spark, sf_dir):
 
 def renormalised(spark, sf_dir):
     electrons = reduce.valence_electrons(atoms(spark, sf_dir))
-    each = voxels(spark, sf_dir).select("structure_id").distinct().join(F.broadcast(electrons))
+    each = voxels(spark, sf_dir).select("structure_id").distinct().join(F.broadcast(electrons))  # one row
     made = reduce.renormalised(voxels(spark, sf_dir), each)
     return rounded(made.groupBy("structure_id").agg((F.avg("rho") * F.lit(CELL.volume)).alias("electrons"), F.max("rho").alias("top")))
 
@@ -261,8 +263,10 @@ def ascent_basins(spark, sf_dir):
 def non_nuclear_maxima(spark, sf_dir):
     """Maxima outside every core and the charge share of their basins."""
     base = voxels(spark, sf_dir)
-    peaks = topology.lower_bits(base).where(F.col("bits") == (1 << 26) - 1).join(F.broadcast(regions(spark, sf_dir)), "vox").where(F.col("region") != "core").select("structure_id", F.col("vox").alias("to"))
-    held = base.join(topology.ascent_basins(base), ["structure_id", "vox"]).join(F.broadcast(peaks.withColumn("ghost", F.lit(1))), ["structure_id", "to"], "left")
+    basins = topology.ascent_basins(base)
+    # A maximum is a voxel that is its own basin.
+    peaks = basins.where(F.col("vox") == F.col("to")).join(regions(spark, sf_dir), "vox").where(F.col("region") != "core").select("structure_id", "to")
+    held = base.join(basins, ["structure_id", "vox"]).join(peaks.withColumn("ghost", F.lit(1)), ["structure_id", "to"], "left")
     charge = held.groupBy("structure_id").agg(reduce.share(reduce.where(F.col("ghost") == 1, "rho"), F.sum("rho")).alias("Q_NNM"))
     count = peaks.groupBy("structure_id").agg(F.count("*").alias("ghosts"))
     return rounded(charge.join(count, "structure_id", "left").select("structure_id", (F.coalesce("ghosts", F.lit(0)) / F.lit(CELL.volume)).alias("n_NNM"), "Q_NNM"))
@@ -303,10 +307,8 @@ def support_range(spark, sf_dir):
 
 def site_labels(spark, sf_dir):
     """Occurrence numbers within groups, in order."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("N"), F.col("s_nationkey"), F.lit("-"), rank).alias("label"))
+    ranked = tabular.numbered(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", "s_suppkey", "rank")
+    return ranked.select("s_suppkey", F.concat(F.lit("N"), F.col("s_nationkey"), F.lit("-"), F.col("rank")).alias("label"))
 
 
 # tables ---------------------------------------------------------------------------------------------------------------
@@ -404,8 +406,8 @@ def complete_linkage(spark, sf_dir):
 
 def bootstrap_interval(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), F.col("l_extendedprice").alias("y"), (F.col("p_retailprice") * F.col("l_quantity")).alias("p"), (F.col("l_quantity") * 1500.0).alias("q"))
-    return metrics.bootstrap_difference(rows, "key", "y", "p", "q", 50)
+    rows = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), F.col("l_extendedprice").alias("y"), (F.col("p_retailprice") * F.col("l_quantity")).alias("p"), (F.col("l_quantity") * 1500.0).alias("q"))
+    return rounded(metrics.bootstrap_difference(rows, "key", "y", "p", "q"))
 
 
 def seed_summary(spark, sf_dir):
@@ -424,7 +426,7 @@ def importance_shares(spark, sf_dir):
 
 
 def _features(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    names = [f"x{k}" for k in range(8)]
+    names = [f"x{k}" for k in range(DIMENSIONS)]
     return table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names))), names
 
 
@@ -562,9 +564,16 @@ def density_round_trip(spark, sf_dir):
                 made = format_density(r["lattice"], r["species"], r["frac"], [np.frombuffer(r["grid"], "<f8").reshape(r["shape"])])
                 yield pa.RecordBatch.from_arrays([pa.array([r["path"]]), pa.array([made.encode()])], ["path", "content"])
 
+    @F.arrow_udf("double")
+    def total(grids):
+        import numpy as np
+        import pyarrow as pa
+
+        return pa.array([float(np.frombuffer(g, "<f8").sum()) for g in grids.to_pylist()])
+
     packed = packed_structures(spark, sf_dir)
     back = read_densities(packed.mapInArrow(text, "path string, content binary"))
-    return back.select("path", F.size("species").alias("n_atoms"), "shape", "error")
+    return back.select("path", F.size("species").alias("n_atoms"), F.array_join("shape", "x").alias("shape"), F.round(total("grid"), 6).alias("total"), "error")
 
 
 def _training(spark, sf_dir) -> tuple[DataFrame, list[str]]:
@@ -574,10 +583,18 @@ def _training(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 
 def score_linear(spark, sf_dir):
     rows, names = _training(spark, sf_dir)
-    model = models.fit(rows.where("vec_id % 5 > 0"), names, "y", "linear", "log10", penalty=1e-3)
+    model = models.fit(rows.where("vec_id % 5 > 0"), names, "y", "linear", "log10", regParam=1e-3)
     return rounded(metrics.regression_scores(models.predict(model, rows.where("vec_id % 5 = 0"), "p", "log10", 0.0).withColumn("set", F.lit("test")), "y", "p", ["set"]), 4)
 
 
+def score_tuned(spark, sf_dir):
+    """A linear model whose penalty does best on validation rows, scored on test rows."""
+    rows, names = _training(spark, sf_dir)
+    part = lambda k: rows.where(F.col("vec_id") % 5 == k)
+    model = models.tuned(rows.where("vec_id % 5 > 1"), part(1), names, "y", "log10")
+    return rounded(metrics.regression_scores(models.predict(model, part(0), "p", "log10", 0.0).withColumn("set", F.lit("test")), "y", "p", ["set"]), 4)
+
+
 def score_boosted(spark, sf_dir):
     rows, names = _training(spark, sf_dir)
     model = models.fit(rows.where("vec_id % 5 > 0"), names, "label", "boosted", None, True, seed=1)
@@ -585,12 +602,12 @@ def score_boosted(spark, sf_dir):
 
 
 def predict_density(spark, sf_dir):
-    """Density by an atom-centred model over voxel-image pairs, renormalised to the valence electrons."""
-    points, sites = positions(spark), geometry.with_radius(atoms(spark, sf_dir))
-    met = points.join(F.broadcast(geometry.images(sites, 4.0))).withColumn("d", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 + (F.col("z") - F.col("pz")) ** 2)).where("d <= 4.0")
-    raw = met.groupBy("vox").agg(F.sum(F.exp(-((F.col("d") / F.col("radius")) ** 2))).alias("rho")).withColumn("structure_id", F.lit("model"))
-    electrons = reduce.valence_electrons(atoms(spark, sf_dir)).withColumn("structure_id", F.lit("model"))
-    return rounded(reduce.renormalised(raw, electrons).select("vox", "rho"))
+    """Density of the atoms by a plug-in of atom-centred Gaussians, in chunks, renormalised to the valence electrons."""
+    from rhoscape.plans.predict import gaussians
+    from rhoscape.plans.predict import predict_density as predicted
+
+    structure = packed_structures(spark, sf_dir).where("path = 'N'")
+    return rounded(predicted(structure, gaussians, cutoff=4.0, pairs=1 << 12).select("vox", "rho"))
 
 
 def synthetic_density(spark, sf_dir):
@@ -663,12 +680,151 @@ def born_stability(spark, sf_dir):
 
 def bundle_scoring(spark, sf_dir):
     """A model bundle of one small tree model over embedding features."""
-    import json
+    frame, names = _features(spark, sf_dir)
+    return rounded(bundles.predict(frame.select("vec_id", *names), _bundle(names)).select("vec_id", "y"))
+
+
+# figures and studies --------------------------------------------------------------------------------------------------
+
+
+def zeta_angles(spark, sf_dir):
+    return rounded(figures.radial_angles(full(spark, sf_dir)), 4)
+
+
+def tensor_angles(spark, sf_dir):
+    return rounded(figures.tensor_angles(full(spark, sf_dir)), 2)
+
+
+def ellipticity_values(spark, sf_dir):
+    return figures.ellipticities(curved(spark, sf_dir))
+
+
+def signed_densities(spark, sf_dir):
+    return figures.signed_densities(curved(spark, sf_dir), 3.0, 0.05)
+
+
+def interstitial_values(spark, sf_dir):
+    return figures.interstitial_values(placed(spark, sf_dir))
+
+
+def least_voxel(spark, sf_dir):
+    return rounded(figures.least_voxel(placed(spark, sf_dir)))
+
+
+def site_frame(spark, sf_dir):
+    return rounded(figures.site_frame(reduce.site_values(full(spark, sf_dir)).withColumn("m1", F.round("m1", 9)), "m1"))
+
+
+def element_boxes(spark, sf_dir):
+    """Line prices by brand, a part a site, as boxes."""
+    sites = table(spark, sf_dir, "part").select(F.lit("all").alias("structure_id"), F.col("p_brand").alias("element"), "p_retailprice")
+    return rounded(figures.element_boxes(sites, "p_retailprice"))
+
+
+def bond_types(spark, sf_dir):
+    base = atoms(spark, sf_dir)
+    ends = lambda side: base.select(F.col("atom").alias(side), *(F.col(f"f{c}").alias(f"{side}{c}") for c in "xyz"))
+    bonds = geometry.bond_census(base).join(ends("i"), "i").join(ends("j"), "j")
+    points = bonds.select("i", "j", "t1", "t2", "t3", "length", *((0.5 * (F.col(f"i{c}") + F.col(f"j{c}") + F.col(f"t{a}"))).alias(f"u{a}") for a, c in enumerate("xyz", start=1)))
+    values = spectral.synthesise(spectral.transform(voxels(spark, sf_dir)), points, ["i", "j", "t1", "t2", "t3", "length"])
+    return rounded(figures.bond_types(values, base))
+
 
+def maxima_by_ratio(spark, sf_dir):
+    basins = topology.ascent_basins(voxels(spark, sf_dir))
+    return figures.maxima_by_ratio(basins.where(F.col("vox") == F.col("to")).join(regions(spark, sf_dir), "vox"), SPHERE_A)
+
+
+def cell_edges(spark, sf_dir):
+    cells = voxels(spark, sf_dir).select("structure_id").distinct().withColumn("lattice", F.array(*(F.lit(float(v)) for v in CELL.rows.ravel())))
+    return rounded(figures.cell_edges(cells))
+
+
+def _priced(spark, sf_dir) -> DataFrame:
+    """Line items with their price and two guesses of it."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select("l_returnflag", F.col("l_extendedprice").alias("y"), (F.col("p_retailprice") * F.col("l_quantity")).alias("p"), (F.col("l_quantity") * 1500.0).alias("q"))
+
+
+def parity(spark, sf_dir):
+    return rounded(figures.parity(_priced(spark, sf_dir), "y", "p", ["l_returnflag"], "log10"))
+
+
+def paired_evaluation(spark, sf_dir):
+    return rounded(figures.paired_evaluation(_priced(spark, sf_dir), ["l_returnflag"], "y", "p", "q"))
+
+
+def _rated(spark, sf_dir) -> DataFrame:
+    """Labelled documents with two probabilities of quality."""
+    n = F.col("n_chars")
+    met = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return met.where(n.isNotNull()).select(F.lit("all").alias("all"), "quality", (n / (n + 2000.0)).alias("p"), ((n % 97) / 97.0).alias("q"))
+
+
+def paired_classes(spark, sf_dir):
+    return rounded(figures.paired_classes(_rated(spark, sf_dir), ["all"], "quality", "p", "q"))
+
+
+def class_histogram(spark, sf_dir):
+    return figures.class_histogram(_rated(spark, sf_dir), "quality", "p")
+
+
+def relabelled_split(spark, sf_dir):
+    rows = _systems(spark, sf_dir)
+    aside = rows.where(F.col("o_custkey") % 7 == 0).select("o_custkey")
+    return tabular.relabelled(rows, aside, "o_custkey").groupBy("split").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
+
+
+def gap_labels(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", tabular.conditional_label(size > 10, F.when(key % 5 > 0, key % 2 == 0), "direct", "indirect").alias("gap"))
+
+
+def found_descriptors(spark, sf_dir):
+    """Descriptors of one domain that mention a text."""
+    from rhoscape.plans.registry import catalogue as made
+
+    return tabular.containing(made(spark).where("domain = 'bonding'"), ["name", "formula"], "Charge").select("name", "domain")
+
+
+def importance_melt(spark, sf_dir):
+    """Mean |value| of each embedding dimension, in long form with its share."""
     frame, names = _features(spark, sf_dir)
-    tree = "tree\nobjective=regression\nfeature_names=" + " ".join(names) + "\n\nTree=0\nnum_leaves=3\nsplit_feature=0 1\nthreshold=0 0.1\ndecision_type=2 10\nleft_child=-1 -2\nright_child=1 -3\nleaf_value=0.5 1 2\n\nend of trees\n"
+    long = frame.select(*(F.abs(n).alias(n) for n in names)).unpivot([], names, "name", "value").groupBy("name").agg(F.avg("value").alias("gain")).withColumn("model", F.lit("m"))
+    return rounded(metrics.importance_shares(long, "model", "name", "gain"))
+
+
+def _bundle(names: list[str]):
+    """A model bundle with one tree of three leaves on two features."""
+    import json
+
+    tree = "tree\nobjective=regression\nfeature_names=" + " ".join(names) + "\n\nTree=0\nnum_leaves=3\nsplit_feature=0 1\nthreshold=0 0.1\ndecision_type=2 10\nleft_child=-1 -2\nright_child=1 -3\nleaf_value=0.5 1 2\ninternal_count=500 200\nleaf_count=300 80 120\n\nend of trees\n"
     raw = {"name": "example", "features": names, "feature_range": {n: [-1, 1] for n in names}, "targets": {"y": {"task": "regression", "transform": "log10", "floor": 4.0, "booster": tree}}}
-    return rounded(bundles.predict(frame.select("vec_id", *names), bundles.parse_bundle(json.dumps(raw).encode())).select("vec_id", "y"))
+    return bundles.parse_bundle(json.dumps(raw).encode())
+
+
+def shap_importances(spark, sf_dir):
+    frame, names = _features(spark, sf_dir)
+    return rounded(bundles.leading(bundles.importances(frame.select(*names), _bundle(names), "y"), 3), 9)
+
+
+def structure_formats(spark, sf_dir):
+    """The atoms written as a header, a crystallographic file and extended XYZ, and read again."""
+    from rhoscape.sources import structures
+
+    sites = atoms(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("atom", "element", "fx", "fy", "fz"))).alias("sites"))
+    lattice = [" ".join(map(repr, map(float, row))) for row in CELL.rows]
+    each = lambda line: F.array_join(F.transform("sites", line), "\n")
+    places = lambda s: F.concat_ws(" ", s.fx, s.fy, s.fz)
+    at = lambda s, c: s.fx * float(CELL.rows[0, c]) + s.fy * float(CELL.rows[1, c]) + s.fz * float(CELL.rows[2, c])
+    header = F.concat(F.lit("c\n1.0\n" + "\n".join(lattice) + "\n"), F.array_join(F.transform("sites", lambda s: s.element), " "), F.lit("\n1 1 1 1\nDirect\n"), each(places))
+    cell = "\n".join([*(f"_cell_length_{n} {v!r}" for n, v in zip("abc", map(float, CELL.lengths))), *(f"_cell_angle_{n} {v!r}" for n, v in zip(("alpha", "beta", "gamma"), map(float, CELL.angles)))])
+    crystal = F.concat(F.lit(f"data_x\n{cell}\nloop_\n_atom_site_label\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\n"), each(lambda s: F.concat_ws(" ", s.element, places(s))))
+    points = F.concat(F.lit(f'4\nLattice="{" ".join(lattice)}"\n'), each(lambda s: F.concat_ws(" ", s.element, *(at(s, c) for c in range(3)))))
+    bare = F.concat(F.lit("4\nno lattice\n"), each(lambda s: F.concat_ws(" ", s.element, *(at(s, c) for c in range(3)))))
+    named = F.explode(F.array(*(F.struct(F.lit(n).alias("path"), v.cast("binary").alias("content")) for n, v in (("POSCAR", header), ("a.cif", crystal), ("a.xyz", points), ("bare.xyz", bare)))))
+    read = structures.read_structures(sites.select(named.alias("f")).select("f.*"))
+    return read.select("path", F.array_join("species", "").alias("species"), F.round(F.aggregate("frac", F.lit(0.0), lambda a, x: a + x), 6).alias("fractions"), (F.col("error") == "").alias("read"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -687,7 +843,9 @@ QUERIES: list[Callable] = [
     metrics_regression, metrics_classification, spearman_matrix, redundant_pairs, most_similar, complete_linkage, bootstrap_interval, seed_summary, best_by, importance_shares,
     feature_range, outside_range, tolerant_match, compare_rows, compare_summary, inverse_transform, json_rows, error_function, catalogue, element_table,
     featurize_packed, featurize_spectral, featurize_relational, sweep_packed, grid_convergence, density_round_trip, synthetic_density, cell_summary, atoms_near_plane, chunk_sizes, compare_properties, value_texts, document_flatten,
-    one_to_one_join, set_operations, sampled_extrema, born_stability, bundle_scoring, score_linear, score_boosted, predict_density,
+    one_to_one_join, set_operations, sampled_extrema, born_stability, bundle_scoring, score_linear, score_boosted, score_tuned, predict_density,
+    zeta_angles, tensor_angles, ellipticity_values, signed_densities, interstitial_values, least_voxel, site_frame, element_boxes, bond_types, maxima_by_ratio, cell_edges,
+    parity, paired_evaluation, paired_classes, class_histogram, relabelled_split, gap_labels, found_descriptors, importance_melt, shap_importances, structure_formats,
 ]
 
 

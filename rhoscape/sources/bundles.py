@@ -6,12 +6,14 @@ import gzip
 import json
 import lzma
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rhoscape.kernels.shapley import Leaves, contributions
 from rhoscape.operators.compare import inverse_transform
 
 
@@ -25,6 +27,22 @@ class Tree:
     left: np.ndarray
     right: np.ndarray
     leaf: np.ndarray
+    #: Training rows of each node and leaf, where the model says so.
+    node_count: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    leaf_count: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    @cached_property
+    def leaves(self) -> Leaves:
+        return Leaves(self)
+
+    def goes_left(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether each row of x goes left at its node."""
+        value = x[np.arange(len(x)), self.feature[at]]
+        missing = np.isnan(value)
+        kind = (self.decision[at] >> 2) & 3  # how missing values are treated: 0 as zero, 1 zero is missing, 2 NaN is missing
+        value = np.where(missing & (kind != 2), 0.0, value)
+        gone = ((kind == 2) & missing) | ((kind == 1) & (np.abs(value) < 1e-35))
+        return np.where(gone, (self.decision[at] & 2) > 0, value <= self.threshold[at])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if not len(self.feature):
@@ -32,13 +50,7 @@ class Tree:
         node, todo = np.zeros(len(x), np.int64), np.arange(len(x))
         while len(todo):
             at = node[todo]
-            value = x[todo, self.feature[at]]
-            missing = np.isnan(value)
-            kind = (self.decision[at] >> 2) & 3  # how missing values are treated: 0 as zero, 1 zero is missing, 2 NaN is missing
-            value = np.where(missing & (kind != 2), 0.0, value)
-            gone = ((kind == 2) & missing) | ((kind == 1) & (np.abs(value) < 1e-35))
-            down = np.where(gone, (self.decision[at] & 2) > 0, value <= self.threshold[at])
-            node[todo] = np.where(down, self.left[at], self.right[at])
+            node[todo] = np.where(self.goes_left(at, x[todo]), self.left[at], self.right[at])
             todo = todo[node[todo] >= 0]
         return self.leaf[~node]
 
@@ -62,7 +74,7 @@ class Booster:
             decision = numbers("decision_type", np.int64)
             if (decision & 1).any():
                 raise ValueError("categorical splits are not supported")
-            trees.append(Tree(numbers("split_feature", np.int64), numbers("threshold", float), decision, numbers("left_child", np.int64), numbers("right_child", np.int64), numbers("leaf_value", float)))
+            trees.append(Tree(numbers("split_feature", np.int64), numbers("threshold", float), decision, numbers("left_child", np.int64), numbers("right_child", np.int64), numbers("leaf_value", float), numbers("internal_count", float), numbers("leaf_count", float)))
         return cls(fields["feature_names"].split(), trees, fields.get("objective", "").startswith("binary"))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -70,6 +82,11 @@ class Booster:
         return 1.0 / (1.0 + np.exp(-total)) if self.binary else total
 
 
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        """(rows, features) Shapley values of the raw output."""
+        return sum((contributions(t, x) for t in self.trees), np.zeros((len(x), len(self.features))))
+
+
 @dataclass
 class Target:
     name: str
@@ -140,3 +157,29 @@ def predict(rows: DataFrame, bundle: Bundle) -> DataFrame:
     scored = rows.withColumn("__raw", raw(F.struct(*(F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(f) for f in used))))
     values = [inverse_transform(F.col(f"__raw.{n}"), t.transform, t.floor, t.task == "classification").alias(n) for n, t in bundle.targets.items()]
     return scored.select(*(F.col(c) for c in rows.columns), *values)
+
+
+def importances(rows: DataFrame, bundle: Bundle, target: str, members: list[str] = ()) -> DataFrame:
+    """Mean |Shapley value| of each feature over rows, averaged over a target's boosters (its own, and more members in text
+    form), with its share of all; sums by feature are all that is shuffled."""
+    spec = bundle.targets[target]
+    boosters = rows.sparkSession.sparkContext.broadcast([Booster.parse(text) for text in (spec.booster, *members)])
+    names = list(spec.features)
+
+    def run(batches):
+        total, n = np.zeros(len(names)), 0
+        for batch in batches:
+            x = np.stack([np.array(batch.column(k).to_numpy(zero_copy_only=False), float) for k in range(len(names))], 1)
+            total += sum(np.abs(b.contributions(x)).sum(0) for b in boosters.value) / len(boosters.value)
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total), pa.array([n] * len(names), pa.int64())], ["feature", "total", "n"])
+
+    read = rows.select(*(F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(float("nan"))).alias(f) for f in names))
+    means = read.mapInArrow(run, "feature string, total double, n bigint").groupBy("feature").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean_abs"))
+    whole = means.agg(F.sum("mean_abs").alias("__all"))  # one row
+    return means.join(F.broadcast(whole)).select("feature", "mean_abs", F.coalesce(F.try_divide(F.col("mean_abs"), F.col("__all")), F.lit(0.0)).alias("share"))
+
+
+def leading(ranked: DataFrame, top: int = 10) -> DataFrame:
+    """The features with the largest shares (a row a feature, so few)."""
+    return ranked.orderBy(F.desc("share"), "feature").limit(top)

@@ -10,14 +10,18 @@ import bz2
 import gzip
 import io
 import lzma
+import uuid
 import zipfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from rhoscape.kernels.lattice import Cell
 from rhoscape.sources.runs import first_by_rank
+from rhoscape.storage import materialise
 
 #: A packed structure: grids are C-order little-endian float64.
 PACKED = "path string, lattice array<double>, species array<string>, frac array<double>, shape array<int>, grid binary, error string"
@@ -46,7 +50,7 @@ def clean_species(labels: list[str], counts: list[int]) -> list[str]:
         return [label.split("_")[0].split("/")[0] for label, n in zip(labels, counts) for _ in range(n)]
     if len(labels) == sum(counts):
         return list(labels)
-    raise ValueError(f"{len(labels)} species labels for {len(counts)} groups / {sum(counts)} atoms")
+    raise ValueError(f"labels {labels} fit neither the groups nor the atoms of counts {counts}")
 
 
 def _integers(line: str) -> list[int] | None:
@@ -106,10 +110,10 @@ def parse_density(text: str, species: list[str] | None = None, by_volume: bool =
             count += len(part)
             at += step
         if count < need:
-            raise ValueError(f"data block truncated: expected {need} values, got {count}")
+            raise ValueError(f"the file ends {need - count} values before its {'x'.join(map(str, shape))} grid does")
         found.append(np.concatenate(taken)[:need].reshape(shape, order="F") / norm)
     if not found:
-        raise ValueError("no grid-dimension line")
+        raise ValueError("nothing after the structure says how large a grid is")
     return lattice, labels, frac, found
 
 
@@ -159,8 +163,8 @@ def read_densities(files: DataFrame, species: list[str] | None = None, all_block
     return files.select("path", "content").mapInArrow(run, PACKED)
 
 
-def write_densities(packed: DataFrame, folder: str) -> DataFrame:
-    """path and text of each structure as a volumetric file, written below a shared folder in a text table by path."""
+def density_texts(packed: DataFrame) -> DataFrame:
+    """path and text of each structure as a volumetric file; rows without a grid have none."""
 
     def run(batches):
         for batch in batches:
@@ -168,6 +172,26 @@ def write_densities(packed: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["path", "text"])
 
-    made = packed.mapInArrow(run, "path string, text string")
-    made.write.mode("overwrite").parquet(folder)
-    return packed.sparkSession.read.parquet(folder)
+    return packed.mapInArrow(run, "path string, text string")
+
+
+def write_densities(packed: DataFrame, folder: str) -> DataFrame:
+    """Write each structure as a file below a folder that all executors reach, and return path, file and bytes of each.
+
+    A file has its structure's name and the CRC-32 of its whole path, so equal names don't meet. A task writes beside
+    and renames at the end: a task that is run again leaves the same files.
+    """
+
+    def run(batches):
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                name = f"{path.rstrip('/').rsplit('/', 1)[-1]}-{zlib.crc32(path.encode()):08x}.vasp"
+                beside, data = f"{root}/.{name}.{uuid.uuid4().hex}", text.encode()
+                with system.open_output_stream(beside) as out:
+                    out.write(data)
+                system.move(beside, f"{root}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f"{folder.rstrip('/')}/{name}"]), pa.array([len(data)])], ["path", "file", "bytes"])
+
+    return materialise(density_texts(packed).mapInArrow(run, "path string, file string, bytes bigint"), "written")

@@ -56,7 +56,7 @@ def test_headers():
     assert species == ["Fe", "Fe", "O"] and np.allclose(lattice, np.array(LATTICE) * 2) and np.allclose(places[1], 0.5)
     with pytest.raises(ValueError):
         density.parse_density("\n".join(old))
-    with pytest.raises(ValueError, match="truncated"):
+    with pytest.raises(ValueError, match="before its"):
         density.parse_density("\n".join(body[:-2]))
     blocks = "\n".join([*body, "augmentation occupancies 1 8", "0.1 0.2", *body[11:]])
     assert len(density.parse_density(blocks, blocks=None)[3]) == 2
@@ -106,8 +106,10 @@ def test_sweep(spark, runs):
 
 def test_writer(spark, runs, tmp_path):
     packed = density.read_densities(density.density_files(spark, runs + "/a"))
-    row = density.write_densities(packed, str(tmp_path / "texts")).first()
-    assert np.allclose(density.parse_density(row.text)[3][0], sample(), atol=1e-8)
+    written = density.write_densities(packed, str(tmp_path / "texts")).collect()
+    assert len(list((tmp_path / "texts").glob("*.vasp"))) == len(written) == packed.where("grid IS NOT NULL").count()
+    text = open(written[0].file).read()
+    assert len(text) == written[0].bytes and np.allclose(density.parse_density(text)[3][0], sample(), atol=1e-8)
 
 
 def test_stream(spark, runs, tmp_path):
