@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+_C = ctypes.CDLL(None)
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = b" \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised pass takes at most, unless a single word is longer.
@@ -131,11 +133,24 @@ def crc_mod(column: str, modulus: int):
 CACHES: dict[str, Callable[[], None]] = {}
 
 
+_owner: list[str] = [""]
+
+
+def settle() -> None:
+    """Give free memory back to the system; a worker that lives through many stages would hold the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def claim(owner: str) -> None:
     """Empty the caches of all modules but one; workers live through many stages, their memory is shared by few."""
-    for module, clear in CACHES.items():
-        if module != owner:
-            clear()
+    if _owner[0] != owner:
+        for module, clear in CACHES.items():
+            if module != owner:
+                clear()
+        settle()
+        _owner[0] = owner
 
 
 #: Rows and bytes of an Arrow batch; a longer text is a batch of its own.
@@ -163,6 +178,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             out = step(batch)
             if out is not None and out.num_rows:
                 yield out
+        settle()
 
     return df.mapInArrow(run, schema)
 

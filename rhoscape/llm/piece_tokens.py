@@ -24,9 +24,9 @@ from rhoscape.llm.common import CACHES, Generations, map_batches, texts
 MARK = "▁"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Entries of a cache generation, of which there are two.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 160_000
 CACHED_CHARS = 48
-PAIRS = 600_000
+PAIRS = 400_000
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
