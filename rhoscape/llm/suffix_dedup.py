@@ -31,7 +31,7 @@ from rhoscape.llm.common import U64, Rolling, Scratch, map_batches, materialise,
 
 LENGTH, GRAM = 200, 80
 #: Classes of an anchor that a task sorts; beyond, superstrings are cut into blocks of so many windows.
-CROWD, BLOCKS = 4_000, (16, 1)
+CROWD, BLOCKS = 1_000, (16, 1)
 #: Windows of a text that are hashed at once.
 HASHED = 1 << 20
 #: Bytes of superstrings that are sorted at once, unless one anchor has more; suffixes that are compared at once.
