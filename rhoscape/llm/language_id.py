@@ -12,6 +12,7 @@ words they have met in a bounded cache; whole texts are parsed.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ DENSE_BYTES = 128 << 20
 CACHE_ENTRIES, CACHED_CHARS = 60_000, 48
 #: Counts (words or stretches times languages) that are held at once.
 COUNTS = 3_200_000
+#: Characters of a text that are split into words at once.
+SLICE = 1 << 20
 #: Bits of a packed count.
 LANE = 40
 
@@ -39,6 +42,18 @@ def words_of(text: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in text.lower()).split()
 
 
+def slices(text: str) -> Iterator[str]:
+    """A long text in parts of about SLICE characters that end before white space."""
+    at = 0
+    while len(text) - at > SLICE:
+        stop = at + SLICE
+        while stop < len(text) and not text[stop].isspace():
+            stop += 1
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
 class SuffixAutomaton:
     """Transitions of the minimal automaton of all substrings of a text."""
 
@@ -190,14 +205,14 @@ class CrossParser:
                 made[token] = packed
         return made
 
-    def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """The language of each text and how much fewer phrases it needs than the next one, from 0 to 1."""
+    def _packed(self, texts: list[str]) -> list[int]:
+        """Packed phrase counts of all languages, and letters, of each text."""
         n = len(self.languages)
         cache = self._made.setdefault("cache", Generations(CACHE_ENTRIES * 64 // max(64, n)))
-        split = [(t or "").split() for t in texts]
+        split = [t.split() for t in texts]
         if len(split) > 1 and n > 64 and sum(map(len, split)) * n > COUNTS:  # counts of many languages are large
             half = len(texts) // 2
-            return self.classify(texts[:half]) + self.classify(texts[half:])
+            return self._packed(texts[:half]) + self._packed(texts[half:])
         known = {t: cache.find(t) for t in set().union(*split)}
         fresh = [t for t, v in known.items() if v is None]
         if fresh:
@@ -206,19 +221,28 @@ class CrossParser:
             for token, value in learned.items():
                 if len(token) <= CACHED_CHARS:
                     cache.put(token, value)
-        mask, get = (1 << LANE) - 1, known.__getitem__
-        out = []
-        for tokens in split:
-            packed = sum(map(get, tokens))
-            letters = packed >> (LANE * n)
-            if not letters or not n:
-                out.append((UNDETERMINED, 0.0))
-                continue
-            costs = [((packed >> (LANE * k)) & mask) * w / letters for k, w in enumerate(self.weights)]
-            order = sorted(range(n), key=lambda k: (costs[k], k))
-            best, second = costs[order[0]], costs[order[min(1, n - 1)]]
-            out.append((self.languages[order[0]], 1.0 if n == 1 else (second - best) / second if second else 0.0))
-        return out
+        get = known.__getitem__
+        return [sum(map(get, tokens)) for tokens in split]
+
+    def _decide(self, packed: int) -> tuple[str, float]:
+        n, mask = len(self.languages), (1 << LANE) - 1
+        letters = packed >> (LANE * n)
+        if not letters or not n:
+            return UNDETERMINED, 0.0
+        costs = [((packed >> (LANE * k)) & mask) * w / letters for k, w in enumerate(self.weights)]
+        order = sorted(range(n), key=lambda k: (costs[k], k))
+        best, second = costs[order[0]], costs[order[min(1, n - 1)]]
+        return self.languages[order[0]], 1.0 if n == 1 else (second - best) / second if second else 0.0
+
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of each text and how much fewer phrases it needs than the next one, from 0 to 1."""
+        texts = [t or "" for t in texts]
+        short = [k for k, t in enumerate(texts) if len(t) <= SLICE]
+        packed = dict(zip(short, self._packed([texts[k] for k in short]))) if short else {}
+        for k, t in enumerate(texts):
+            if k not in packed:
+                packed[k] = sum(self._packed([part])[0] for part in slices(t))
+        return [self._decide(packed[k]) for k in range(len(texts))]
 
 
 def fit(docs: DataFrame, fold: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> CrossParser:

@@ -238,7 +238,7 @@ def plain_language(model, text):
     return model.languages[best], 1.0 if not others else (others[0] - costs[best]) / others[0] if others[0] else 0.0
 
 
-def test_languages_are_those_of_a_plain_parse(spark):
+def test_languages_are_those_of_a_plain_parse(spark, monkeypatch):
     rng = random.Random(18)
     parts = {"en": ["the", "ing", "th", "ed"], "de": ["sch", "ung", "ein", "ü"], "fr": ["eau", "ê", "oui", "ment"], "twin": ["the", "ing", "th", "ed"]}
     say = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
@@ -250,6 +250,11 @@ def test_languages_are_those_of_a_plain_parse(spark):
     want = [(i, *plain_language(model, t)) for i, t in rows]
     assert key((r.doc_id, r.lang_pred, round(r.score, 12)) for r in got) == key((i, lang, round(score, 12)) for i, lang, score in want)
     assert "twin" not in {r.lang_pred for r in got}  # of equal costs the first wins
+    whole = [t for _, t in rows]
+    before = model.classify(whole)
+    monkeypatch.setattr(language_id, "SLICE", 50)
+    assert [w for w in " ".join(language_id.slices(whole[-6])).split()] == whole[-6].split()
+    assert model.classify(whole) == before
 
 
 def test_columns_of_any_name_are_handed_on(spark):
