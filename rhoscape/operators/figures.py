@@ -30,6 +30,13 @@ def radial_angles(voxels: DataFrame) -> DataFrame:
     return histogram(voxels.where(F.col("gn") > FLAT).withColumn("x", _unit(cosine)), "x", UNIT_BINS, ["structure_id"], "gn", 0.0, 1.0)
 
 
+def squared_distances(voxels: DataFrame, bins: int = 100) -> DataFrame:
+    """Charge by squared distance to the nearest atom, from 0 to a structure's largest; needs r."""
+    ends = voxels.groupBy("structure_id").agg(F.pow(F.max(F.round("r", DIGITS)), 2.0).alias("__top"))
+    held = voxels.join(ends, "structure_id").withColumn("bin", bin_of(F.pow(F.round("r", DIGITS), 2.0), F.lit(0.0), F.col("__top"), bins))
+    return held.groupBy("structure_id", "bin").agg(F.sum("rho").alias("amount"))
+
+
 def tensor_angles(voxels: DataFrame) -> DataFrame:
     """cos² between the gradient and each axis of the gradient tensor, weighted by the squared norm.
 

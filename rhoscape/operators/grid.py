@@ -79,6 +79,12 @@ def translate(voxels: DataFrame, shift: tuple[int, int, int], size: int = SIZE)
     return voxels.select("structure_id", *moved, "rho").withColumn("vox", ((F.col("i") * size + F.col("j")) * size + F.col("k")).cast("bigint"))
 
 
+def rotated(packed: DataFrame, matrix: list[list[float]]) -> DataFrame:
+    """Packed structures with their lattice vectors turned; values on the grid stay, so no descriptor may change."""
+    turn = lambda row, c: sum((F.col("lattice")[3 * row + k] * F.lit(float(matrix[c][k])) for k in range(3)), F.lit(0.0))
+    return packed.withColumn("lattice", F.array(*(turn(row, c) for row in range(3) for c in range(3))))
+
+
 def supercell(voxels: DataFrame, repeats: tuple[int, int, int], size: int = SIZE) -> DataFrame:
     """The grid repeated along its axes."""
     spark = voxels.sparkSession

@@ -82,6 +82,13 @@ def complete_linkage(matrix: DataFrame, columns: list[str], cut: float = 0.9) ->
         groups[best[1]] += groups.pop(best[2])
 
 
+def representatives(clusters: dict[str, int], importances: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
+    """Of each cluster of columns the one of the largest importance, and how many it stands for; without one it counts as 0."""
+    table = importances.sparkSession.createDataFrame(sorted(clusters.items()), f"{name} string, cluster int")
+    met = table.join(importances.select(name, value), name, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    return met.groupBy("cluster").agg(F.max_by(name, F.struct(F.col(value), F.col(name))).alias("kept"), F.count("*").alias("members"))
+
+
 #: Chances that a Poisson(1) number is at most 0, 1, 2, ...
 POISSON = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(9)])
 #: Prime modulus and constants of the draws' hash (fixed values); all products stay within 63 bits.

@@ -145,6 +145,12 @@ def integrals(voxels: DataFrame, volume: float = CELL.volume) -> DataFrame:
     return voxels.groupBy("structure_id").agg((F.avg("rho") * F.lit(volume)).alias("integral"), F.avg("rho").alias("mean"))
 
 
+def centred(voxels: DataFrame, value: str = "rho") -> DataFrame:
+    """Voxels with their structure's mean taken off."""
+    means = voxels.groupBy("structure_id").agg(F.avg(value).alias("__mean"))  # a row a structure
+    return voxels.join(means, "structure_id").withColumn(value, F.col(value) - F.col("__mean")).drop("__mean")
+
+
 def renormalised(voxels: DataFrame, electrons: DataFrame, volume: float = CELL.volume) -> DataFrame:
     """Densities scaled to hold a structure's valence electrons; fails where a density holds no charge."""
     held = integrals(voxels, volume)

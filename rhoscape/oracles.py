@@ -440,3 +440,11 @@ ORACLES |= {
     "shap_importances": f"WITH {_FEATURES}, {_SHAP} SELECT feature, {r6('mean_abs', 'mean_abs / sum(mean_abs) OVER () AS share', digits=9)} FROM sf ORDER BY mean_abs DESC, feature LIMIT 3",
     "structure_formats": f"WITH {ATOM}, a AS (SELECT string_agg(element, '' ORDER BY atom) AS s, round(sum(fx + fy + fz), 6) AS f FROM atom) SELECT path, CASE WHEN path <> 'bare.xyz' THEN s END AS species, CASE WHEN path <> 'bare.xyz' THEN f END AS fractions, path <> 'bare.xyz' AS read FROM a, (VALUES ('POSCAR'), ('a.cif'), ('a.xyz'), ('bare.xyz')) t(path)",
 }
+
+_WIDE = ("m1", "m2", "sigma_r2", "f_core", "f_bond", "f_int", "shannon_entropy", "disequilibrium", "LMC_complexity", "rho_min", "rho_min_ratio")
+ORACLES |= {
+    "squared_distances": f"WITH {PLACED}, sq AS (SELECT structure_id, rho, pow(round(r, 9), 2) AS q, pow(max(round(r, 9)) OVER (PARTITION BY structure_id), 2) AS top FROM pl) SELECT structure_id, {_BIN('q', '0.0', 'top', 100)} AS bin, sum(rho)::BIGINT AS amount FROM sq GROUP BY 1, 2",
+    "centred_density": f"WITH {GRID} SELECT structure_id, vox, {r6('rho - avg(rho) OVER (PARTITION BY structure_id) AS rho')} FROM vx",
+    "long_results": f"WITH {_catalogue()}, w AS (SELECT * FROM ({ORACLES['moments']}) JOIN ({ORACLES['information']}) USING (structure_id)), l AS ({' UNION ALL '.join(f"SELECT structure_id, '{n}' AS name, {n} AS value FROM w" for n in _WIDE)}) SELECT structure_id, name, value, domain, units FROM l JOIN ct USING (name)",
+    "document_tensor": "SELECT p_partkey, " + ", ".join(f"(p_size + {(i + 1) * 10 + j})::BIGINT AS C{i + 1}{j + 1}" for i in range(6) for j in range(i, 6)) + ", p_size::BIGINT AS elastic_k, p_brand AS brand FROM part",
+}

@@ -60,7 +60,10 @@ def featurize(packed: DataFrame, options: Options | None = None, on_error: str =
 
 
 def featurize_batch(spark: SparkSession, path: str, pattern: str = "CHG*", options: Options | None = None, on_error: str = "record", one_per_directory: bool = False) -> DataFrame:
-    """Featurise every density file below a folder, a task a file, large files first; rows come back sorted by path."""
+    """Featurise every density file below a folder, a task a file, large files first; rows come back sorted by path.
+
+    Names sort by code point, so a list of files that is to keep an order of its own is joined by path afterwards.
+    """
     files = density_files(spark, path, pattern, one_per_directory)
     spread = max(1, min(10_000, files.select("path").count()))
     ordered = files.repartition(spread, "path").sortWithinPartitions(F.desc("length"))

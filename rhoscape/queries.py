@@ -746,6 +746,31 @@ def _priced(spark, sf_dir) -> DataFrame:
     return lines.select("l_returnflag", F.col("l_extendedprice").alias("y"), (F.col("p_retailprice") * F.col("l_quantity")).alias("p"), (F.col("l_quantity") * 1500.0).alias("q"))
 
 
+def squared_distances(spark, sf_dir):
+    return figures.squared_distances(placed(spark, sf_dir))
+
+
+def centred_density(spark, sf_dir):
+    return rounded(reduce.centred(voxels(spark, sf_dir)).select("structure_id", "vox", "rho"))
+
+
+def long_results(spark, sf_dir):
+    """Descriptors of each structure, one row a value with its domain and units."""
+    from rhoscape.plans.registry import catalogue as made
+
+    wide = moments(spark, sf_dir).join(information(spark, sf_dir), "structure_id")
+    return compare.long_results(wide, "structure_id", [c for c in wide.columns if c != "structure_id"], made(spark))
+
+
+def document_tensor(spark, sf_dir):
+    """Documents with a nested 6 x 6 tensor as one column an entry of its upper triangle."""
+    size = F.col("p_size")
+    rows = F.array(*(F.array(*(size + (i + 1) * 10 + j for j in range(6))) for i in range(6)))
+    made = F.to_json(F.struct(F.struct(rows.alias("tensor"), size.alias("k")).alias("elastic"), F.col("p_brand").alias("brand")))
+    documents = table(spark, sf_dir, "part").select("p_partkey", made.alias("json"))
+    return runs.flattened(documents, "struct<elastic:struct<tensor:array<array<bigint>>,k:bigint>,brand:string>", tensor="elastic_tensor")
+
+
 def parity(spark, sf_dir):
     return rounded(figures.parity(_priced(spark, sf_dir), "y", "p", ["l_returnflag"], "log10"))
 
@@ -845,7 +870,7 @@ QUERIES: list[Callable] = [
     featurize_packed, featurize_spectral, featurize_relational, sweep_packed, grid_convergence, density_round_trip, synthetic_density, cell_summary, atoms_near_plane, chunk_sizes, compare_properties, value_texts, document_flatten,
     one_to_one_join, set_operations, sampled_extrema, born_stability, bundle_scoring, score_linear, score_boosted, score_tuned, predict_density,
     zeta_angles, tensor_angles, ellipticity_values, signed_densities, interstitial_values, least_voxel, site_frame, element_boxes, bond_types, maxima_by_ratio, cell_edges,
-    parity, paired_evaluation, paired_classes, class_histogram, relabelled_split, gap_labels, found_descriptors, importance_melt, shap_importances, structure_formats,
+    squared_distances, centred_density, long_results, document_tensor, parity, paired_evaluation, paired_classes, class_histogram, relabelled_split, gap_labels, found_descriptors, importance_melt, shap_importances, structure_formats,
 ]
 
 

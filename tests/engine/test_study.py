@@ -218,3 +218,23 @@ def test_study_of_models(spark):
     assert 0.01 <= settings["stepSize"] <= 0.1 and 3 <= settings["maxDepth"] <= 7 and 5 <= settings["minInstancesPerNode"] <= 100
     chosen = models.tuned(part(0, 5), part(6, 7), ["a", "b", "c"], "label", None, True)
     assert models.loss(chosen, part(8, 9), "label", None, True) < 0.5
+
+
+def test_small_operators(spark):
+    from rhoscape.kernels import spectral
+    from rhoscape.kernels.features import featurize_grid
+    from rhoscape.operators import grid
+
+    field = np.random.default_rng(4).random((4, 6, 8))
+    assert spectral.resample(field, (4, 6, 8)) is field and spectral.resample(field, (8, 6, 8)).shape == (8, 6, 8)
+    assert np.array_equal(spectral.resample(field, (2, 3, 4), "linear"), field[::2, ::2, ::2])
+    values = spark.createDataFrame([("a", 0.2), ("b", 0.5), ("c", 0.1)], "name string, value double")
+    kept = {r.cluster: (r.kept, r.members) for r in metrics.representatives({"a": 0, "b": 0, "c": 1, "d": 2}, values).collect()}
+    assert kept == {0: ("b", 2), 1: ("c", 1), 2: ("d", 1)}
+    angle = 0.7
+    turn = [[math.cos(angle), -math.sin(angle), 0.0], [math.sin(angle), math.cos(angle), 0.0], [0.0, 0.0, 1.0]]
+    turned = grid.rotated(spark.createDataFrame([(CELL.ravel().tolist(),)], "lattice array<double>"), turn).first().lattice
+    assert np.allclose(np.array(turned).reshape(3, 3), CELL @ np.array(turn).T)
+    frac = np.array([[0, 0, 0], [0.5, 0.4, 0.6]])
+    before, after = (featurize_grid(field, cell, ["Fe", "O"], frac)[0] for cell in (CELL, np.array(turned).reshape(3, 3)))
+    assert all(after[k] == pytest.approx(v, rel=1e-6, abs=1e-9, nan_ok=True) for k, v in before.items())
