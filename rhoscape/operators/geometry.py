@@ -20,12 +20,12 @@ BLOCKS = 4
 
 
 def bind_atoms(supplier: DataFrame, nation: DataFrame, count: int = ATOMS, size: int = SIZE) -> DataFrame:
-    """Atoms from the first suppliers: positions on the grid from the key, element from the nation's region."""
-    first = supplier.where(F.col("s_suppkey") < count)
-    placed = first.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    symbol = F.element_at(F.array(*map(F.lit, SYMBOLS)), (F.col("n_regionkey") + 1).cast("int"))
-    fractions = [(((F.col("s_suppkey") * m + s) % size) / F.lit(float(size))).alias(n) for m, s, n in ((7, 0, "fx"), (3, 1, "fy"), (5, 2, "fz"))]
-    return placed.select(F.col("s_suppkey").cast("int").alias("atom"), symbol.alias("element"), *fractions)
+    """Atoms from all suppliers, dealt by key: an atom's element comes from the regions of its suppliers, its place on the grid from its number."""
+    placed = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    dealt = placed.groupBy(F.pmod(F.col("s_suppkey"), F.lit(count)).cast("int").alias("atom")).agg(F.sum("n_regionkey").alias("regions"))
+    symbol = F.element_at(F.array(*map(F.lit, SYMBOLS)), (F.pmod(F.col("regions"), F.lit(len(SYMBOLS))) + 1).cast("int"))
+    fractions = [(((F.col("atom") * m + s) % size) / F.lit(float(size))).alias(n) for m, s, n in ((7, 0, "fx"), (3, 1, "fy"), (5, 2, "fz"))]
+    return dealt.select("atom", symbol.alias("element"), *fractions)
 
 
 def with_radius(atoms: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def position(f: list[str], c: int) -> str:
 
 
 POINTS = f"pts AS (SELECT vox, i, j, k, i / {N}.0 AS u1, j / {N}.0 AS u2, k / {N}.0 AS u3, " + ", ".join(f"{position([f'({d} / {N}.0)' for d in 'ijk'], c)} AS {'xyz'[c]}" for c in range(3)) + " FROM idx)"
-ATOM = f"""atom AS (SELECT s_suppkey::INT AS atom, ([{", ".join(f"'{s}'" for s in BOUND)}])[n_regionkey + 1] AS element, ((s_suppkey * 7) % {N}) / {N}.0 AS fx, ((s_suppkey * 3 + 1) % {N}) / {N}.0 AS fy, ((s_suppkey * 5 + 2) % {N}) / {N}.0 AS fz
-    FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < {ATOMS}),
+ATOM = f"""at0 AS (SELECT (s_suppkey % {ATOMS})::INT AS atom, sum(n_regionkey) AS regions FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+atom AS (SELECT atom, ([{", ".join(f"'{s}'" for s in BOUND)}])[(regions % {len(BOUND)})::INT + 1] AS element, ((atom * 7) % {N}) / {N}.0 AS fx, ((atom * 3 + 1) % {N}) / {N}.0 AS fy, ((atom * 5 + 2) % {N}) / {N}.0 AS fz FROM at0),
 rad AS (SELECT * FROM {values([(f"'{e}'", COVALENT_RADIUS[e]) for e in BOUND], "element, radius")})"""
 
 

@@ -1,7 +1,7 @@
 """Queries of the analytics engine over the driver's tables; oracles.py has their SQL equivalents.
 
-The tables hold no crystals, so line items are summed into one periodic grid a return flag and the first suppliers
-stand for its atoms (operators.grid.voxelize, operators.geometry.bind_atoms).
+The tables hold no crystals, so line items are summed into one periodic grid a return flag and all suppliers, dealt into
+four, stand for its atoms (operators.grid.voxelize, operators.geometry.bind_atoms).
 """
 
 from __future__ import annotations
