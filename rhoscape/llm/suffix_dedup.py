@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import U64, Rolling, Scratch, map_batches, materialise, mix, raw
+from rhoscape.llm.common import Rolling, Scratch, map_batches, materialise, mix, raw
 
 LENGTH, GRAM = 200, 80
 #: Classes of an anchor that a task sorts; beyond, superstrings are cut into blocks of so many windows.
