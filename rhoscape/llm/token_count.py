@@ -1,9 +1,10 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact open-addressing table of the token counts of frequent pre-tokens, made on the driver from a
-bounded sample (it only decides what is fast, never a count) and broadcast. Tier two encodes what the table misses
-with the tokenizer library behind a bounded cache that lives as long as the Python worker. No pre-token is shuffled:
-the whole plan is one scan and one map.
+Tier one is a compact open-addressing table of the token counts of the most frequent pre-tokens of the whole table,
+made on the driver and broadcast. It holds the pre-tokens' bytes and compares them, so that equal hashes never lend one
+pre-token's count to another. Tier two encodes what the table misses with the tokenizer library behind a bounded cache
+that lives as long as the Python worker. The frequent pre-tokens come from a scan of their own, which shuffles each
+task's distinct ones with their numbers; the lookup is one scan and one map.
 
 Pre-tokens here are the stretches between ASCII white space. The vocabulary's normaliser and splitter drop white
 space and never look across it, so the counts of the stretches add up to the count of the text; the tests hold this
@@ -14,18 +15,20 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import CACHES, Generations, U64, _ROLLING, map_batches, parts, raw, word_spans
+from rhoscape.llm.common import CACHES, Generations, Scratch, U64, _ROLLING, bound_batches, claim, map_batches, parts, raw, settle, word_spans
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
-#: Bounds of the sample: rows, and characters of a row.
-SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 10_000
-FREQUENT = 65_536
+#: Pre-tokens of tier one, and bytes of one; longer ones are left to tier two.
+FREQUENT, LONGEST = 65_536, 64
+#: Distinct pre-tokens, and bytes of text, after which a task passes on the numbers it has counted.
+HELD_WORDS, HELD_BYTES = 400_000, 32 << 20
 #: Entries of a cache generation, of which there are two.
 CACHE_ENTRIES = 200_000
 
@@ -50,33 +53,58 @@ def lengths(path: str, words: list[bytes]) -> list[int]:
     return [len(e.ids) for e in encoded]
 
 
+#: The first n bytes of a little-endian 64-bit number, n from 0 to 8.
+_FIRST = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(8, np.uint8)])
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether stretches of two padded buffers are equal, eight bytes at a time."""
+    a8, b8 = (np.ndarray(len(x) - 7, "<u8", x, strides=(1,)) for x in (a, b))
+    same, open_, done = np.ones(len(sizes), bool), np.arange(len(sizes)), 0
+    while len(open_):
+        left = sizes[open_] - done
+        differ = (a8[a_starts[open_] + done] ^ b8[b_starts[open_] + done]) & _FIRST[np.minimum(left, 8)]
+        same[open_] = differ == 0
+        open_, done = open_[(differ == 0) & (left > 8)], done + 8
+    return same
+
+
 class LengthTable:
-    """Open addressing on 64-bit hashes; counts of 0 mark free slots, stored counts are one more."""
+    """Open addressing on 64-bit hashes; slots name a word, free ones -1. A word is found where all its bytes agree."""
 
     def __init__(self, words: list[bytes], counts: list[int]) -> None:
         bits = max(4, (2 * len(words)).bit_length())
         self.mask = U64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
-        self.counts = np.zeros(1 << bits, np.uint16)
+        self.words = np.full(1 << bits, -1, np.int32)
+        self.counts = np.array(counts, np.int32)
+        self.sizes = np.array([len(w) for w in words], np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.data = padded(np.frombuffer(b"".join(words), np.uint8))
         self.steps = 1
-        for key, count in zip(hash_words(words).tolist(), counts):
-            if count >= 65_535:
-                continue
+        for word, key in enumerate(hash_words(words).tolist()):
             slot, step = key & int(self.mask), 1
-            while self.counts[slot]:
+            while self.words[slot] >= 0:
                 slot, step = (slot + 1) & int(self.mask), step + 1
-            self.keys[slot], self.counts[slot] = key, count + 1
+            self.keys[slot], self.words[slot] = key, word
             self.steps = max(self.steps, step)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The count of each hash, -1 where the table has none."""
-        out = np.full(len(hashes), -1, np.int64)
+    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The count of each stretch of data with its hash, -1 where the table has none."""
+        out, data = np.full(len(hashes), -1, np.int64), padded(data)
         open_, slot = np.arange(len(hashes)), hashes & self.mask
         for _ in range(self.steps):
-            counts = self.counts[slot]
-            hit = (counts > 0) & (self.keys[slot] == hashes[open_])
-            out[open_[hit]] = counts[hit].astype(np.int64) - 1
-            on = ~hit & (counts > 0)
+            word = self.words[slot]
+            on = word >= 0
+            like = np.flatnonzero(on & (self.keys[slot] == hashes[open_]))
+            like = like[self.sizes[word[like]] == (ends - starts)[open_[like]]]
+            hit = like[same_bytes(self.data, self.starts[word[like]], data, starts[open_[like]], self.sizes[word[like]])]
+            out[open_[hit]] = self.counts[word[hit]]
+            on[hit] = False
             open_, slot = open_[on], (slot[on] + U64(1)) & self.mask
             if not len(open_):
                 break
@@ -90,22 +118,51 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return _ROLLING.stretch(_ROLLING.prefix(data), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if words else np.zeros(0, np.uint64)
 
 
-def frequent(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = FREQUENT) -> list[bytes]:
-    """The most frequent pre-tokens of a bounded sample of the first rows; only as many partitions are read as hold it."""
-    seen: Counter = Counter()
-    for row in docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(sample_docs).collect():
-        seen.update((row["text"] or "").encode().split())
-    return [w for w, _ in seen.most_common(most) if len(w) <= 64]
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pre-tokens of whole texts with their numbers; a pre-token comes again after each bound of what is held."""
+    claim(__name__)
+    seen, size = Counter(), 0
+
+    def passed_on() -> pa.RecordBatch:
+        words = [w for w in seen if len(w) <= LONGEST]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
+
+    for batch in batches:
+        for _, _, part, inner in parts(*raw(batch)):
+            blob, places = part.tobytes(), inner.tolist()
+            for a, b in zip(places, places[1:]):
+                seen.update(blob[a:b].split())
+            size += len(blob)
+            if len(seen) >= HELD_WORDS or size >= HELD_BYTES:
+                yield passed_on()
+                seen, size = Counter(), 0
+    yield passed_on()
+    settle()
+
+
+def frequent(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
+    """The most frequent pre-tokens of all texts of docs, at most so many: those of equal number are in or out together."""
+    bound_batches(docs.sparkSession)
+    tallies = docs.select("text").mapInArrow(_tally, "word binary, n bigint")
+    with Scratch(docs.sparkSession) as scratch:
+        words = scratch.keep(tallies.groupBy("word").agg(F.sum("n").alias("n")), "pre-tokens")
+        least, held = None, 0
+        for level in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
+            held += level["words"]
+            if held > most:
+                break
+            least = level["n"]
+        return [] if least is None else [bytes(r["word"]) for r in words.where(F.col("n") >= least).collect()]
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, sample_docs: int = SAMPLE_DOCS, most: int = FREQUENT) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 2048, most: int = FREQUENT) -> DataFrame:
     """Rows of doc_id, n_bytes, n_tokens and over_limit for each row of docs.
 
     Null and empty texts have 0 bytes and 0 tokens; a null doc_id stays null; repeated rows each give a row; other
     columns are ignored; an empty table gives no rows. Special strings inside a text count as the library counts
     them by default.
     """
-    words = frequent(docs, sample_docs, most)
+    words = frequent(docs, most)
     tier_one = docs.sparkSession.sparkContext.broadcast(LengthTable(words, lengths(path, words)))
 
     def make():
@@ -119,7 +176,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, sample_docs: int
                 starts, ends = word_spans(part, inner)
                 if not len(starts):
                     continue
-                counts = known.find(_ROLLING.stretch(_ROLLING.prefix(part), starts, ends))
+                counts = known.find(_ROLLING.stretch(_ROLLING.prefix(part), starts, ends), part, starts, ends)
                 missed = np.flatnonzero(counts < 0)
                 if len(missed):
                     blob = part.tobytes()
@@ -128,7 +185,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, sample_docs: int
                     fresh = [k for k, v in local.items() if v is None]
                     for key, value in zip(fresh, lengths(path, fresh)) if fresh else ():
                         local[key] = value
-                        if len(key) <= 64:
+                        if len(key) <= LONGEST:
                             cache.put(key, value)
                     counts[missed] = [local[k] for k in keys]
                 row = np.minimum(np.searchsorted(inner, starts, "right") - 1, last - first - 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
 import itertools
 import json
@@ -12,6 +13,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,6 +398,37 @@ def test_token_counts_match_library(spark, rows, none):
     assert token_count.count_tokens(none, path).count() == 0
 
 
+def test_equal_hashes_do_not_share_a_token_count(spark):
+    path = tokenizer("word_bpe_49k.json")
+    a, b = b"vgdzrensotvpvpcepkkghoad", b"qmtqzavghduiheynjvegrmzu"
+    assert len(set(token_count.hash_words([a, b]).tolist())) == 1
+    (n, m), both = token_count.lengths(path, [a, b]), {1: a, 2: b, 3: a + b" x " + b}
+    assert (n, m) == (12, 15)
+    for often in (a, b):  # the first row alone makes one of them frequent, then both are
+        for most in (1, 65_536):
+            rows = [(0, " ".join([often.decode()] * 5))] + [(i, t.decode()) for i, t in both.items()]
+            got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(table(spark, rows), path, most=most).collect()}
+            assert got == {0: 5 * (n if often == a else m), 1: n, 2: m, 3: n + m + 1}
+
+
+def test_frequent_pre_tokens_are_counted_over_whole_texts(spark, monkeypatch):
+    rows = [(k, "early seldom") for k in range(2_100)] + [(3_000, "z" * 10_000 + " far" * 2_500), (3_001, None), (3_002, "early\n"), (3_003, "late " * 2_400)]
+    docs = table(spark, rows).coalesce(1)
+    assert token_count.frequent(docs, most=1) == [b"far"]
+    assert sorted(token_count.frequent(docs, most=3)) == [b"early", b"far", b"late"]
+    assert sorted(token_count.frequent(docs)) == [b"early", b"far", b"late", b"seldom"]
+    assert token_count.frequent(table(spark, [(1, "a b"), (2, "b a")]), most=1) == []
+    batches = pa.table({"text": [t for _, t in rows]}).to_batches(max_chunksize=256)
+    want = collections.Counter(w.encode() for _, t in rows for w in (t or "").split() if len(w) <= 64)
+    for name, bound, least in (("HELD_WORDS", 400_000, 1), ("HELD_WORDS", 2, 9), ("HELD_BYTES", 3_000, 9)):
+        monkeypatch.setattr(token_count, name, bound)
+        passed_on, got = list(token_count._tally(iter(batches))), collections.Counter()
+        for batch in passed_on:
+            got.update(dict(zip(*batch.to_pydict().values())))
+        assert got == want and len(passed_on) >= least
+        monkeypatch.undo()
+
+
 # 10 -------------------------------------------------------------------------------------------------------------------
 
 
