@@ -4,7 +4,8 @@ Tier one is a compact open-addressing table of the token counts of the most freq
 made on the driver and broadcast. It holds the pre-tokens' bytes and compares them, so that equal hashes never lend one
 pre-token's count to another. Tier two encodes what the table misses with the tokenizer library behind a bounded cache
 that lives as long as the Python worker. The frequent pre-tokens come from a scan of their own, which shuffles each
-task's distinct ones with their numbers; the lookup is one scan and one map.
+task's distinct ones with their numbers, many in a row; the JVM never handles them one by one, and no table of them is
+written. The lookup is one scan and one map.
 
 Pre-tokens here are the stretches between ASCII white space. The vocabulary's normaliser and splitter drop white
 space and never look across it, so the counts of the stretches add up to the count of the text; the tests hold this
@@ -13,22 +14,26 @@ against the library on whole texts.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhoscape.llm.common import CACHES, Generations, Scratch, U64, _ROLLING, bound_batches, claim, map_batches, parts, raw, settle, word_spans
+from rhoscape.llm.common import CACHES, Generations, U64, _ROLLING, bound_batches, claim, cuts, map_batches, parts, raw, settle, word_spans
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 #: Pre-tokens of tier one, and bytes of one; longer ones are left to tier two.
 FREQUENT, LONGEST = 65_536, 64
 #: Distinct pre-tokens, and bytes of text, after which a task passes on the numbers it has counted.
 HELD_WORDS, HELD_BYTES = 400_000, 32 << 20
+#: Shares that pre-tokens are dealt to by their hash; a task adds up one at a time.
+SHARES = 4096
 #: Entries of a cache generation, of which there are two.
 CACHE_ENTRIES = 200_000
 
@@ -137,22 +142,94 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield passed_on()
                 seen, size = Counter(), 0
     yield passed_on()
+    seen = Counter()
     settle()
 
 
-def frequent(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
-    """The most frequent pre-tokens of all texts of docs, at most so many: those of equal number are in or out together."""
-    bound_batches(docs.sparkSession)
-    tallies = docs.select("text").mapInArrow(_tally, "word binary, n bigint")
-    with Scratch(docs.sparkSession) as scratch:
-        words = scratch.keep(tallies.groupBy("word").agg(F.sum("n").alias("n")), "pre-tokens")
-        least, held = None, 0
-        for level in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
-            held += level["words"]
+def _packed(tally: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each share of a tally: its pre-tokens, parted by spaces, and the first ones' numbers as 64-bit integers; the others have 1."""
+    data, bounds = raw(tally, "word")
+    hashes = [_ROLLING.stretch(_ROLLING.prefix(data[bounds[a] : bounds[b]]), bounds[a:b] - bounds[a], bounds[a + 1 : b + 1] - bounds[a]) for a, b in cuts(bounds)]
+    shares, n = (np.concatenate([np.zeros(0, np.uint64), *hashes]) % U64(SHARES)).astype(np.int32), tally["n"].to_numpy()
+    order = np.lexsort((n == 1, shares))
+    named, firsts = np.unique(shares[order], return_index=True)
+    offsets = np.append(firsts, len(order)).astype(np.int32)
+    words = pc.binary_join(pa.ListArray.from_arrays(offsets, tally["word"].take(pa.array(order))), b" ")
+    n = n[order]
+    places = np.concatenate([[0], np.cumsum(n > 1)])[offsets]
+    numbers = pa.Array.from_buffers(pa.binary(), len(named), [None, pa.py_buffer((8 * places).astype(np.int32)), pa.py_buffer(n[n > 1].astype("<i8"))])
+    return pa.RecordBatch.from_arrays([pa.array(named), words, numbers], ["share", "words", "n"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return map(_packed, _tally(batches))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[bytes, int]]:
+    """Of each share the pre-tokens with their numbers in all; the task's rows of _packed are held as they come, in whatever order."""
+    dealt: dict[int, list[tuple[bytes, bytes]]] = {}
+    for batch in batches:
+        for share, words, numbers in zip(*(batch[c].to_pylist() for c in ("share", "words", "n"))):
+            dealt.setdefault(share, []).append((words, numbers))
+    while dealt:
+        held: dict[bytes, int] = {}
+        for words, numbers in dealt.popitem()[1]:
+            for word, n in zip(words.split(b" "), itertools.chain(np.frombuffer(numbers, "<i8").tolist(), itertools.repeat(1))):
+                held[word] = held.get(word, 0) + n
+        yield held
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pre-tokens come how often, over the shares of a task."""
+    claim(__name__)
+    levels = Counter()
+    for held in _sums(batches):
+        levels.update(held.values())
+    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (levels.keys(), levels.values())], ["n", "words"])
+    settle()
+
+
+def _least(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The least number that a pre-token must have for at most so many to have it, from all levels; no row where none fits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, held, least = Counter(), 0, []
+        for batch in batches:
+            for n, words in zip(batch["n"].to_pylist(), batch["words"].to_pylist()):
+                levels[n] += words
+        for n in sorted(levels, reverse=True):
+            held += levels[n]
             if held > most:
                 break
-            least = level["n"]
-        return [] if least is None else [bytes(r["word"]) for r in words.where(F.col("n") >= least).collect()]
+            least = [n]
+        yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64())], ["least"])
+
+    return run
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pre-tokens that come often enough, from packed rows beside the least number."""
+    claim(__name__)
+    for batch in batches:
+        least = batch["least"][0].as_py()
+        for held in _sums(itertools.chain([batch], batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, n in held.items() if n >= least], pa.binary())], ["word"])
+    settle()
+
+
+def _most_frequent(docs: DataFrame, most: int) -> DataFrame:
+    dealt = docs.select("text").mapInArrow(_deal, "share int, words binary, n binary").repartition("share")
+    least = dealt.mapInArrow(_levels, "n bigint, words bigint").repartition(1).mapInArrow(_least(most), "least bigint")
+    return dealt.crossJoin(F.broadcast(least)).mapInArrow(_chosen, "word binary")
+
+
+def frequent(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
+    """The most frequent pre-tokens of all texts of docs, at most so many: those of equal number are in or out together.
+
+    One query, whose two passes over the numbers read the same shuffle files; nothing else is stored.
+    """
+    bound_batches(docs.sparkSession)
+    return [bytes(r["word"]) for r in _most_frequent(docs, most).collect()]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, most: int = FREQUENT) -> DataFrame:

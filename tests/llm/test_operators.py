@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rhoscape.llm import decontamination, fingerprint, language_id, near_dedup, piece_tokens, secret_scan, sharding, suffix_dedup, token_count, toxicity
+from rhoscape.llm import common, decontamination, fingerprint, language_id, near_dedup, piece_tokens, secret_scan, sharding, suffix_dedup, token_count, toxicity
 from rhoscape.llm.common import Scratch
 from rhoscape.llm.queries import tokenizer
 
@@ -429,6 +429,27 @@ def test_frequent_pre_tokens_are_counted_over_whole_texts(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_frequent_pre_tokens_are_dealt_in_shares_and_stored_nowhere(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{j}" for j in range(400) for _ in range(k % 9 + 1) if (j * 7 + k) % (j + 2) < 9)) for k in range(60)] + [(60, None), (61, "")]
+    docs, want = table(spark, rows).repartition(5), collections.Counter(w.encode() for _, t in rows for w in (t or "").split())
+
+    def refused(*_):
+        raise AssertionError("a table is written")
+
+    monkeypatch.setattr(common, "shared_path", refused)
+    for most in (0, 1, 40, 399, 400, 65_536):
+        levels = sorted(collections.Counter(want.values()).items(), reverse=True)
+        kept = [n for k, (n, _) in enumerate(levels) if sum(m for _, m in levels[: k + 1]) <= most]
+        assert sorted(token_count.frequent(docs, most=most)) == sorted(w for w in want if want[w] in kept)
+    (chosen := token_count._most_frequent(docs, 40)).collect()
+    assert "ReusedExchange" in chosen._jdf.queryExecution().executedPlan().toString()
+    batches = pa.table({"text": [t for _, t in rows]}).to_batches(max_chunksize=7)
+    dealt = [b for k in range(3) for b in token_count._deal(iter(batches[k::3]))]
+    dealt = [b.slice(k, 1) for k in range(max(b.num_rows for b in dealt)) for b in dealt if k < b.num_rows]  # shares in no order
+    sums = list(token_count._sums(iter(dealt)))
+    assert sum(map(len, sums)) == len(want) and {w: n for held in sums for w, n in held.items()} == want
+
+
 # 10 -------------------------------------------------------------------------------------------------------------------
 
 
